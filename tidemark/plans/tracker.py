@@ -105,7 +105,7 @@ def changes(item_rows: DataFrame) -> DataFrame:
         row(1, line.isin(1, 4), "Sprint", none, here, none, none,
             hours(plus_days(start, F.col("part") % 7 - 4), line.cast("long"))),
         row(2, line.isin(4, 5), "Sprint", here, both, none, none, hours(moved, F.lit(2))),
-        row(3, line == 2, "Story Points", (points - 1).cast("string"), points.cast("string"), none, none,
+        row(3, line == 2, "Story Points", (points - 1).cast("string"), (points + F.col("part") % 2).cast("string"), none, none,
             plus_days(start, F.col("part") % 11 - 3)),
         row(4, line == 3, "Story point estimate", none, none,
             F.concat(F.lit("about "), (points + 2).cast("string"), F.lit(" points")), F.lit("unknown"),
