@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import numbered
 from tidemark.operators.ranking import exact_quantiles
 
 # Share of the loss saved by a first warning at the start and at half time, per scenario.
@@ -119,23 +118,28 @@ def optimal_thresholds(df: DataFrame, s0: str, s50: str, late: str, ratios: Sequ
     """
     both = df.select(F.explode(F.array(s0, s50)).alias("v"))
     q = exact_quantiles(both, [], "v", [i / (points - 1) for i in range(points)], slices)
-    grid = q.select(F.col("value").alias("t")).distinct().unionByName(df.sparkSession.range(1).select(F.lit(NEVER_THRESHOLD).alias("t")))
-    grid = numbered(grid, [], [F.col("t")], "i")  # at most points + 1 rows
-    edges = grid.agg(F.array_sort(F.collect_list("t")).alias("edges"))
-    below = lambda s: F.size(F.filter("edges", lambda t: t <= F.col(s)))  # thresholds at or under the score
-    cells = df.join(F.broadcast(edges)).groupBy(below(s0).alias("c0"), below(s50).alias("c50")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(late).alias("late"))
-    g0 = grid.select(F.col("i").alias("i0"), F.col("t").alias("t0"))
-    g50 = grid.select(F.col("i").alias("i50"), F.col("t").alias("t50"))
-    # a score warns at threshold i when at least i thresholds are at or under it
-    pairs = F.broadcast(g0.crossJoin(F.broadcast(g50)))
-    m = cells.crossJoin(pairs)
-    w0 = F.col("c0") >= F.col("i0")
-    w50 = ~w0 & (F.col("c50") >= F.col("i50"))
-    sums = m.groupBy("t0", "t50").agg(
-        F.sum("n").cast("double").alias("s_weight"), F.sum(F.when(w0 | w50, F.col("n")).otherwise(0)).alias("s_warned"),
-        F.sum("late").alias("s_late"), F.sum(F.when(w0, F.col("late")).otherwise(0)).alias("s_late0"),
-        F.sum(F.when(w50, F.col("late")).otherwise(0)).alias("s_late50"))
+    edges = sorted({r["value"] for r in q.collect()}) + [NEVER_THRESHOLD]  # at most points + 1 numbers
+    lits = F.array(*[F.lit(float(e)) for e in edges])
+    below = lambda s: F.size(F.filter(lits, lambda t: t <= F.col(s)))  # thresholds at or under the score
+    cells = df.groupBy(below(s0).alias("c0"), below(s50).alias("c50")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(late).cast("double").alias("late"))
+    # every pair of cells; a score warns at threshold i when at least i thresholds are at or under it
+    k = len(edges)
+    every = df.sparkSession.range(0, k + 1).select(F.col("id").cast("int").alias("c0"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("c50"))
+    full = every.join(F.broadcast(cells), ["c0", "c50"], "left").fillna(0.0)
+    row = Window.partitionBy("c50").orderBy("c0").rowsBetween(Window.unboundedPreceding, -1)
+    col = Window.partitionBy("c0").orderBy("c50").rowsBetween(Window.unboundedPreceding, -1)
+    under = {f"u_{c}": F.coalesce(F.sum(c).over(row), F.lit(0.0)) for c in ("n", "late")}  # c0 < i0, this c50
+    full = full.withColumns(under)
+    quiet = {f"q_{c}": F.coalesce(F.sum(f"u_{c}").over(col), F.lit(0.0)) for c in ("n", "late")}  # c0 < i0, c50 < i50
+    whole = Window.partitionBy("c0")
+    full = full.withColumns({**quiet, "u_all": F.sum("u_late").over(whole)})
+    tot = cells.agg(F.sum("n").alias("s_weight"), F.sum("late").alias("s_late")).first()
+    pick = lambda i: F.element_at(lits, F.col(i))
+    sums = full.where((F.col("c0") >= 1) & (F.col("c50") >= 1)).select(
+        pick("c0").alias("t0"), pick("c50").alias("t50"), F.lit(tot["s_weight"]).alias("s_weight"), F.lit(tot["s_late"]).alias("s_late"),
+        (F.lit(tot["s_weight"]) - F.col("q_n")).alias("s_warned"),
+        (F.lit(tot["s_late"]) - F.col("u_all")).alias("s_late0"), (F.col("u_all") - F.col("q_late")).alias("s_late50"))
     d = scenario_columns(sums, scenarios, ratios)
     return d.groupBy("scenario", "ratio").agg(
         F.min_by(F.struct("t0", "t50", "cost"), F.struct(F.round("cost", 12), "t0", "t50")).alias("b")

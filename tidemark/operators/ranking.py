@@ -124,12 +124,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """(keys, prob, value) with linear interpolation between the two nearest order statistics."""
     cells = value_counts(df, keys, value)
     d = order_rows(cells, keys, [F.col("value")], slices).scan(sums_before={"before": F.col("times")}, totals={"n": F.col("times")})
-    d = d.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    h = (F.col("n") - 1) * F.col("prob")
-    lo = F.floor(h)
-    hi = F.least(lo + 1, F.col("n") - 1)
+    position = lambda p: (F.col("n") - 1) * p
+    lower = lambda p: F.floor(position(p))
+    upper = lambda p: F.least(lower(p) + 1, F.col("n") - 1)
     holds = lambda i: (i >= F.col("before")) & (i < F.col("before") + F.col("times"))
-    d = d.where(holds(lo) | holds(hi)).withColumns({"h_": h, "lo_": F.when(holds(lo), F.col("value")), "hi_": F.when(holds(hi), F.col("value"))})
+    wanted = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: holds(lower(p)) | holds(upper(p)))
+    d = d.withColumn("prob", F.explode(wanted))
+    p = F.col("prob")
+    d = d.withColumns({"h_": position(p), "lo_": F.when(holds(lower(p)), F.col("value")), "hi_": F.when(holds(upper(p)), F.col("value"))})
     a, b = F.max("lo_"), F.max("hi_")
     return d.groupBy(*keys, "prob").agg((a + (b - a) * (F.max("h_") - F.floor(F.max("h_")))).alias("value"))
 

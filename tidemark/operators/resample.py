@@ -121,11 +121,10 @@ def auc_pairs(df: DataFrame, group: str, score: str, label: str, slices=None) ->
     the mean of the two running counts gives ties their half.
     """
     cells = score_cells(df, [group], score, label)
-    names = F.array_sort(F.collect_set(group)).alias("all_")
-    groups = df.agg(names)
+    names = [r[0] for r in cells.select(group).distinct().orderBy(group).collect()]  # callers bound the number of groups
     neg = cells.where(F.col("neg") > 0).select(F.col(group).alias("h"), "score", F.lit(1).alias("kind"), "neg")
-    pos = cells.where(F.col("pos") > 0).join(F.broadcast(groups)).select(
-        F.col(group).alias("g"), F.explode("all_").alias("h"), "score", "pos")
+    pos = cells.where(F.col("pos") > 0).select(
+        F.col(group).alias("g"), F.explode(F.array(*[F.lit(x) for x in names])).alias("h"), "score", "pos")
     pos = pos.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(2))))
     rows = neg.unionByName(pos, allowMissingColumns=True)
     seen = order_rows(rows, ["h"], [F.col("score"), F.col("kind")], slices).scan(sums={"below": F.col("neg")})
@@ -195,18 +194,28 @@ def cluster_mae_difference(df: DataFrame, group: str, truth: str, pred_a: str, p
 
 
 def jackknife_auc(df: DataFrame, group: str, score: str, label: str, slices=None) -> DataFrame:
-    """AUC without each group, from the pair table: all wins minus the group's row and column."""
-    pairs = auc_pairs(df, group, score, label, slices)
-    size = score_cells(df, [group], score, label).groupBy(F.col(group).alias("left_out")).agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    total = size.agg(F.sum("p").alias("p_all"), F.sum("n").alias("n_all"), F.lit(1).alias("one_"))
-    won = pairs.where(F.col("wins").isNotNull())
-    touches = won.withColumn("left_out", F.explode(F.array_distinct(F.array("g", "h")))).groupBy("left_out").agg(F.sum("wins").alias("out_wins"))
-    all_wins = won.agg(F.sum("wins").alias("all_wins"), F.lit(1).alias("one_"))
-    d = size.join(touches, "left_out", "left").withColumn("one_", F.lit(1)).join(F.broadcast(total), "one_").join(F.broadcast(all_wins), "one_")
+    """AUC without each group: all wins minus those that involve the group as winner or as loser.
+
+    Three running counts give them for every group at once, whatever the number of groups.
+    """
+    cells = score_cells(df, [group], score, label)
+    every = cells.groupBy("score").agg(F.sum("pos").alias("pos_at"), F.sum("neg").alias("neg_at"))
+    every = order_rows(every, [], [F.col("score")], slices).scan(
+        sums_before={"pos_below": F.col("pos_at"), "neg_below": F.col("neg_at")},
+        totals={"pos_all": F.col("pos_at"), "neg_all": F.col("neg_at")})
+    half = F.lit(2.0)
+    won = F.col("pos") * (F.col("neg_below") + F.col("neg_at") / half)
+    lost = F.col("neg") * (F.col("pos_all") - F.col("pos_below") - F.col("pos_at") / half)
+    total = every.agg(F.sum(F.col("pos_at") * (F.col("neg_below") + F.col("neg_at") / half)).alias("wins_all"), F.lit(1).alias("one_"))
+    outer = cells.join(every, "score").groupBy(F.col(group).alias("left_out")).agg(
+        F.sum(won).alias("won"), F.sum(lost).alias("lost"), F.max("pos_all").alias("p_all"), F.max("neg_all").alias("n_all"))
+    inner = order_rows(cells, [group], [F.col("score")], slices).scan(sums_before={"below": F.col("neg")}).groupBy(
+        F.col(group).alias("left_out")).agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / half)).alias("own"))
+    d = outer.join(inner, "left_out").withColumn("one_", F.lit(1)).join(F.broadcast(total), "one_")
     p, n = F.col("p_all") - F.col("p"), F.col("n_all") - F.col("n")
-    auc = (F.col("all_wins") - F.coalesce("out_wins", F.lit(0.0))) / (p.cast("double") * n)
-    return d.select("left_out", p.alias("n_pos"), n.alias("n_neg"), F.when((p > 0) & (n > 0), auc).alias("auc"))
+    rest = F.col("wins_all") - F.col("won") - F.col("lost") + F.col("own")
+    return d.select("left_out", p.alias("n_pos"), n.alias("n_neg"), F.when((p > 0) & (n > 0), rest / (p.cast("double") * n)).alias("auc"))
 
 
 def within_group_bootstrap(df: DataFrame, group: str, score: str, label: str, key: str, reps: int = 2000, seed: int = 42, min_class: int = 1, slices=None) -> DataFrame:
