@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import plus_days
+from tidemark.functions.scalars import days_between, plus_days
+from tidemark.operators.history import add_concurrency, add_strict_history, add_trailing_history
+from tidemark.operators.labels import add_labels, add_targets
 
 JIRA_OFFSET = 500_000
 
@@ -47,6 +49,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("start_date"),
         end.alias("end_date"),
         plus_days(end, key * 13 % 17 - 6).alias("complete_date"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
     )
 
 
@@ -60,13 +63,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line as a work item of its order's project."""
     li = load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        "l_linestatus", "l_returnflag",
+        "l_linestatus", "l_returnflag", "l_extendedprice",
     )
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, "o_orderkey")
     start, line = F.col("o_orderdate"), F.col("l_linenumber")
     return j.select(
-        F.concat_ws("-", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("raw_issue_id"),
+        F.concat_ws("-", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
+        .alias("raw_issue_id"),
         F.concat(F.lit("K"), (F.col("o_custkey") % 8).cast("string"), F.lit("-"),
                  (F.col("o_orderkey") * 7 + line).cast("string")).alias("issue_key"),
         F.concat(F.lit("P"), (F.col("o_custkey") % 8).cast("string")).alias("project"),
@@ -129,8 +133,51 @@ def line_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return boxes(spark, sf_dir).join(agg, "raw_sprint_id", "left").select(
-        "sprint_id", "raw_sprint_id", "project", "sprint_state", "start_date", "end_date", "complete_date",
+        "sprint_id", "raw_sprint_id", "project", "sprint_state", "start_date", "end_date", "complete_date", "cents",
         zero("n").alias("committed_issue_count"), zero("sp").cast("double").alias("committed_story_points"),
         zero("done").alias("completed_issue_count"), (zero("n") - zero("done")).alias("not_completed_count"),
         zero("done_sp").cast("double").alias("delivered_story_points"),
     )
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with static scope, labels and targets."""
+    d = add_targets(add_labels(line_scope(spark, sf_dir)))
+    return d.withColumn("sprint_length_days", days_between(F.col("end_date"), F.col("start_date")))
+
+
+def modelling_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled boxes with trailing and strict history and concurrency."""
+    return add_strict_history(add_concurrency(add_trailing_history(labelled(spark, sf_dir))))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled boxes with two scores with ties and a 0/1 call drawn from price and key."""
+    k = F.col("raw_sprint_id")
+    d = labelled(spark, sf_dir).withColumns({"score": F.col("cents") % 1000 / F.lit(1000.0), "score_b": k * 7919 % 997 / F.lit(997.0)})
+    return d.withColumns({"pred": (F.col("score") >= 0.5).cast("int"), "pred_b": (F.col("score_b") >= 0.5).cast("int")})
+
+
+RUNS = (1, 2, 3)
+
+
+def study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay points: each nonempty box at the start and at half time, with the calls of a model, a
+    rule and two kinds of callers in three runs, drawn from key and price."""
+    d = labelled(spark, sf_dir).where("nonempty").withColumn("c_", F.explode(F.array(F.lit(0), F.lit(5))))
+    k, cents, c = F.col("raw_sprint_id"), F.col("cents"), F.col("c_")
+    cols = {
+        "checkpoint": c / F.lit(10.0), "late": F.col("label_delay"), "unfinished": F.col("carry_ratio"),
+        "weight": 1 + F.substring("project", 2, 1).cast("int") / F.lit(8.0),
+        "m_score": (cents + c * 137) % 1000 / F.lit(1000.0), "m_threshold": F.lit(0.55), "m_unf": (k * 7 + c) % 11 / F.lit(10.0),
+        "rule_warn": ((k + c) % 3 == 0).cast("int"),
+    }
+    for r in RUNS:
+        cols |= {
+            f"L{r}_p": (k * 31 + r * 17 + c * 7) % 100 / F.lit(100.0), f"L{r}_unf": (k * 3 + r + c) % 11 / F.lit(10.0),
+            f"G{r}_p": (cents + k * r * 13 + c * 11) % 100 / F.lit(100.0), f"G{r}_unf": (k * 5 + 2 * r + c) % 11 / F.lit(10.0),
+        }
+    d = d.withColumns(cols)
+    calls = {"m_warn": F.col("m_score") >= F.col("m_threshold")} | {f"{a}{r}_warn": F.col(f"{a}{r}_p") >= 0.5 for a in "LG" for r in RUNS}
+    d = d.withColumns({n: x.cast("int") for n, x in calls.items()})
+    return d.select("sprint_id", "project", "raw_sprint_id", "start_date", *cols, *calls)
