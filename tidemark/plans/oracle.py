@@ -67,7 +67,7 @@ cte("conc", ["lab"], """
 SELECT a.sprint_id AS sid, count(b.sprint_id) AS n_conc FROM lab a LEFT JOIN lab b ON a.project=b.project AND b.sprint_id<>a.sprint_id
  AND b.start_date<a.start_date AND b.end_date>a.start_date GROUP BY 1""")
 cte("hist", ["lab", "known3", "full3", "conc"], """
-SELECT lab.*, n_conc, h_late, h_rate, coalesce(h_n,0) AS h_n, h_ratio, h_carry, h_sp, h_done, h_comm, committed/greatest(h_done,1.0) AS s2c
+SELECT lab.*, n_conc, h_late, h_rate, coalesce(h_n,0) AS h_n, h_ratio, h_carry, h_sp, h_done, h_comm, CASE WHEN h_done IS NOT NULL THEN committed/greatest(h_done,1.0) END AS s2c
 FROM lab JOIN conc ON conc.sid=sprint_id
 LEFT JOIN (SELECT sid, avg(late_capped) AS h_late, avg(label_delay) AS h_rate FROM known3 GROUP BY 1) x ON x.sid=sprint_id
 LEFT JOIN (SELECT sid, count(*) AS h_n, avg(completed/committed::DOUBLE) AS h_ratio, max(not_completed) FILTER (rn=1) AS h_carry,
