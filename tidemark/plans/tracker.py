@@ -88,7 +88,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(item_rows: DataFrame) -> DataFrame:
-    """Change log of the items: sprint moves with id lists and names, point changes, and noise."""
+    """Change log of the items."""
+    return (
+        item_rows.select("raw_issue_id", "project", F.explode(changes_array()).alias("c"))
+        .select("raw_issue_id", "project", "c.*")
+    )
+
+
+def changes_array():
+    """Changes of an item: sprint moves with id lists and names, point changes, and noise."""
     start, box, line = F.col("box_start"), F.col("box"), F.col("line")
     here = (box + JIRA_OFFSET).cast("string")
     both = F.concat_ws(", ", here, (box + JIRA_OFFSET + 8).cast("string"))
@@ -118,10 +126,25 @@ def changes(item_rows: DataFrame) -> DataFrame:
             hours(moved, F.lit(30))),
         row(6, line == 1, "status", F.lit("open"), F.lit("done"), none, none, start),
     )
-    return (
-        item_rows.select("raw_issue_id", "project", F.explode(F.array_compact(rows)).alias("c"))
-        .select("raw_issue_id", "project", "c.*")
-    )
+    return F.array_compact(rows)
+
+
+def nested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as a nested pull: embedded sprint texts and change tuples per item."""
+    i = items(spark, sf_dir)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'")
+    sprint = F.concat(
+        F.lit("com.example.Sprint@1[id="), F.col("raw_sprint_id").cast("string"), F.lit(",rapidViewId=9,state=closed,name=Box, "),
+        F.col("raw_sprint_id").cast("string"), F.lit(",startDate="), day(F.col("box_start")), F.lit(",completeDate=<null>]"))
+    log = changes_array()
+    tuples = F.transform(log, lambda c: F.array(
+        c["change_id"].cast("string"), c["field"], c["from_value"], c["to_value"], c["from_string"], c["to_string"], day(c["change_date"])))
+    return i.select(
+        F.col("project").alias("p"), F.abs(F.xxhash64("raw_issue_id")).cast("string").alias("id"), F.col("issue_key").alias("k"),
+        F.col("issue_type").alias("t"), F.col("status").alias("s"), F.col("story_point").alias("sp"), F.lit(None).cast("string").alias("pr"),
+        day(F.col("creation_date")).alias("c"), day(F.col("resolution_date")).alias("r"), F.col("assignee").alias("a"),
+        F.lit(None).cast("double").alias("oe"), F.when(F.col("raw_sprint_id").isNotNull(), F.array(sprint)).otherwise(F.array().cast("array<string>")).alias("spr"),
+        tuples.alias("ch"))
 
 
 def line_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
