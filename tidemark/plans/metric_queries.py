@@ -117,18 +117,24 @@ def calibration_quartiles(spark, d):
     return tidy(metrics.calibration_quartiles(tk.scored(spark, d), "score", "label_delay", [F.col("sprint_id")]))
 
 
-@query("roc_grid", with_("scored") + """, c AS (SELECT project, score, count(*) FILTER (y=1) AS pos, count(*) FILTER (y=0) AS neg FROM scored GROUP BY 1,2),
-r AS (SELECT project, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY project) AS p, sum(neg) OVER (PARTITION BY project) AS n FROM c WINDOW w AS (PARTITION BY project ORDER BY score DESC)),
-pt AS (SELECT project, fp/n::DOUBLE AS x, max(tp/p::DOUBLE) AS top, min(tp/p::DOUBLE) AS bot FROM (SELECT project, tp, fp, p, n FROM r UNION ALL SELECT DISTINCT project, 0, 0, p, n FROM r) GROUP BY 1,2),
-g AS (SELECT DISTINCT project, i AS step, i/200.0::DOUBLE AS fpr FROM pt, range(201) t(i)),
-lo AS (SELECT g.project, g.step, g.fpr, pt.x AS x0, pt.top AS y0 FROM g ASOF JOIN pt ON g.project=pt.project AND g.fpr>=pt.x),
-hi AS (SELECT g.project, g.step, pt.x AS x1, pt.bot AS y1 FROM g ASOF LEFT JOIN pt ON g.project=pt.project AND g.fpr<pt.x)
-SELECT project, step, fpr, round(CASE WHEN step=0 THEN 0.0 WHEN x1 IS NULL THEN y0 ELSE y0+(fpr-x0)/(x1-x0)*(y1-y0) END,6) AS tpr FROM lo JOIN hi USING (project, step)""")
+def grid_sql(frm, key, score, y):
+    """CTEs up to ``grid`` (key, step, fpr, tpr): ROC points joined to an even grid from both sides."""
+    return f""", c AS (SELECT {key}, {score} AS s, count(*) FILTER ({y}=1) AS pos, count(*) FILTER ({y}=0) AS neg FROM {frm} GROUP BY 1,2),
+rr AS (SELECT {key}, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY {key}) AS p, sum(neg) OVER (PARTITION BY {key}) AS n FROM c WINDOW w AS (PARTITION BY {key} ORDER BY s DESC)),
+pt AS (SELECT {key}, fp/n::DOUBLE AS x, max(tp/p::DOUBLE) AS top, min(tp/p::DOUBLE) AS bot FROM (SELECT {key}, tp, fp, p, n FROM rr UNION ALL SELECT DISTINCT {key}, 0, 0, p, n FROM rr) WHERE p>0 AND n>0 GROUP BY 1,2),
+g AS (SELECT DISTINCT {key}, i AS step, i/200.0::DOUBLE AS fpr FROM pt, range(201) t(i)),
+lo AS (SELECT g.{key}, g.step, g.fpr, pt.x AS x0, pt.top AS y0 FROM g ASOF JOIN pt ON g.{key}=pt.{key} AND g.fpr>=pt.x),
+hi AS (SELECT g.{key}, g.step, pt.x AS x1, pt.bot AS y1 FROM g ASOF LEFT JOIN pt ON g.{key}=pt.{key} AND g.fpr<pt.x),
+grid AS (SELECT {key}, step, fpr, CASE WHEN step=0 THEN 0.0 WHEN x1 IS NULL THEN y0 ELSE y0+(fpr-x0)/(x1-x0)*(y1-y0) END AS tpr FROM lo JOIN hi USING ({key}, step))
+"""
+
+
+@query("roc_grid", with_("scored") + grid_sql("scored", "project", "score", "y") + "SELECT project, step, fpr, round(tpr,6) AS tpr FROM grid")
 def roc_grid(spark, d):
     return tidy(ranking.roc_grid(tk.scored(spark, d), ["project"], "score", "label_delay"))
 
 
-@query("roc_band")
+@query("roc_band", with_("scored") + grid_sql("scored", "project", "score", "y") + "SELECT step, fpr, round(avg(tpr),6) AS tpr_mean, round(stddev_samp(tpr),6) AS tpr_sd, count(*) AS curves FROM grid GROUP BY 1,2")
 def roc_band(spark, d):
     return tidy(ranking.roc_band(ranking.roc_grid(tk.scored(spark, d), ["project"], "score", "label_delay")))
 
@@ -243,7 +249,7 @@ def jackknife_group(spark, d):
     return tidy(resample.jackknife_auc(tk.scored(spark, d), "project", "score", "label_delay"))
 
 
-@query("roc_bootstrap_band")
+@query("roc_bootstrap_band", with_("docs") + boot_sql("docs", "doc_id", "p, quality", reps=100) + grid_sql("bs", "r", "p", "quality") + "SELECT step, fpr, round(avg(tpr),6) AS tpr_mean, round(quantile_cont(tpr,0.025),6) AS tpr_lo, round(quantile_cont(tpr,0.975),6) AS tpr_hi FROM grid GROUP BY 1,2")
 def roc_bootstrap_band(spark, d):
     return tidy(resample.roc_bootstrap_band(docs(spark, d), "p", "quality", "doc_id", 100))
 

@@ -164,8 +164,8 @@ _runs = ", ".join(
     for r in (1, 2, 3))
 cte("study", ["lab"], f"""
 SELECT sprint_id, project, k, start_date, c/10.0::DOUBLE AS checkpoint, label_delay AS late, carry_ratio AS unfinished, 1+CAST(substr(project,2,1) AS INTEGER)/8.0::DOUBLE AS weight,
- ((cents+c*137)%1000)/1000.0::DOUBLE AS m_score, 0.55::DOUBLE AS m_threshold, ((k*7+c)%11)/10.0::DOUBLE AS m_unf, CAST((k+c)%3=0 AS INTEGER) AS rule_warn,
- CAST(((cents+c*137)%1000)/1000.0::DOUBLE>=0.55::DOUBLE AS INTEGER) AS m_warn, {_runs}
+ ((cents+c*137)%700+300*label_delay)/1000.0::DOUBLE AS m_score, 0.55::DOUBLE AS m_threshold, ((k*7+c)%11)/10.0::DOUBLE AS m_unf, CAST((k+c)%3=0 AS INTEGER) AS rule_warn,
+ CAST(((cents+c*137)%700+300*label_delay)/1000.0::DOUBLE>=0.55::DOUBLE AS INTEGER) AS m_warn, {_runs}
 FROM lab, (VALUES (0),(5)) v(c) WHERE nonempty""")
 cte("docs", [], "SELECT d.doc_id, lang, n_chars, quality, toxic, (n_chars%100)/100.0::DOUBLE AS p, CAST(n_chars>=1000 AS INTEGER) AS call FROM documents d JOIN labels USING (doc_id)")
 

@@ -192,7 +192,7 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {
         "checkpoint": c / F.lit(10.0), "late": F.col("label_delay"), "unfinished": F.col("carry_ratio"),
         "weight": 1 + F.substring("project", 2, 1).cast("int") / F.lit(8.0),
-        "m_score": (cents + c * 137) % 1000 / F.lit(1000.0), "m_threshold": F.lit(0.55), "m_unf": (k * 7 + c) % 11 / F.lit(10.0),
+        "m_score": ((cents + c * 137) % 700 + 300 * F.col("label_delay")) / F.lit(1000.0), "m_threshold": F.lit(0.55), "m_unf": (k * 7 + c) % 11 / F.lit(10.0),
         "rule_warn": ((k + c) % 3 == 0).cast("int"),
     }
     for r in RUNS:
