@@ -7,8 +7,8 @@ holds a third of the rows becomes the bottleneck. Here the rows are range-partit
 in by a small table. Range partitioning leaves at most one group open at the start of a slice,
 so that table has at most two rows per slice and can be broadcast whatever the data size.
 
-The slice numbers come from sampled range bounds, so they are fixed with a reliable checkpoint:
-a lost executor re-reads the same slices.
+The slice numbers come from sampled range bounds, so the sliced rows are fixed as a table in the shared
+folder: a lost executor re-reads the same slices, and later steps read only the columns they need.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import materialize
 
 POS = "__pos"
 SLICE = "__slice"
@@ -36,7 +36,7 @@ class OrderedRows:
     def __init__(self, df: DataFrame, keys: Sequence[str]):
         self.df = df
         self.keys = list(keys)
-        self.sliced = df.rdd.getNumPartitions() > 1
+        self.sliced = len(df.inputFiles()) > 1  # one file per slice that holds rows
 
     def scan(
         self,
@@ -142,12 +142,11 @@ def order_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     ``order`` must make the order total where ties matter. ``slices`` defaults to the session's
     shuffle partitions, which adaptive execution merges down for small inputs.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     cols = [F.col(k).asc() for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = df.repartitionByRange(slices, *cols) if slices else df.repartitionByRange(*cols)
     placed = ranged.sortWithinPartitions(*cols).withColumn(POS, F.monotonically_increasing_id())
     placed = placed.withColumn(SLICE, F.shiftright(POS, _ROW_BITS))
-    return OrderedRows(placed.checkpoint(), keys)
+    return OrderedRows(materialize(placed), keys)
 
 
 def numbered(df: DataFrame, keys, order, rn: str = "rn", size: str | None = None, slices=None) -> DataFrame:

@@ -57,8 +57,8 @@ def constant_scores(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
 
 
 def trailing_ratio_rule(df: DataFrame, cut: float = 0.8) -> DataFrame:
-    """Warn when the trailing completion ratio is under the cut."""
-    return df.withColumn("heuristic", F.coalesce((F.col("prior_avg_completion_ratio_3") < cut).cast("int"), F.lit(0)))
+    """Warn when the trailing completion ratio is under the cut; a mean that equals it up to rounding is not."""
+    return df.withColumn("heuristic", F.coalesce((F.round("prior_avg_completion_ratio_3", 9) < cut).cast("int"), F.lit(0)))
 
 
 def regression_baselines(train: DataFrame, test: DataFrame, target: str, history: str, group: str = "project", slices=None) -> DataFrame:

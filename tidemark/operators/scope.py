@@ -18,6 +18,7 @@ from tidemark.functions.scalars import (
 )
 from tidemark.operators.asof import value_asof, value_intervals
 from tidemark.operators.skew import lookup_join
+from tidemark.session import materialize
 from tidemark.sources.tables import require_columns
 
 AGGREGATES = [
@@ -127,9 +128,9 @@ def membership_rows(sprints: DataFrame, issues: DataFrame, change_log: DataFrame
         "raw_issue_id", "valid_from", "valid_to", "last", "from_history", "token.kind", "token.token", "token.times"
     )
     attributes = [c for c in ("issue_key", "issue_type") if c in known.columns]
-    spans = spans.join(known.select(
+    spans = materialize(spans.join(known.select(
         "raw_issue_id", "project", "creation_date", "resolution_date", *attributes
-    ), "raw_issue_id")
+    ), "raw_issue_id"))  # read twice: for the texts and for the ids
     texts = spans.where(F.col("kind") == "text").select("project", F.col("token").alias("text"))
     ids = ids.where(F.col("kind") != "name").unionByName(names_in_text(texts, ids))
     return spans.join(ids, ["project", "kind", "token"], "left")
@@ -217,7 +218,7 @@ def scope_audit(sprints: DataFrame, issues: DataFrame, change_log: DataFrame, sl
     """One row of counters that say how much of the reconstruction rests on history."""
     n = lambda c: F.count_if(c)
     rel = _relevant(change_log)
-    rows = membership_rows(sprints, issues, change_log, slices)
+    rows = materialize(membership_rows(sprints, issues, change_log, slices))
     t = F.col("start_date")
     members = start_memberships(rows)
     committed = commitments(sprints, issues, change_log, slices, rows)

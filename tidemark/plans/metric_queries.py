@@ -426,7 +426,7 @@ def constant_scores(spark, d):
     return tidy(rules.constant_scores(tr, te, "label_delay"), "sprint_id", "always_positive", "base_rate")
 
 
-@query("trailing_ratio_rule", with_("trail") + "SELECT sprint_id, coalesce(CAST(t_ratio<0.8 AS INTEGER),0) AS heuristic FROM trail")
+@query("trailing_ratio_rule", with_("trail") + "SELECT sprint_id, coalesce(CAST(round(t_ratio,9)<0.8::DOUBLE AS INTEGER),0) AS heuristic FROM trail")
 def trailing_ratio_rule(spark, d):
     return tidy(rules.trailing_ratio_rule(add_trailing_history(tk.labelled(spark, d))), "sprint_id", "heuristic")
 

@@ -10,6 +10,8 @@ from tidemark.operators import history, metrics, ranking, resample, splits
 from tidemark.plans import jobs
 from tidemark.plans import tracker as tk
 from tidemark.plans.registry import query, tidy
+from tidemark.plans.state_queries import tables
+from tidemark.session import materialize
 
 # smaller settings than the compared learners, so that a registered query takes seconds
 TREES = {"numTrees": 20}
@@ -18,7 +20,7 @@ NUMERIC = history.PLANNING_FEATURES + ["hist_late_rate_3", "hist_n_available", "
 
 
 def frame(spark, d):
-    return splits.split_time(history.add_strict_history(tk.labelled(spark, d))).persist()
+    return materialize(splits.split_time(history.add_strict_history(tk.labelled(spark, d))))
 
 
 def auc_of(scored, name, label="label_delay"):
@@ -117,7 +119,7 @@ def group_out(spark, d):
 
 @query("ablation")
 def ablation(spark, d):
-    f = splits.split_time(tk.modelling_frame(spark, d).where("has_prior_sprint")).persist()
+    f = materialize(splits.split_time(tk.modelling_frame(spark, d).where("has_prior_sprint")))
     sets = {k: history.FEATURE_SETS[k] for k in ("scope_only", "legacy", "legacy_plus_late", "strict_timed", "strict_timed_plus_late")}
     return explain.ablation(*jobs.sides(f), "label_delay", sets, reference="scope_only")
 
@@ -165,17 +167,16 @@ def gap_to_best_rule(spark, d):
 
 @query("repeated_schemes")
 def repeated_schemes(spark, d):
-    f = history.add_strict_history(tk.labelled(spark, d)).persist()
+    f = materialize(history.add_strict_history(tk.labelled(spark, d)))
     return jobs.repeated(f, "label_delay", {"logistic": Learner("logistic", history.PLANNING_FEATURES, None)}, repeats=2)
 
 
 @query("in_sprint_evaluation")
 def in_sprint_evaluation(spark, d):
     """Open boxes at half time: planning features, progress features and rules."""
-    i = tk.items(spark, d)
-    state = cp.progress_features(cp.checkpoint_state(tk.closed_boxes(spark, d), i, tk.changes(i), [0.5]))
+    state = cp.progress_features(cp.checkpoint_state(*tables(spark, d), [0.5]))
     keep = ["sprint_id", "checkpoint", "open_at_checkpoint", *history.PROGRESS_FEATURES]
-    f = state.select(*keep).join(frame(spark, d), "sprint_id").persist()
+    f = materialize(state.select(*keep).join(frame(spark, d), "sprint_id"))
     return jobs.in_sprint(f, "label_delay", NUMERIC, history.PROGRESS_FEATURES, "logistic", [0.5])
 
 
@@ -197,7 +198,7 @@ def timing_study(spark, d):
     """Leave-one-group-out scores of two feature sets, compared by resampled groups."""
     from tidemark.models.learners import group_out_scores
 
-    f = tk.modelling_frame(spark, d).where("has_prior_sprint").persist()
+    f = materialize(tk.modelling_frame(spark, d).where("has_prior_sprint"))
     groups = splits.leave_one_group_out(f)
     out = None
     for name in ("legacy", "strict_timed"):

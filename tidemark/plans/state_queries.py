@@ -10,11 +10,13 @@ from tidemark.operators.ordered import order_rows
 from tidemark.plans import tracker as tk
 from tidemark.plans.oracle import days, hash_of, with_
 from tidemark.plans.registry import query, tidy
+from tidemark.session import materialize
 
 
 def tables(spark, d):
-    i = tk.items(spark, d)
-    return tk.closed_boxes(spark, d), i, tk.changes(i)
+    """Boxes, items and change log; the derived item and change tables are written once."""
+    i = materialize(tk.items(spark, d))
+    return tk.closed_boxes(spark, d), i, materialize(tk.changes(i))
 
 
 @query("state_asof", """
@@ -140,10 +142,10 @@ t AS (SELECT sprint_id, string_agg(line, chr(10) ORDER BY rn) AS txt FROM l WHER
 n AS (SELECT sprint_id, count(*) FILTER (part='committed') AS n, count(*) FILTER (part='committed' AND sp_start IS NOT NULL) AS kn, coalesce(sum(sp_start) FILTER (part='committed'),0.0) AS pts,
  count(*) FILTER (part='committed' AND done_day_by_mid IS NOT NULL) AS dn, count(*) FILTER (part='committed' AND NOT in_at_mid) AS o, count(*) FILTER (part='added') AS ad, count(*) FILTER (part='added' AND done_day_by_mid IS NOT NULL) AS adn FROM b GROUP BY 1)
 SELECT h.sprint_id, 'Team: Project '||h.project||printf(' (name hidden). Planned sprint length: %.1f days.', len)||chr(10)||'Other sprints of this project open at the same time: '||n_conc||'.'||chr(10)||
- CASE WHEN h_n>0 THEN 'Team history (finished sprints before this one started, up to the last three): '||h_n||' available; average share of committed issues completed '||printf('%.2f',h_ratio+1e-9)||'; issues carried over from the last one '||h_carry
- ||'; share that closed more than a day late '||printf('%.2f',h_rate)||'; average days late '||printf('%.1f',h_late+1e-9)||'; average issues completed '||printf('%.1f',h_done+1e-9)||'.' ELSE 'Team history: no finished earlier sprint was available when this sprint started.' END||chr(10)||
+ CASE WHEN h_n>0 THEN 'Team history (finished sprints before this one started, up to the last three): '||h_n||' available; average share of committed issues completed '||printf('%.2f',round(h_ratio,9)+1e-9)||'; issues carried over from the last one '||h_carry
+ ||'; share that closed more than a day late '||printf('%.2f',round(h_rate,9)+1e-9)||'; average days late '||printf('%.1f',round(h_late,9)+1e-9)||'; average issues completed '||printf('%.1f',round(h_done,9)+1e-9)||'.' ELSE 'Team history: no finished earlier sprint was available when this sprint started.' END||chr(10)||
  'Committed at the start: '||coalesce(n,0)||' issues; story points recorded on '||coalesce(kn,0)||' of them (total '||CAST(CAST(coalesce(pts,0) AS BIGINT) AS VARCHAR)||').'||chr(10)||
- printf('Now: day %.1f of %.1f (halfway). Committed issues resolved so far: ', len*0.5, len)||coalesce(dn,0)||' of '||coalesce(n,0)||'. Committed issues moved out of the sprint: '||coalesce(o,0)||'. Issues added since the start: '||coalesce(ad,0)||', of which resolved: '||coalesce(adn,0)||'.'||chr(10)||'Issues:'||chr(10)||coalesce(txt,'') AS board
+ printf('Now: day %.1f of %.1f (halfway). Committed issues resolved so far: ', len*0.5, len)||coalesce(dn,0)||' of '||coalesce(n,0)||'. Committed issues moved out of the sprint: '||coalesce(o,0)||'. Issues added since the start: '||coalesce(ad,0)||', of which resolved: '||coalesce(adn,0)||'.'||chr(10)||'Issues:'||chr(10)||coalesce(txt,'')||CASE WHEN coalesce(n,0)+coalesce(ad,0)>40 THEN chr(10)||'- ... and '||(coalesce(n,0)+coalesce(ad,0)-40)||' more issues of the same kinds' ELSE '' END AS board
 FROM hist h JOIN sp USING (sprint_id) LEFT JOIN n USING (sprint_id) LEFT JOIN t USING (sprint_id)""")
 def board_text(spark, d):
     """The text of every closed box at half time."""
