@@ -6,20 +6,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import order_rows
 
 
-def _end_state(events: DataFrame, key: str) -> DataFrame:
-    return events.groupBy(key).agg(
-        F.max_by(F.struct("ts", F.col("after").alias("v")), F.struct("ts", "tie")).alias("end_")
-    )
-
-
 def value_asof(
     events: DataFrame, probes: DataFrame, static: DataFrame, key: str, at: str, slices: int | None = None
 ) -> DataFrame:
@@ -29,51 +21,45 @@ def value_asof(
     event, ``after`` of the last event when none is later, and the static value for a key without
     events. One scan from the newest row to the oldest serves all probes of a key.
     """
-    newest = static.join(_end_state(events, key), key, "left").select(
-        key, F.col("end_").isNotNull().alias("hist"),
-        F.struct(F.when(F.col("end_").isNotNull(), F.col("end_.v")).otherwise(F.col("value")).alias("v")).alias("state"),
-    )
+    state = lambda hist, v: F.struct(F.lit(hist).alias("hist"), F.col(v).alias("v")).alias("s_")
+    never = F.lit(None).cast("timestamp").alias("t_")
+    ends = events.groupBy(key).agg(F.max_by("after", F.struct("ts", "tie")).alias("end_"))
     payload = [c for c in probes.columns if c not in (key, at)]
+    # scan order: the static value, the newest state, then from new to old; at equal times probes come
+    # before events, which therefore count as applied
     rows = (
-        newest.select(key, F.lit(None).cast("timestamp").alias("t_"), F.lit(0).alias("probe_"),
-                      F.struct("hist", "state").alias("s_"))
-        .unionByName(events.select(
-            key, F.col("ts").alias("t_"), F.lit(0).alias("probe_"), F.col("tie").alias("tie_"),
-            F.struct(F.lit(True).alias("hist"), F.struct(F.col("before").alias("v")).alias("state")).alias("s_"),
-        ), allowMissingColumns=True)
-        .unionByName(probes.select(
-            key, F.col(at).alias("t_"), F.lit(1).alias("probe_"), F.struct(F.lit(1).alias("row_"), *payload).alias("p_"),
-        ), allowMissingColumns=True)
+        static.select(key, never, F.lit(9).alias("kind_"), state(False, "value"))
+        .unionByName(ends.select(key, never, F.lit(8).alias("kind_"), state(True, "end_")))
+        .unionByName(events.select(key, F.col("ts").alias("t_"), F.lit(0).alias("kind_"), state(True, "before"), F.col("tie").alias("tie_")),
+                     allowMissingColumns=True)
+        .unionByName(probes.select(key, F.col(at).alias("t_"), F.lit(1).alias("kind_"), F.struct(F.lit(1).alias("row_"), *payload).alias("p_")),
+                     allowMissingColumns=True)
     )
-    # the newest state has a null time and comes first; at equal times the probe comes before the
-    # events, which therefore count as applied
-    order = [F.col("t_").desc_nulls_first(), F.col("probe_").desc(), F.col("tie_").desc()]
+    order = [F.col("t_").desc_nulls_first(), F.col("kind_").desc(), F.col("tie_").desc()]
     seen = order_rows(rows, [key], order, slices).scan(lasts={"state_": F.col("s_")})
-    return seen.where(F.col("probe_") == 1).select(
+    return seen.where(F.col("kind_") == 1).select(
         key, F.col("t_").alias(at), *[F.col(f"p_.{c}").alias(c) for c in payload],
-        F.col("state_.state.v").alias("value"),
+        F.col("state_.v").alias("value"),
         F.coalesce(F.col("state_.hist"), F.lit(False)).alias("has_history"),
     )
 
 
-def value_intervals(
-    events: DataFrame, static: DataFrame, key: str, payload: Sequence[str] = (), slices: int | None = None
-) -> DataFrame:
+def value_intervals(events: DataFrame, static: DataFrame, key: str, slices: int | None = None) -> DataFrame:
     """The step function as rows: key, valid_from, valid_to, value, last, from_history.
 
     A null bound is open. ``last`` marks the present-day interval, ``from_history`` one that an event
-    bounds. Events of one instant give empty intervals, which match nothing. ``payload`` columns of
-    ``events`` are carried on the closed intervals.
+    bounds. Events of one instant give empty intervals, which match nothing. The last event of a key
+    closes one interval and opens another; keys without events get one interval from ``static``.
     """
-    scanned = order_rows(events, [key], [F.col("ts"), F.col("tie")], slices).scan(previous={"prev_": (F.col("ts"), 1)})
-    closed = scanned.select(
-        key, F.get("prev_", F.lit(0)).alias("valid_from"), F.col("ts").alias("valid_to"),
-        F.col("before").alias("value"), F.lit(False).alias("last"), F.lit(True).alias("from_history"), *payload,
-    )
-    hist = F.col("end_").isNotNull()
-    open_ = static.join(_end_state(events, key), key, "left").select(
-        key, F.col("end_.ts").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"),
-        F.when(hist, F.col("end_.v")).otherwise(F.col("value")).alias("value"),
-        F.lit(True).alias("last"), hist.alias("from_history"),
-    )
-    return closed.unionByName(open_, allowMissingColumns=True)
+    one = F.lit(1).cast("long")
+    d = order_rows(events, [key], [F.col("ts"), F.col("tie")], slices).scan(
+        sums={"rn_": one}, totals={"n_": one}, lasts_before={"prev_": F.col("ts")})
+    span = lambda a, b, v, last, hist: F.struct(
+        a.alias("valid_from"), b.alias("valid_to"), v.alias("value"), F.lit(last).alias("last"), F.lit(hist).alias("from_history"))
+    never = F.lit(None).cast("timestamp")
+    closed = span(F.col("prev_"), F.col("ts"), F.col("before"), False, True)
+    open_ = span(F.col("ts"), never, F.col("after"), True, True)
+    spans = F.when(F.col("rn_") == F.col("n_"), F.array(closed, open_)).otherwise(F.array(closed))
+    bare = static.join(events.select(key).distinct(), key, "left_anti")
+    return d.select(key, F.explode(spans).alias("x")).select(key, "x.*").unionByName(
+        bare.select(key, span(never, never, F.col("value"), True, False).alias("x")).select(key, "x.*"))

@@ -153,7 +153,7 @@ def add_concurrency(df: DataFrame, slices: int | None = None) -> DataFrame:
 def predecessor_overlap(df: DataFrame, slices: int | None = None) -> DataFrame:
     """Per project: how often the previous sprint by start had not ended or closed at this start."""
     o = order_rows(df, ["project"], [F.col("start_date"), F.col("sprint_id")], slices)
-    d = o.scan(previous={"p_": (F.struct("end_date", "complete_date"), 1)}).withColumn("p_", F.get("p_", F.lit(0)))
+    d = o.scan(lasts_before={"p_": F.struct("end_date", "complete_date")})
     d = d.where(F.col("p_").isNotNull())
     end_open, close_open = F.col("p_.end_date") > F.col("start_date"), F.col("p_.complete_date") > F.col("start_date")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))

@@ -44,21 +44,22 @@ class OrderedRows:
         sums_before: dict[str, Column] | None = None,
         totals: dict[str, Column] | None = None,
         lasts: dict[str, Column] | None = None,
+        lasts_before: dict[str, Column] | None = None,
         previous: dict[str, tuple[Column, int]] | None = None,
     ) -> DataFrame:
         """Add running columns.
 
         ``sums``/``sums_before``: running sum up to and with / before the row; ``totals``: sum over
-        the group; ``lasts``: the last non-null value up to and with the row; ``previous``: the up to
+        the group; ``lasts``/``lasts_before``: the last non-null value up to and with / before the row; ``previous``: the up to
         k earlier values as an array, newest first (nulls kept).
         """
         sums, sums_before, totals = sums or {}, sums_before or {}, totals or {}
-        lasts, previous = lasts or {}, previous or {}
+        lasts, lasts_before, previous = lasts or {}, lasts_before or {}, previous or {}
         numeric = {**sums, **sums_before, **totals}
         df = self.df
         for name, expr in numeric.items():
             df = df.withColumn(f"__v_{name}", F.coalesce(expr, F.lit(0)))
-        for name, expr in lasts.items():
+        for name, expr in {**lasts, **lasts_before}.items():
             df = df.withColumn(f"__v_{name}", expr)
         for name, (expr, _) in previous.items():
             df = df.withColumn(f"__v_{name}", F.struct(expr.alias("v")))
@@ -76,15 +77,17 @@ class OrderedRows:
             out[n] = F.sum(f"__v_{n}").over(group)
         for n in lasts:
             out[n] = F.last(f"__v_{n}", ignorenulls=True).over(upto)
+        for n in lasts_before:
+            out[n] = F.last(f"__v_{n}", ignorenulls=True).over(before)
         for n, (_, k) in previous.items():
             out[n] = F.collect_list(f"__v_{n}").over(w.rowsBetween(-k, -1))
         res = df.withColumns(out)
         if self.sliced:
-            res = self._with_carry(df, res, sums, sums_before, totals, lasts, previous)
+            res = self._with_carry(df, res, {**sums, **sums_before}, totals, {**lasts, **lasts_before}, previous)
         res = res.withColumns({n: F.transform(F.reverse(n), lambda x: x["v"]) for n in previous})
         return res.drop(*[c for c in res.columns if c.startswith("__")])
 
-    def _with_carry(self, df, res, sums, sums_before, totals, lasts, previous) -> DataFrame:
+    def _with_carry(self, df, res, sums, totals, lasts, previous) -> DataFrame:
         keys, at = self.keys, [SLICE, *self.keys]
         if keys:
             heads = df.groupBy(SLICE).agg(F.min(F.struct(*keys)).alias("h")).select("h.*").distinct()
@@ -94,7 +97,7 @@ class OrderedRows:
             rows = df
         parts = rows.groupBy(*at).agg(
             F.count(F.lit(1)).alias("__rows"),
-            *[F.sum(f"__v_{n}").alias(n) for n in {**sums, **sums_before, **totals}],
+            *[F.sum(f"__v_{n}").alias(n) for n in {**sums, **totals}],
             *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(POS))).alias(n) for n in lasts],
         )
         for n, (_, k) in previous.items():
@@ -109,7 +112,7 @@ class OrderedRows:
         along = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         earlier = along.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         cols = {}
-        for n in {**sums, **sums_before}:
+        for n in sums:
             cols[n] = F.sum(n).over(earlier)
         for n in totals:
             cols[n] = F.sum(n).over(along)
@@ -124,7 +127,7 @@ class OrderedRows:
         )
         res = res.join(F.broadcast(carry), _same_group(res, carry, at), "left")
         merged = {}
-        for n in {**sums, **sums_before}:
+        for n in sums:
             merged[n] = F.col(n) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))
         for n in totals:
             merged[n] = F.coalesce(F.col(f"__c_{n}"), F.col(n))

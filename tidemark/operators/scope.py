@@ -97,18 +97,23 @@ def _relevant(change_log: DataFrame) -> DataFrame:
     )
 
 
-def cell_tokens(value: str = "value") -> Column:
-    """Distinct ids of a membership cell as (kind, token, times); the text counts only without an id list."""
-    cell = F.col(value)
+def explode_tokens(spans: DataFrame) -> DataFrame:
+    """One row per distinct id of a membership cell: kind, token, and how often the cell repeats it.
+
+    The text counts only without an id list.
+    """
+    cell = F.col("value")
     text = F.lower(F.trim(cell["text"]))
-    entry = lambda kind, t, n: F.struct(F.lit(kind).alias("kind"), t.alias("token"), n.alias("times"))
-    ids = id_tokens(cell["ids"])
-    known = F.transform(F.array_distinct(ids), lambda t: entry("jira", t, F.size(F.filter(ids, lambda x: x == t))))
-    return (
-        F.when(cell["raw"].isNotNull(), F.array(entry("raw", cell["raw"], F.lit(1))))
-        .when(cell["ids"].isNotNull(), known)
-        .when(text.isNotNull() & ~text.isin(NULL_SET_WORDS), F.array(entry("text", text, F.lit(1))))
+    readable = text.isNotNull() & ~text.isin(NULL_SET_WORDS)
+    d = spans.withColumns({"ids_": id_tokens(cell["ids"]), "text_": F.when(readable, text)})
+    kind = F.when(cell["raw"].isNotNull(), "raw").when(F.col("ids_").isNotNull(), "jira").otherwise("text")
+    tokens = (
+        F.when(cell["raw"].isNotNull(), F.array(cell["raw"])).when(F.col("ids_").isNotNull(), F.array_distinct("ids_"))
+        .when(F.col("text_").isNotNull(), F.array("text_"))
     )
+    d = d.withColumn("kind", kind).withColumn("token", F.explode(tokens))
+    times = F.when(F.col("kind") == "jira", F.size("ids_") - F.size(F.array_remove("ids_", F.col("token")))).otherwise(1)
+    return d.withColumn("times", times).drop("ids_", "text_", "value")
 
 
 def membership_rows(sprints: DataFrame, issues: DataFrame, change_log: DataFrame, slices: int | None = None) -> DataFrame:
@@ -123,10 +128,8 @@ def membership_rows(sprints: DataFrame, issues: DataFrame, change_log: DataFrame
         "raw_issue_id",
         F.struct(null.alias("ids"), null.alias("text"), id_text(F.col("raw_sprint_id")).alias("raw")).alias("value"),
     )
-    spans = value_intervals(events, static, "raw_issue_id", slices=slices)
-    spans = spans.withColumn("token", F.explode(cell_tokens())).select(
-        "raw_issue_id", "valid_from", "valid_to", "last", "from_history", "token.kind", "token.token", "token.times"
-    )
+    spans = value_intervals(events, static, "raw_issue_id", slices)
+    spans = explode_tokens(spans)
     attributes = [c for c in ("issue_key", "issue_type") if c in known.columns]
     spans = materialize(spans.join(known.select(
         "raw_issue_id", "project", "creation_date", "resolution_date", *attributes

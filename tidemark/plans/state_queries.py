@@ -26,8 +26,8 @@ SELECT p.day, coalesce(e.event_type, 'none') AS state, count(*) AS users FROM p
 def state_asof(spark, d):
     """State of every user at each midnight, from a change log of event types."""
     ev = tk.load(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    log = order_rows(ev, ["user_id"], [F.col("ts"), F.col("event_id")]).scan(previous={"p_": (F.col("event_type"), 1)}).select(
-        "user_id", "ts", F.col("event_id").alias("tie"), F.get("p_", F.lit(0)).alias("before"), F.col("event_type").alias("after"))
+    log = order_rows(ev, ["user_id"], [F.col("ts"), F.col("event_id")]).scan(lasts_before={"p_": F.col("event_type")}).select(
+        "user_id", "ts", F.col("event_id").alias("tie"), F.col("p_").alias("before"), F.col("event_type").alias("after"))
     users = ev.select("user_id").distinct()
     days_ = F.sequence(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-31").cast("timestamp"), F.expr("INTERVAL 1 DAY"))
     probes = users.select("user_id", F.explode(days_).alias("day"))

@@ -91,12 +91,12 @@ def changes(item_rows: DataFrame) -> DataFrame:
     """Change log of the items."""
     return (
         item_rows.select("raw_issue_id", "project", F.explode(changes_array()).alias("c"))
-        .select("raw_issue_id", "project", "c.*")
+        .where(F.col("c").isNotNull()).select("raw_issue_id", "project", "c.*")
     )
 
 
 def changes_array():
-    """Changes of an item: sprint moves with id lists and names, point changes, and noise."""
+    """Changes of an item: sprint moves with id lists and names, point changes, noise, and nulls between."""
     start, box, line = F.col("box_start"), F.col("box"), F.col("line")
     here = (box + JIRA_OFFSET).cast("string")
     both = F.concat_ws(", ", here, (box + JIRA_OFFSET + 8).cast("string"))
@@ -113,7 +113,7 @@ def changes_array():
     points = F.col("qty").cast("long")
     name = F.concat(F.lit("Box "), (box + 8).cast("string"))
     moved_to = F.concat(F.lit("moved to Box "), box.cast("string"))
-    rows = F.array(
+    return F.array(
         row(1, line.isin(1, 4), "Sprint", none, here, none, none,
             hours(plus_days(start, F.col("part") % 7 - 4), line.cast("long"))),
         row(2, line.isin(4, 5), "Sprint", here, both, none, none, hours(moved, F.lit(2))),
@@ -126,7 +126,6 @@ def changes_array():
             hours(moved, F.lit(30))),
         row(6, line == 1, "status", F.lit("open"), F.lit("done"), none, none, start),
     )
-    return F.array_compact(rows)
 
 
 def nested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +135,7 @@ def nested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     sprint = F.concat(
         F.lit("com.example.Sprint@1[id="), F.col("raw_sprint_id").cast("string"), F.lit(",rapidViewId=9,state=closed,name=Box, "),
         F.col("raw_sprint_id").cast("string"), F.lit(",startDate="), day(F.col("box_start")), F.lit(",completeDate=<null>]"))
-    log = changes_array()
+    log = F.array_compact(changes_array())
     tuples = F.transform(log, lambda c: F.array(
         c["change_id"].cast("string"), c["field"], c["from_value"], c["to_value"], c["from_string"], c["to_string"], day(c["change_date"])))
     return i.select(

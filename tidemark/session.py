@@ -43,9 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: one pass, no lineage, columns prunable.
 
-    Tables stay until the folder's owner expires them; a lost executor re-reads them.
+    A lost executor re-reads the table. It is removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
