@@ -254,7 +254,7 @@ def text_numbers(spark, d):
 @query("number_support")
 def number_support(spark, d):
     """Numbers of generated messages checked against the board text of their box."""
-    boards = board_text(spark, d)
+    boards = materialize(board_text(spark, d))
     msg = F.concat(F.lit("Only "), F.regexp_extract("board", r"resolved so far: (\d+)", 1), F.lit(" of "), F.regexp_extract("board", r"of (\d+)\. Committed", 1),
                    F.lit(" issues are done, about "), F.pmod(F.xxhash64("sprint_id"), F.lit(40)).cast("string"), F.lit("% of the points and 97 more."))
     checked = text.number_support(boards.withColumn("message", msg), "message", "board")
