@@ -125,9 +125,8 @@ def test_asof_with_one_hot_key_matches_brute_force(spark, slices):
         state = new
     ev.append(("cold", d(9), 1, "p", "q"))
     events = spark.createDataFrame(ev, "k string, ts timestamp, tie long, before string, after string")
-    probes = spark.createDataFrame([(k, d(5, hour=h), h) for k in ("hot", "cold", "bare") for h in range(24)], "k string, at timestamp, h int")
-    static = spark.createDataFrame([("hot", "s"), ("cold", "s"), ("bare", "s")], "k string, value string")
-    for r in value_asof(events, probes, static, "k", "at", slices).collect():
+    probes = spark.createDataFrame([(k, d(5, hour=h), "s") for k in ("hot", "cold", "bare") for h in range(24)], "k string, at timestamp, now string")
+    for r in value_asof(events, probes, "k", "at", "now", slices).collect():
         later = [e for e in ev if e[0] == r.k and e[1] > r["at"]]
         any_ = [e for e in ev if e[0] == r.k]
         want = min(later, key=lambda e: (e[1], e[2]))[3] if later else max(any_, key=lambda e: (e[1], e[2]))[4] if any_ else "s"

@@ -1,7 +1,7 @@
 """Value of a changing field at past instants.
 
-``events`` have the columns key, ts, tie, before, after; ``tie`` orders events of one instant.
-``static`` has one row per key with ``value``, the present-day value of keys without events.
+``events`` have the columns key, ts, tie, before, after; ``tie`` orders events of one instant. The static
+value is the present-day value of a key, used where the key has no events.
 """
 
 from __future__ import annotations
@@ -13,34 +13,34 @@ from tidemark.operators.ordered import order_rows
 
 
 def value_asof(
-    events: DataFrame, probes: DataFrame, static: DataFrame, key: str, at: str, slices: int | None = None
+    events: DataFrame, probes: DataFrame, key: str, at: str, static: str | None = None, slices: int | None = None
 ) -> DataFrame:
-    """Add ``value`` and ``has_history`` to each probe (key, ``at``, ...).
+    """Add ``value`` and ``has_history`` to each probe (key, ``at``, ...); ``static`` names a probe column.
 
     A change at the instant itself counts as applied, so the value is ``before`` of the first later
     event, ``after`` of the last event when none is later, and the static value for a key without
     events. One scan from the newest row to the oldest serves all probes of a key.
     """
-    state = lambda hist, v: F.struct(F.lit(hist).alias("hist"), F.col(v).alias("v")).alias("s_")
+    state = lambda v: F.struct(F.col(v).alias("v")).alias("s_")
     never = F.lit(None).cast("timestamp").alias("t_")
     ends = events.groupBy(key).agg(F.max_by("after", F.struct("ts", "tie")).alias("end_"))
     payload = [c for c in probes.columns if c not in (key, at)]
-    # scan order: the static value, the newest state, then from new to old; at equal times probes come
-    # before events, which therefore count as applied
+    # scan order: the newest state, then from new to old; at equal times probes come before events,
+    # which therefore count as applied
     rows = (
-        static.select(key, never, F.lit(9).alias("kind_"), state(False, "value"))
-        .unionByName(ends.select(key, never, F.lit(8).alias("kind_"), state(True, "end_")))
-        .unionByName(events.select(key, F.col("ts").alias("t_"), F.lit(0).alias("kind_"), state(True, "before"), F.col("tie").alias("tie_")),
+        ends.select(key, never, F.lit(8).alias("kind_"), state("end_"))
+        .unionByName(events.select(key, F.col("ts").alias("t_"), F.lit(0).alias("kind_"), state("before"), F.col("tie").alias("tie_")),
                      allowMissingColumns=True)
         .unionByName(probes.select(key, F.col(at).alias("t_"), F.lit(1).alias("kind_"), F.struct(F.lit(1).alias("row_"), *payload).alias("p_")),
                      allowMissingColumns=True)
     )
     order = [F.col("t_").desc_nulls_first(), F.col("kind_").desc(), F.col("tie_").desc()]
     seen = order_rows(rows, [key], order, slices).scan(lasts={"state_": F.col("s_")})
+    known = F.col("state_").isNotNull()
+    fallback = F.col(f"p_.{static}") if static else F.lit(None)
     return seen.where(F.col("kind_") == 1).select(
         key, F.col("t_").alias(at), *[F.col(f"p_.{c}").alias(c) for c in payload],
-        F.col("state_.v").alias("value"),
-        F.coalesce(F.col("state_.hist"), F.lit(False)).alias("has_history"),
+        F.when(known, F.col("state_.v")).otherwise(fallback).alias("value"), known.alias("has_history"),
     )
 
 

@@ -51,17 +51,11 @@ def names_in_text(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """
     names = ids.where((F.col("kind") == "name") & (F.col("token") != ""))
     lengths = names.groupBy("project").agg(F.collect_set(F.length("token")).alias("lengths"))
-    pieces = lookup_join(texts.distinct(), lengths, ["project"], "inner").withColumn(
-        "pieces",
-        F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.transform(
-            F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1))
-            .otherwise(F.array().cast("array<int>")),
-            lambda i: F.substr("text", i, n),
-        )))),
-    )
-    hits = pieces.select("project", "text", F.explode("pieces").alias("token")).join(
-        names.select("project", "token", "sprint_id", "start_date", "end_date"), ["project", "token"]
-    ).withColumn("exact", F.col("token") == F.col("text"))
+    pieces = lookup_join(texts.distinct(), lengths, ["project"], "inner").withColumn("n", F.explode("lengths"))
+    pieces = pieces.where(F.length("text") >= F.col("n")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)))
+    pieces = pieces.select("project", "text", F.substr("text", F.col("at"), F.col("n")).alias("token"))
+    hits = lookup_join(pieces, names.select("project", "token", "sprint_id", "start_date", "end_date"), ["project", "token"], "inner").withColumn(
+        "exact", F.col("token") == F.col("text"))
     best = hits.groupBy("project", "text").agg(
         F.max("exact").alias("any_exact"),
         F.collect_set(F.struct("exact", "sprint_id", "start_date", "end_date")).alias("hits"),
@@ -122,7 +116,7 @@ def membership_rows(sprints: DataFrame, issues: DataFrame, change_log: DataFrame
     ids = sprint_ids(sprints)
     projects = sprints.select("project").distinct()
     known = lookup_join(issues, projects.withColumn("has_", F.lit(True)), ["project"], "inner").drop("has_")
-    events = membership_events(change_log)
+    events = materialize(membership_events(change_log))  # parsed once, read for the order and for the keys
     null = F.lit(None).cast("string")
     static = known.select(
         "raw_issue_id",
@@ -130,7 +124,7 @@ def membership_rows(sprints: DataFrame, issues: DataFrame, change_log: DataFrame
     )
     spans = value_intervals(events, static, "raw_issue_id", slices)
     spans = explode_tokens(spans)
-    attributes = [c for c in ("issue_key", "issue_type") if c in known.columns]
+    attributes = ["story_point", *[c for c in ("issue_key", "issue_type") if c in known.columns]]
     spans = materialize(spans.join(known.select(
         "raw_issue_id", "project", "creation_date", "resolution_date", *attributes
     ), "raw_issue_id"))  # read twice: for the texts and for the ids
@@ -159,7 +153,7 @@ def start_memberships(rows: DataFrame) -> DataFrame:
     t = F.col("start_date")
     return rows.where(F.col("sprint_id").isNotNull() & holds_at(t)).select(
         "project", "raw_issue_id", "sprint_id", "start_date", "end_date", "creation_date", "resolution_date",
-        *[c for c in ("issue_key", "issue_type") if c in rows.columns],
+        F.col("story_point").cast("double").alias("static_value"), *[c for c in ("issue_key", "issue_type") if c in rows.columns],
         F.when(F.col("from_history"), "observed_sprint_history").otherwise("static_sprint_fallback").alias("sprint_source"),
     )
 
@@ -171,12 +165,11 @@ def commitments(
     rows = membership_rows(sprints, issues, change_log, slices) if rows is None else rows
     t = F.col("start_date")
     members = start_memberships(rows).where(created_by(t) & open_until(t))
-    static = issues.select("raw_issue_id", F.col("story_point").cast("double").alias("value"))
-    seen = value_asof(point_events(change_log), members, static, "raw_issue_id", "start_date", slices)
+    seen = value_asof(materialize(point_events(change_log)), members, "raw_issue_id", "start_date", "static_value", slices)
     return seen.withColumns({
         "story_point_source": F.when(F.col("has_history"), "observed_story_history").otherwise("static_story_fallback"),
         "completed_by_end": F.coalesce(F.col("resolution_date") <= F.col("end_date"), F.lit(False)),
-    }).withColumnRenamed("value", "story_point_at_start").drop("has_history")
+    }).withColumnRenamed("value", "story_point_at_start").drop("has_history", "static_value")
 
 
 def planning_scope(sprints: DataFrame, issues: DataFrame, change_log: DataFrame, slices: int | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def state_asof(spark, d):
     users = ev.select("user_id").distinct()
     days_ = F.sequence(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-31").cast("timestamp"), F.expr("INTERVAL 1 DAY"))
     probes = users.select("user_id", F.explode(days_).alias("day"))
-    seen = value_asof(log, probes, users.withColumn("value", F.lit(None).cast("string")), "user_id", "day")
+    seen = value_asof(log, probes, "user_id", "day")
     return seen.groupBy("day", F.coalesce("value", F.lit("none")).alias("state")).agg(F.count(F.lit(1)).alias("users"))
 
 
