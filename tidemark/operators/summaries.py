@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import ends_late_in_week, key_number, key_prefix
 from tidemark.operators.metrics import size_bucket
 from tidemark.operators.ranking import exact_quantiles, rank_quartile, spearman
-from tidemark.operators.skew import top_k
+from tidemark.operators.skew import lookup_join, top_k
 
 
 def medians(df: DataFrame, keys: Sequence[str], value: str, name: str, slices=None) -> DataFrame:
@@ -164,7 +164,7 @@ def coverage_gap(items: DataFrame, min_items: int = 200) -> DataFrame:
     g = d.groupBy("project", "prefix").agg(
         F.count(F.lit(1)).alias("items"), F.min(F.when(F.col("raw_sprint_id").isNotNull(), F.col("num"))).alias("lo"), F.max("num").alias("hi"))
     g = g.where(F.col("items") >= min_items)
-    era = d.join(F.broadcast(g.select("project", "prefix", "lo", "hi")), ["project", "prefix"]).where(F.col("num").between(F.col("lo"), F.col("hi")))
+    era = lookup_join(d, g.select("project", "prefix", "lo", "hi"), ["project", "prefix"], "inner").where(F.col("num").between(F.col("lo"), F.col("hi")))
     vis = era.groupBy("project", "prefix").agg(F.count(F.lit(1)).alias("visible"))
     out = g.join(vis, ["project", "prefix"], "left").withColumn("visible", F.coalesce("visible", F.lit(0)))
     return out.withColumn("gap", 1 - F.col("visible") / (F.col("hi") - F.col("lo") + 1))
