@@ -27,17 +27,22 @@ def local_session(cpus: int | str = 8, memory: str = "16g", name: str = "tidemar
     )
 
 
+_local_dirs: dict[str, str] = {}  # application id -> temporary folder of a local session
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only for a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if sc.applicationId not in _local_dirs:
+        made = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _local_dirs[sc.applicationId] = made
+    return _local_dirs[sc.applicationId]
 
 
 def spread(df: DataFrame) -> DataFrame:
