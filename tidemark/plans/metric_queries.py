@@ -487,3 +487,15 @@ def nested_sprints(spark, d):
     from tidemark.sources import nested
 
     return nested.flatten_sprints(tk.nested_items(spark, d)).select("raw_sprint_id", "sprint_state", "start_date", "project")
+
+
+@query("edited_batches", with_("study") + """SELECT sprint_id, checkpoint, floor((row_number() OVER (PARTITION BY checkpoint ORDER BY """ + "(('0x'||substr(md5('2027|'||sprint_id),1,8))::UBIGINT)" + """, sprint_id)-1)/20)::BIGINT+1 AS batch, m_score<m_threshold AS shows_warn FROM study""")
+def edited_batches(spark, d):
+    """Condition with the opposite verdict shown, in random batches per checkpoint."""
+    from tidemark.functions import text
+    from tidemark.plans.jobs import build_edited_prompts
+
+    p, t = F.col("m_score"), F.col("m_threshold")
+    edit = lambda s: s.withColumn("shown", text.flip_verdict(text.grounding_line(p, t, 0.75), p, t))
+    b = build_edited_prompts(tk.study(spark, d), edit)
+    return b.select("sprint_id", "checkpoint", "batch", F.col("shown").contains("says WARN").alias("shows_warn"))
