@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -22,7 +23,7 @@ LAST_ID = (1 << 63) - 1  # stands for a null id: after every other
 
 _shipped: set[str] = set()
 
-__all__ = ["SPACE", "UPPER", "LOWER", "LAST_ID", "known_id", "ascii_lower", "same", "ship", "new_folder", "filesystem", "fixed", "materialize", "shared_dir", "table"]
+__all__ = ["SPACE", "UPPER", "LOWER", "LAST_ID", "known_id", "ascii_lower", "same", "ship", "new_folder", "filesystem", "fixed", "forget", "release", "materialize", "shared_dir", "table"]
 
 
 def known_id(col: str) -> Column:
@@ -77,5 +78,23 @@ def filesystem(uri: str):
 fixed = materialize
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished plans now, so that steps that follow one another do not add up on disk.
+
+    Spark's cleaner removes them once the plans that made them are garbage; nothing that is still used goes.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``fixed`` that no later step reads."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tidemark-" in path:
+                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

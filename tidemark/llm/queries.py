@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import lines, tokens
+from tidemark.llm import boosted, decontaminate, jaccard, lines, mixing, outliers, suffixes, tokens, urls, warc
 from tidemark.llm.common import table
 from tidemark.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+WEIGHTS = {"src0": 20, **{f"src{k}": 6 for k in range(1, 10)}, **{f"src{k}": 2 for k in range(10, 20)}}
 SPACE_SQL = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 
@@ -27,6 +28,61 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_pfair_mix")
+def op1_pfair_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, WEIGHTS).select("doc_id", "source", "mix_source", "mix_phase", "mix_block", "mix_slot", "mix_rank")
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_outliers")
+def op3_outliers(spark, sf_dir):
+    return outliers.outlier_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    return boosted.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Base32 of a hex SHA-1: 8 groups of 5 hex digits give 4 letters each.
+_HEX = "+".join(f"((strpos('0123456789abcdef', substr(s, (j//4)*5+{t + 1}, 1))-1) << {16 - 4 * t})" for t in range(5))
+
+
+@query("op5_warc", f"""
+WITH p AS (SELECT page_id, encode(coalesce(html,'')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s, sha256(b) AS h FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS best FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((({_HEX}) >> (15 - 5*(j%4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM m""")
+def op5_warc(spark, sf_dir):
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+@query("op6_repeats", """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text,'')))) AS x FROM documents),
+w AS (SELECT doc_id, p, substr(x, 2*p+1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x)//2-49, 0))) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS a FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT w.doc_id, p FROM w JOIN f ON w.s = f.s WHERE w.doc_id > f.a),
+g AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS new FROM r),
+n AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+c AS (SELECT doc_id, k, min(p) AS lo, max(p)+50 AS hi FROM n GROUP BY doc_id, k),
+e AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM c),
+k AS (SELECT e.doc_id, count(*) AS n_spans, sum(hi-lo) AS n_removed, string_agg(substr(x, 2*before+1, 2*(lo-before)), '' ORDER BY lo) || substr(any_value(x), 2*max(hi)+1) AS kept
+      FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(length(x)//2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""")
+def op6_repeats(spark, sf_dir):
+    return suffixes.repeat_report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_line_dedup", f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''), chr(10)), 1) AS p FROM documents),
@@ -43,3 +99,25 @@ def op7_line_dedup(spark, sf_dir):
 @query("op8_token_files")
 def op8_token_files(spark, sf_dir):
     return tokens.token_report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op9_jaccard", f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-3, CASE WHEN len(w)>0 THEN 2 ELSE 1 END))) AS k FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100*k >= 80*(x.n+y.n-k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v WHERE r.c < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) c ON c.v = d.doc_id""")
+def op9_jaccard(spark, sf_dir):
+    return jaccard.jaccard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_url_rules")
+def op10_url_rules(spark, sf_dir):
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), urls.label_blocks(table(spark, sf_dir, "labels"))
+    return urls.judge(pages, labels).select("page_id", "host", "path", "rule", "verdict")
