@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship
+from tidemark.llm.shingles import plain
 
 PASSAGE = 64
 HALF = PASSAGE // 2
@@ -47,7 +48,7 @@ LEAK = "array<struct<item_id:long,cosine:double,lcs:double,answer:double,word:lo
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words (lower-cased runs of letters and digits) of all texts, and how many each has."""
-    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), WORD)
+    parts = pc.split_pattern_regex(pc.utf8_lower(plain(texts)), WORD)
     n = np.diff(parts.offsets.to_numpy())
     flat = parts.flatten()
     full = pc.not_equal(flat, "")
