@@ -80,10 +80,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block: int
     q = {**weights, OTHER: other}
     group = F.when(F.col(source).isin(list(weights)), F.col(source)).otherwise(F.lit(OTHER))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))))
-    own = docs.withColumns({"mix_source": group, "__key": key})
-    own = own.withColumn("__bin", F.shiftright(F.conv(F.substring("__key", 1, 4), 16, 10).cast("int"), 6))
+    own = docs.withColumns({"mix_source": group, "__mix_key": key})
+    own = own.withColumn("__mix_bin", F.shiftright(F.conv(F.substring("__mix_key", 1, 4), 16, 10).cast("int"), 6))
     # Rows before each part of a source: at most (weights + 1) x BINS rows.
-    counts = own.groupBy("mix_source", "__bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = own.groupBy("mix_source", "__mix_bin").agg(F.count(F.lit(1)).alias("n"))
     sizes = {(r[0], r[1]): r[2] for r in counts.collect()}
     before, have = [], {}
     for s, b in sorted(sizes):
@@ -91,22 +91,22 @@ def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block: int
         have[s] = have.get(s, 0) + sizes[s, b]
     blocks = {s: -(-n // block) for s, n in have.items()}
     plan = phases(blocks, q)
-    offsets = spark.createDataFrame(before, "mix_source string, __bin int, __before long")
-    slots = spark.createDataFrame(plan, "mix_source string, mix_phase int, __lo long, __hi long, __k long, __slot long, __begin long")
-    spans = slots.groupBy("mix_source", "mix_phase", "__lo", "__hi", "__begin").agg(F.count(F.lit(1)).alias("__q"))
-    totals = slots.groupBy("mix_phase").agg(F.count(F.lit(1)).alias("__total"))
+    offsets = spark.createDataFrame(before, "mix_source string, __mix_bin int, __mix_before long")
+    slots = spark.createDataFrame(plan, "mix_source string, mix_phase int, __mix_lo long, __mix_hi long, __mix_k long, __mix_slot long, __mix_begin long")
+    spans = slots.groupBy("mix_source", "mix_phase", "__mix_lo", "__mix_hi", "__mix_begin").agg(F.count(F.lit(1)).alias("__mix_q"))
+    totals = slots.groupBy("mix_phase").agg(F.count(F.lit(1)).alias("__mix_total"))
     spans = spans.join(totals, "mix_phase")
 
-    w = Window.partitionBy("mix_source", "__bin").orderBy("__key")
-    own = own.withColumn("__n", F.row_number().over(w) - 1).join(F.broadcast(offsets), ["mix_source", "__bin"])
-    own = own.withColumn("__n", F.col("__n") + F.col("__before"))
-    own = own.withColumns({"mix_block": F.floor(F.col("__n") / block), "mix_rank": F.pmod("__n", F.lit(block))})
-    own = own.join(F.broadcast(spans.withColumnRenamed("mix_source", "__s")), (F.col("mix_source") == F.col("__s")) & (F.col("mix_block") >= F.col("__lo")) & (F.col("mix_block") < F.col("__hi")))
-    own = own.withColumns({"__in": F.col("mix_block") - F.col("__lo")})
-    own = own.withColumns({"__turn": F.floor(F.col("__in") / F.col("__q")), "__k": F.pmod("__in", F.col("__q"))})
-    own = own.join(F.broadcast(slots.select(F.col("mix_source").alias("__s2"), F.col("mix_phase").alias("__p2"), F.col("__k").alias("__k2"), "__slot")), (F.col("mix_source") == F.col("__s2")) & (F.col("mix_phase") == F.col("__p2")) & (F.col("__k") == F.col("__k2")))
-    own = own.withColumn("mix_slot", F.col("__begin") + F.col("__turn") * F.col("__total") + F.col("__slot"))
-    return own.drop(*[c for c in own.columns if c.startswith("__")])
+    w = Window.partitionBy("mix_source", "__mix_bin").orderBy("__mix_key")
+    own = own.withColumn("__mix_n", F.row_number().over(w) - 1).join(F.broadcast(offsets), ["mix_source", "__mix_bin"])
+    own = own.withColumn("__mix_n", F.col("__mix_n") + F.col("__mix_before"))
+    own = own.withColumns({"mix_block": F.floor(F.col("__mix_n") / block), "mix_rank": F.pmod("__mix_n", F.lit(block))})
+    own = own.join(F.broadcast(spans.withColumnRenamed("mix_source", "__mix_s")), (F.col("mix_source") == F.col("__mix_s")) & (F.col("mix_block") >= F.col("__mix_lo")) & (F.col("mix_block") < F.col("__mix_hi")))
+    own = own.withColumns({"__mix_in": F.col("mix_block") - F.col("__mix_lo")})
+    own = own.withColumns({"__mix_turn": F.floor(F.col("__mix_in") / F.col("__mix_q")), "__mix_k": F.pmod("__mix_in", F.col("__mix_q"))})
+    own = own.join(F.broadcast(slots.select(F.col("mix_source").alias("__mix_s2"), F.col("mix_phase").alias("__mix_p2"), F.col("__mix_k").alias("__mix_k2"), "__mix_slot")), (F.col("mix_source") == F.col("__mix_s2")) & (F.col("mix_phase") == F.col("__mix_p2")) & (F.col("__mix_k") == F.col("__mix_k2")))
+    own = own.withColumn("mix_slot", F.col("__mix_begin") + F.col("__mix_turn") * F.col("__mix_total") + F.col("__mix_slot"))
+    return own.drop(*[c for c in own.columns if c.startswith("__mix_")])
 
 
 def mixed_order(docs: DataFrame, **kw) -> DataFrame:
