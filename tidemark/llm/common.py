@@ -23,7 +23,7 @@ LAST_ID = (1 << 63) - 1  # stands for a null id: after every other
 
 _shipped: set[str] = set()
 
-__all__ = ["SPACE", "UPPER", "LOWER", "LAST_ID", "known_id", "ascii_lower", "same", "ship", "new_folder", "filesystem", "fixed", "forget", "release", "materialize", "shared_dir", "table"]
+__all__ = ["SPACE", "UPPER", "LOWER", "LAST_ID", "known_id", "ascii_lower", "same", "ship", "new_folder", "filesystem", "fixed", "forget", "hash_sample", "release", "materialize", "shared_dir", "table"]
 
 
 def known_id(col: str) -> Column:
@@ -57,6 +57,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def hash_sample(df: DataFrame, cols: list[str], rows: int) -> list:
+    """At most ``rows`` rows, those of smallest hash, one per hash, collected: the same ones however the table is cut.
+
+    The hashes are picked first, so that a task sends the driver ``rows`` numbers and not as many texts.
+    """
+    hashed = df.select(*cols).withColumn("__h", F.xxhash64(*cols))
+    low = hashed.select("__h").distinct().orderBy("__h").limit(rows).agg(F.max("__h")).first()[0]
+    if low is None:
+        return []
+    return hashed.where(F.col("__h") <= low).dropDuplicates(["__h"]).orderBy("__h").drop("__h").collect()
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A new folder in the shared store as a full address; it goes when the application ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark-{kind}-{uuid.uuid4().hex}")

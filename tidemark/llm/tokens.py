@@ -34,14 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, filesystem, fixed, known_id, new_folder, ship
+from tidemark.llm.common import LAST_ID, filesystem, fixed, hash_sample, known_id, new_folder, ship
 
 MAGIC = b"TIDETOK1"
-CACHE = 800_000  # entries; the first ones stay, as frequent words come early
-BATCH_CHARS = 12_000_000
+CACHE = 600_000  # entries; the first ones stay, as frequent words come early
+BATCH_CHARS = 5_000_000
 DICT_BYTES = 64 * 1024
-SAMPLE_DOCS = 2000  # documents that train the dictionary
-SAMPLE_BYTES = 8 << 20
+SAMPLE_DOCS = 1000  # documents that train the dictionary
+SAMPLE_BYTES = 4 << 20
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4")])
 # Space characters besides the space and the line feed, and others that some tables count as such: texts with them go whole.
 _ODD = r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{ad}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|  | \n|\n |\n\n|\A[ \n]|[ \n]\z"
@@ -179,7 +179,7 @@ def _codec(dictionary: bytes):
 def _sample(docs: DataFrame, text: str, tokenizer: str, end_id: int) -> bytes:
     """Dictionary of a bounded sample: the documents of smallest hash, shortened to keep the sample under its bytes."""
     chars = SAMPLE_BYTES // SAMPLE_DOCS
-    rows = docs.select(F.left(F.coalesce(F.col(text), F.lit("")), F.lit(chars)).alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE_DOCS).collect()
+    rows = hash_sample(docs.select(F.left(F.coalesce(F.col(text), F.lit("")), F.lit(chars)).alias("t")), ["t"], SAMPLE_DOCS)
     enc = encoder(tokenizer)
     return train_dictionary([np.append(x, end_id).astype(enc.kind).tobytes() for x in enc.batch([r.t for r in rows])])
 
@@ -241,7 +241,8 @@ def read_tokens(files: DataFrame, folder: str, wide: bool = False) -> DataFrame:
     kind = np.dtype("<u4" if wide else "<u2")
     # One row per file, and files are bounded by the number of partitions: the running sum is over that small table.
     placed = files.withColumn("start", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.repartition("path").select("path", "start", "dictionary")
+    # A stated number of parts: the table is small, but each row stands for a whole file.
+    placed = placed.repartition(max(files.count(), 1), "path").select("path", "start", "dictionary")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = filesystem(folder)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filesystem, fixed, new_folder, ship
+from tidemark.llm.common import filesystem, fixed, hash_sample, new_folder, ship
 
 SKIPPABLE = 0x184D2A5D  # fixed value of the format: frame that holds the dictionary
 DICT_BYTES = 112 * 1024
@@ -106,7 +106,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     spark = pages.sparkSession
     ship(spark)
     chars = SAMPLE_BYTES // SAMPLE_RECORDS
-    some = pages.select("url", F.left(F.coalesce("html", F.lit("")), F.lit(chars)).alias("html")).orderBy(F.xxhash64("html", "url"), "html", "url").limit(SAMPLE_RECORDS).collect()
+    some = hash_sample(pages.select("url", F.left(F.coalesce("html", F.lit("")), F.lit(chars)).alias("html")), ["html", "url"], SAMPLE_RECORDS)
     dictionary = build_dictionary([record(0, r.url, r.html.encode(), None, date) for r in some])
     sent = spark.sparkContext.broadcast(dictionary)
 
@@ -179,7 +179,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)})
 
-    return archives.select("path").repartition("path").mapInArrow(read, schema)
+    return archives.select("path").repartition(max(archives.count(), 1), "path").mapInArrow(read, schema)
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
