@@ -8,7 +8,9 @@ repeated windows. Writing every suffix out would be many times the corpus, so a
 1. Digit: the GRAM bytes at the window's anchor, its gram of smallest hash. An anchor follows from the window's bytes
    alone, so equal windows have equal anchors, and about one position in 14 is the anchor of a run of windows.
 2. Digit: all bytes of a run (at most 76). A run that an earlier document holds as a whole is removed as a whole.
-3. Digit: the window itself, only for runs that pass 2 left open and whose anchor gram others hold too.
+3. Digit: the window itself, only for runs that pass 2 left open and whose anchor gram others hold too. Their bytes
+   are sorted by gram, and windows are compared within it; the windows of grams with more than LARGE open runs are
+   spelled out and aggregated instead, which gives the same.
 
 Each pass compares digits of at least 64 bits in groups found by hash; passes 2 and 3 use 96 bits. Groups of any size
 are aggregates with map-side combining (smallest and largest document) and a plain equi join back, which adaptive
@@ -35,9 +37,28 @@ from tidemark.llm.shingles import mix64
 DEPTH = 50
 GRAM = 24
 PIECE = 1 << 20
+LARGE = 100_000  # open runs with one gram that a task compares in memory
+MEET_ROWS = 50_000  # runs compared at a time, more only where one gram has more
 _U = np.uint64
 
 
+def words8(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number."""
+    two = raw[:-1].astype(_U) | raw[1:].astype(_U) << _U(8)
+    four = two[:-2] | two[2:] << _U(16)
+    return four[:-4] | four[4:] << _U(32)
+
+
+def chain(word: np.ndarray, at: list[np.ndarray], extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit hash of the words at the given positions."""
+    with np.errstate(over="ignore"):
+        a, b = extra.astype(_U) + _U(3), extra.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(5)
+        for x in at:
+            w = word[x]
+            a, b = mix64((a ^ w) * _U(0x9E3779B97F4A7C15)), mix64((b + w) * _U(0xC2B2AE3D27D4EB4F))
+    return a.view(np.int64), (b & _U(0x7FFFFFFF)).astype(np.int32)
+
+
 class Pieces:
     """Bytes of several texts (or parts of long ones) one after the other, with their windows' anchors."""
 
@@ -49,14 +70,11 @@ class Pieces:
         self.end = np.cumsum(size)
         self.start = self.end - size
         raw = np.frombuffer(b"".join(x[2] for x in texts) + bytes(DEPTH + 8), np.uint8)
-        two = raw[:-1].astype(_U) | raw[1:].astype(_U) << _U(8)
-        four = two[:-2] | two[2:] << _U(16)
-        self.word = four[:-4] | four[4:] << _U(32)  # eight bytes from each position
+        self.word = words8(raw)
         n = int(self.end[-1]) if len(texts) else 0
         with np.errstate(over="ignore"):
-            gram = mix64(self.word[:n + DEPTH - 16] + _U(1))
-            m = len(gram) - 16
-            gram = mix64((gram[:m] ^ self.word[8:8 + m]) * _U(0x9E3779B97F4A7C15) + self.word[16:16 + m] * _U(0xC2B2AE3D27D4EB4F))
+            m = n + DEPTH - 32
+            gram = mix64(self.word[:m] * _U(0x9E3779B97F4A7C15) + self.word[8:8 + m] * _U(0xC2B2AE3D27D4EB4F) + self.word[16:16 + m] * _U(0xD6E8FEB86659FD93))
         self.gram = gram
         key = gram >> _U(24) << _U(24) | np.arange(len(gram), dtype=_U)
         wide = DEPTH - GRAM + 1
@@ -77,21 +95,10 @@ class Pieces:
         self.piece, self.s, self.n = piece[first], self.at[first], last - first
         self.h = gram[anchor[first]].view(np.int64)
 
-    def _chain(self, at: list[np.ndarray], extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            a, b = extra.astype(_U) + _U(3), extra.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(5)
-            for x in at:
-                w = self.word[x]
-                a, b = mix64((a ^ w) * _U(0x9E3779B97F4A7C15)), mix64((b + w) * _U(0xC2B2AE3D27D4EB4F))
-        return a.view(np.int64), (b & _U(0x7FFFFFFF)).astype(np.int32)
-
     def run_hash(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of all bytes of a run: words from both ends cover its 50 to 76 bytes."""
         s, n = self.s[keep], self.n[keep]
-        return self._chain([s + 8 * k for k in range(6)] + [s + n + DEPTH - 8 * k for k in range(1, 5)], n)
-
-    def window_hash(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self._chain([at + 8 * k for k in range(6)] + [at + DEPTH - 8], np.zeros(len(at), np.int64))
+        return chain(self.word, [s + 8 * k for k in range(6)] + [s + n + DEPTH - 8 * k for k in range(1, 5)], n)
 
 
 def _pieces(texts: list[str | None], size: int = 2 * PIECE) -> Iterator[Pieces]:
@@ -142,24 +149,67 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "s": (p.s[keep] - p.start[piece] + p.offset[piece]).astype(np.int64), "n": p.n[keep].astype(np.int32)})
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 3: the windows of the runs ``s``/``n`` of the document."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass 3: the bytes ``c`` of the open runs ``l`` (gram, start, further windows, whether its group is large)."""
     for b in batches:
-        ids, rows, ss, ns = b.column("i").to_numpy(), b.column("r").to_numpy(), b.column("s"), b.column("n")
-        for p in _pieces(b.column("t").to_pylist()):
-            at, own = [], []
-            for k in range(len(p.row)):
-                s, n = ss[int(p.row[k])].values.to_numpy(), ns[int(p.row[k])].values.to_numpy().astype(np.int64)
-                each = np.repeat(s - (np.cumsum(n + 1) - n - 1), n + 1) + np.arange((n + 1).sum()) - p.offset[k]
-                size = p.end[k] - p.start[k]
-                # The pieces of a long text share bytes, but no window starts in two of them.
-                each = each[(each >= 0) & (each <= size - DEPTH)]
-                at.append(each + p.start[k])
-                own.append(np.full(len(each), k))
-            at, own = np.concatenate(at), np.concatenate(own)
-            w1, w2 = p.window_hash(at)
-            row = p.row[own]
-            yield pa.RecordBatch.from_pydict({"u1": w1, "u2": w2, "i": ids[row], "r": rows[row], "s": (at - p.start[own] + p.offset[own]).astype(np.int64)})
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
+            data = [t.encode() for t in part.column("t").to_pylist()]
+            runs = [x.values for x in part.column("l")]
+            size = np.array([len(x) for x in runs])
+            h, s, n, big = [np.concatenate([x.field(k).to_numpy(zero_copy_only=False) for x in runs]) for k in ("h", "s", "n", "big")]
+            own = np.repeat(np.arange(len(data)), size)
+            yield pa.RecordBatch.from_pydict({
+                "h": h, "i": part.column("i").to_numpy()[own], "r": part.column("r").to_numpy()[own], "s": s, "big": big,
+                "c": [data[k][x:x + y + DEPTH] for k, x, y in zip(own.tolist(), s.tolist(), n.tolist())]})
+
+
+def _window_rows(t: pa.Table) -> dict[str, np.ndarray]:
+    """Every window of the runs' bytes: 96 bits, document, row and start."""
+    parts = t.column("c").to_pylist()
+    size = np.array([len(x) for x in parts])
+    word = words8(np.frombuffer(b"".join(parts) + bytes(8), np.uint8))
+    n = size - DEPTH + 1
+    own = np.repeat(np.arange(len(parts)), n)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(size) - size)[own] + step
+    u1, u2 = chain(word, [at + 8 * k for k in range(6)] + [at + DEPTH - 8], np.zeros(len(at), np.int64))
+    return {"u1": u1, "u2": u2, "i": t.column("i").to_numpy()[own], "r": t.column("r").to_numpy()[own], "s": t.column("s").to_numpy()[own] + step}
+
+
+def _spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 2000):
+            yield pa.RecordBatch.from_pydict(_window_rows(pa.Table.from_batches([b.slice(lo, 2000)])))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that a smaller document holds too, for runs sorted by gram: whole grams at a time, many at once."""
+
+    def hits(t: pa.Table) -> pa.RecordBatch:
+        w = _window_rows(t)
+        order = np.lexsort((w["i"], w["u2"], w["u1"]))
+        u1, u2, i = w["u1"][order], w["u2"][order], w["i"][order]
+        new = np.ones(len(i), bool)
+        new[1:] = (u1[1:] != u1[:-1]) | (u2[1:] != u2[:-1])
+        first = i[np.flatnonzero(new)][np.cumsum(new) - 1]
+        keep = order[i > first]
+        return pa.RecordBatch.from_pydict({k: w[k][keep] for k in ("i", "r", "s")})
+
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= MEET_ROWS:
+            t = pa.Table.from_batches(held)
+            h = t.column("h").to_numpy()
+            cut = int(np.argmax(h == h[-1]))
+            if cut:
+                yield hits(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                rows = len(h) - cut
+    if held:
+        yield hits(pa.Table.from_batches(held))
 
 
 def _with_first(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -182,14 +232,20 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     forget(lists, runs)
     release(found)
     left = found.where("not whole")
-    two = left.groupBy("h").agg(F.min("i").alias("a"), F.max("i").alias("b")).where("a < b").select("h")
-    open_ = left.join(two, "h", "left_semi").groupBy("i", "r").agg(F.collect_list(F.struct("s", "n")).alias("l")).select("i", "r", F.col("l.s").alias("s"), F.col("l.n").alias("n"))
-    windows = fixed(own.join(open_, ["i", "r"]).dropDuplicates(["i", "r"]).mapInArrow(_windows, "u1 long, u2 int, i long, r long, s long"))
-    release(windows)
-    single = _with_first(windows, ["u1", "u2"]).where(F.col("first") < F.col("i")).select("i", "r", "s", F.lit(0).alias("n"))
-    spans = found.where("whole").select("i", "r", "s", "n").unionAll(single).distinct()
-    spans = fixed(spans.groupBy("i", "r").agg(F.array_sort(F.collect_list(F.struct("s", (F.col("n") + DEPTH).alias("size")))).alias("l")).select("i", "r", F.col("l.s").alias("starts"), F.col("l.size").alias("sizes")))
-    forget(found, windows)
+    two = left.groupBy("h").agg(F.min("i").alias("a"), F.max("i").alias("b"), (F.count(F.lit(1)) > LARGE).alias("big")).where("a < b").select("h", "big")
+    open_ = left.join(two, "h").groupBy("i", "r").agg(F.collect_set(F.struct("h", "s", "n", "big")).alias("l"))
+    text = own.join(open_, ["i", "r"]).dropDuplicates(["i", "r"])
+    rows = text.mapInArrow(_contents, "h long, i long, r long, s long, big boolean, c binary")
+    # Groups of up to LARGE runs meet in one task; the windows of larger ones are spelled out and aggregated.
+    few = rows.where("not big").repartition("h").sortWithinPartitions("h").mapInArrow(_meet, "i long, r long, s long")
+    many = _with_first(rows.where("big").mapInArrow(_spell_out, "u1 long, u2 int, i long, r long, s long"), ["u1", "u2"]).where(F.col("first") < F.col("i")).select("i", "r", "s")
+    single = few if left.join(two.where("big"), "h", "left_semi").isEmpty() else few.unionAll(many)
+    single = fixed(single.groupBy("i", "r").agg(F.array_distinct(F.collect_list("s")).alias("w")))
+    release(single)
+    whole = found.where("whole").groupBy("i", "r").agg(F.collect_set(F.struct("s", (F.col("n") + DEPTH).alias("n"))).alias("a"))
+    each = whole.join(single, ["i", "r"], "full").select("i", "r", F.array_sort(F.concat(F.coalesce("a", F.array().cast("array<struct<s:long,n:int>>")), F.transform(F.coalesce("w", F.array().cast("array<long>")), lambda x: F.struct(x.alias("s"), F.lit(DEPTH).alias("n"))))).alias("l"))
+    spans = fixed(each.select("i", "r", F.col("l.s").alias("starts"), F.col("l.n").alias("sizes")))
+    forget(found, single)
     release(spans)
     return spans
 
