@@ -118,6 +118,19 @@ def test_tree_pairs_match_all_pairs():
     assert got == want and len(want) > 1000
 
 
+def test_block_pairs_of_short_and_long_vectors():
+    rng = np.random.default_rng(3)
+    n = rng.integers(300, 5000, 120)
+    sets = [rng.choice(8000, k, replace=False) for k in n]
+    for k in range(0, 100, 2):
+        sets[k + 1] = np.append(sets[k][: int(n[k] * rng.uniform(0.8, 1))], 9000 + k)
+    n = np.array([len(x) for x in sets])
+    v = [np.bincount(x % g, minlength=g).astype("<u4") for x, g in zip(sets, jaccard.groups_of(n))]
+    got = {(min(a, b), max(a, b)) for p, q in jaccard.block_pairs(n, v, np.arange(120), 80) for a, b in zip(p.tolist(), q.tolist())}
+    link = {(a, b) for a in range(120) for b in range(a + 1, 120) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert len(link) > 20 and link <= got and len(got) < 4 * len(link)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (5, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
