@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from functools import reduce
@@ -95,8 +96,10 @@ def release(df: DataFrame) -> None:
 
     Spark's cleaner removes them once the plans that made them are garbage; nothing that is still used goes.
     """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold the last reference to more
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def forget(*tables: DataFrame) -> None:

@@ -12,9 +12,9 @@ repeated windows. Writing every suffix out would be many times the corpus, so a
    are sorted by gram, and windows are compared within it; the windows of grams with more than LARGE open runs are
    spelled out and aggregated instead, which gives the same.
 
-Each pass compares digits of at least 64 bits in groups found by hash; passes 2 and 3 use 96 bits. Groups of any size
-are aggregates with map-side combining (smallest and largest document) and a plain equi join back, which adaptive
-execution may split, so that a string that a third of all documents hold is never gathered in one task.
+Pass 1 only filters, by 48 bits; passes 2 and 3 decide by 96 bits. Every pass combines on the map side: of equal digits of
+the documents that a task reads, one is sent on, so that a string that a third of all documents hold comes to a
+task once from each other task, not once from each document.
 
 Defined cases: a null text is empty. Texts shorter than DEPTH bytes lose nothing. Rows that share an id are one document for
 the comparison, so they do not remove each other's bytes. Rows with a null id come after all others, as one document. An
@@ -28,6 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ from tidemark.llm.shingles import mix64
 DEPTH = 50
 GRAM = 24
 PIECE = 1 << 20
+FLUSH = 2_000_000  # anchors that a task combines before it sends them on
 LARGE = 100_000  # open runs with one gram that a task compares in memory
 MEET_ROWS = 50_000  # runs compared at a time, more only where one gram has more
 _U = np.uint64
@@ -118,35 +121,186 @@ def _pieces(texts: list[str | None], size: int = 2 * PIECE) -> Iterator[Pieces]:
         yield Pieces(held)
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 1: (h, i) for the anchor grams of each document."""
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a sorted sequence of keys changes, as flags."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _groups(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Values listed by owner."""
+    order = np.argsort(owner, kind="stable")
+    first = np.flatnonzero(_starts(owner[order]))
+    return owner[order][first], pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(values[order]))
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    """32 bits of a gram, which suffice to find it again within one document."""
+    return (h & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def pack(h: np.ndarray, doc: np.ndarray, told: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted 48-bit grams with the place of their document in ``ids``, and whether they are known to be shared."""
+    used, place = np.unique(doc, return_inverse=True)
+    gap = np.diff(h, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    far = np.diff(ids[used], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    at = (place * 2 + told).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    body = b"".join(np.ascontiguousarray(x).tobytes() for x in (gap, at, far))
+    return np.array([len(h), len(used)], "<u4").tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, documents, whether known)."""
+    n, m = np.frombuffer(blob[:8], "<u4").tolist()
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8)
+    gap = np.zeros((n, 8), np.uint8)
+    gap[:, :6] = body[:6 * n].reshape(6, n).T
+    at = np.ascontiguousarray(body[6 * n:10 * n].reshape(4, n).T).view("<u4")[:, 0]
+    far = np.ascontiguousarray(body[10 * n:].reshape(8, m).T).view("<i8")[:, 0]
+    return np.cumsum(gap.view("<u8")[:, 0]), np.cumsum(far)[at >> 1], (at & 1).astype(bool)
+
+
+def _grams(buckets: int):
+    """Pass 1, map side: anchor grams of many documents at a time.
+
+    Grams of several of them are known to be shared: their documents are told at once (``i``, ``g``), and the gram is
+    sent on once. Others are sent with their document. What is sent is packed by bucket of the gram.
+    """
+
+    def send(held: list, ids: list) -> Iterator[pa.RecordBatch]:
+        ids, number = np.unique(np.array(ids, np.int64), return_inverse=True)
+        h = np.concatenate([x[0] for x in held]).view(_U) >> _U(16)
+        doc = number[np.concatenate([x[1] for x in held])]
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = _starts(h, doc)
+        h, doc = h[new], doc[new]
+        first = np.flatnonzero(_starts(h))
+        size = np.diff(np.append(first, len(h)))
+        told = np.repeat(size > 1, size)
+        if told.any():
+            owner, lists = _groups(doc[told], _low(h[told]))
+            yield _rows(len(owner), b=(owner % buckets).astype(np.int32), i=ids[owner], g=lists)
+        h, doc, told = h[first], doc[first], size > 1
+        bucket = (h % _U(buckets)).astype(np.int32)
+        order = np.lexsort((h, bucket))
+        cut = np.flatnonzero(_starts(bucket[order]))
+        for lo, hi in zip(cut, [*cut[1:], len(order)]):
+            k = order[lo:hi]
+            yield _rows(1, b=bucket[k[:1]], blob=[pack(h[k], doc[k], told[k], ids)])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, total = [], [], 0
+        for b in batches:
+            base = len(ids)
+            ids += b.column("i").to_pylist()
+            for p in _pieces(b.column("t").to_pylist()):
+                held.append((p.h, base + p.row[p.piece]))
+                total += len(p.h)
+            if total > FLUSH:
+                yield from send(held, ids)
+                held, ids, total = [], [], 0
+        if total:
+            yield from send(held, ids)
+
+    return grams
+
+
+def _rows(n: int, **cols) -> pa.RecordBatch:
+    """A batch of (b, i, g, blob) with nulls for what is not given."""
+    kinds = {"b": pa.int32(), "i": pa.int64(), "g": pa.list_(pa.int32()), "blob": pa.binary()}
+    return pa.RecordBatch.from_pydict({k: (cols[k].cast(t) if isinstance(cols[k], pa.Array) else pa.array(cols[k], t)) if k in cols else pa.nulls(n, t) for k, t in kinds.items()})
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass 1, reduce side: documents (``i``) with the grams (``g``) that others hold too, a bucket at a time."""
+    blobs: list[bytes] = []
+    at = None
+
+    def answer() -> Iterator[pa.RecordBatch]:
+        h, doc, told = [np.concatenate(x) for x in zip(*map(unpack, blobs))]
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(_starts(h[order]))
+        size = np.diff(np.append(first, len(h)))
+        shared = np.repeat((size > 1) | np.logical_or.reduceat(told[order], first), size) & ~told[order]
+        if shared.any():
+            owner, lists = _groups(doc[order][shared], _low(h[order][shared]))
+            yield pa.RecordBatch.from_pydict({"i": owner, "g": lists})
+
     for b in batches:
-        ids = b.column("i").to_numpy()
-        for p in _pieces(b.column("t").to_pylist()):
-            doc = ids[p.row[p.piece]]
-            order = np.lexsort((p.h, doc))
-            h, doc = p.h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_pydict({"h": h[new], "i": doc[new]})
+        known = b.filter(pc.is_valid(b.column("i")))
+        if known.num_rows:
+            yield known.select(["i", "g"])
+        sent = b.filter(pc.is_valid(b.column("blob")))
+        for bucket, blob in zip(sent.column("b").to_pylist(), sent.column("blob").to_pylist()):
+            if bucket != at and blobs:
+                yield from answer()
+                blobs = []
+            at = bucket
+            blobs.append(blob)
+    if blobs:
+        yield from answer()
+
+
+_RUN = ["whole", "u1", "u2", "h", "i", "r", "s", "n"]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 2: the runs whose anchor gram another document holds; ``g`` has those grams of the document."""
+    """Pass 2, map side: the runs whose anchor gram another document holds; ``g`` has those grams of the document.
+
+    Of equal runs of many documents at a time, only those of the smallest are left to be compared with others'.
+    """
+
+    def send(held: list[dict]) -> pa.RecordBatch:
+        x = {k: np.concatenate([y[k] for y in held]) for k in held[0]}
+        order = np.lexsort((x["i"], x["u2"], x["u1"]))
+        x = {k: v[order] for k, v in x.items()}
+        new = _starts(x["u1"], x["u2"])
+        x["whole"] = x["i"] > x["i"][np.flatnonzero(new)][np.cumsum(new) - 1]
+        # Decided runs need neither hash nor gram; they travel to any task.
+        x["u1"] = np.where(x["whole"], x["i"] * 0x9E3779B1, x["u1"])
+        x["u2"], x["h"] = np.where(x["whole"], 0, x["u2"]), np.where(x["whole"], 0, x["h"])
+        return pa.RecordBatch.from_pydict({k: x[k] for k in _RUN})
+
+    held, total = [], 0
     for b in batches:
         ids, rows, grams = b.column("i").to_numpy(), b.column("r").to_numpy(), b.column("g")
         for p in _pieces(b.column("t").to_pylist()):
             keep = np.zeros(len(p.h), bool)
-            row = p.row[p.piece]
+            row, low = p.row[p.piece], _low(p.h.view(_U) >> _U(16))
             cut = np.flatnonzero(np.diff(row, prepend=-1))
             for lo, hi in zip(cut, [*cut[1:], len(row)]):
-                keep[lo:hi] = np.isin(p.h[lo:hi], grams[int(row[lo])].values.to_numpy())
+                keep[lo:hi] = np.isin(low[lo:hi], grams[int(row[lo])].values.to_numpy())
             keep = np.flatnonzero(keep)
             u1, u2 = p.run_hash(keep)
             row, piece = row[keep], p.piece[keep]
-            yield pa.RecordBatch.from_pydict({
-                "u1": u1, "u2": u2, "h": p.h[keep], "i": ids[row], "r": rows[row],
-                "s": (p.s[keep] - p.start[piece] + p.offset[piece]).astype(np.int64), "n": p.n[keep].astype(np.int32)})
+            held.append({"u1": u1, "u2": u2, "h": p.h[keep], "i": ids[row], "r": rows[row], "s": (p.s[keep] - p.start[piece] + p.offset[piece]).astype(np.int64), "n": p.n[keep].astype(np.int32)})
+            total += len(keep)
+            if total > FLUSH // 4:
+                yield send(held)
+                held, total = [], 0
+    if total:
+        yield send(held)
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass 2, reduce side: runs sorted by hash and document; all but those of the first document are removed whole."""
+    last = None  # hash and first document of the group that the batch before ended in
+    for b in batches:
+        x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in _RUN}
+        ask = np.flatnonzero(~x["whole"])
+        if len(ask):
+            u1, u2, i = x["u1"][ask], x["u2"][ask], x["i"][ask]
+            new = _starts(u1, u2)
+            first = i[np.flatnonzero(new)][np.cumsum(new) - 1]
+            if last and (u1[0], u2[0]) == last[:2]:
+                first[: int(np.argmax(np.append(new[1:], True))) + 1] = last[2]
+            last = (u1[-1], u2[-1], first[-1])
+            x["whole"] = x["whole"].copy()
+            x["whole"][ask] = i > first
+        yield pa.RecordBatch.from_pydict({k: x[k] for k in ("h", "i", "r", "s", "n", "whole")})
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,14 +376,14 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """A row per (``i``, ``r``: id and text hash) that loses bytes: ``starts`` and ``sizes`` of overlapping runs of removed bytes."""
     ship(docs.sparkSession)
     own = docs.select(known_id(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r"), F.col(text).alias("t")).where(F.octet_length("t") >= DEPTH)
-    grams = own.mapInArrow(_grams, "h long, i long")
-    shared = grams.groupBy("h").agg(F.min("i").alias("a"), F.max("i").alias("b")).where("a < b").select("h")
-    lists = fixed(grams.join(shared, "h", "left_semi").groupBy("i").agg(F.collect_set("h").alias("g")))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = own.mapInArrow(_grams(buckets), "b int, i long, g array<int>, blob binary").repartition("b").sortWithinPartitions("b")
+    lists = fixed(sent.mapInArrow(_answers, "i long, g array<int>").groupBy("i").agg(F.flatten(F.collect_list("g")).alias("g")))
     release(lists)
-    runs = fixed(own.join(lists, "i").mapInArrow(_runs, "u1 long, u2 int, h long, i long, r long, s long, n int"))
-    release(runs)
-    found = fixed(_with_first(runs, ["u1", "u2"]).select("h", "i", "r", "s", "n", F.coalesce(F.col("first") < F.col("i"), F.lit(False)).alias("whole")))
-    forget(lists, runs)
+    runs = own.join(lists, "i").mapInArrow(_runs, "whole boolean, u1 long, u2 int, h long, i long, r long, s long, n int")
+    runs = runs.repartition("u1").sortWithinPartitions("u1", "u2", "i")
+    found = fixed(runs.mapInArrow(_firsts, "h long, i long, r long, s long, n int, whole boolean"))
+    forget(lists)
     release(found)
     left = found.where("not whole")
     two = left.groupBy("h").agg(F.min("i").alias("a"), F.max("i").alias("b"), (F.count(F.lit(1)) > LARGE).alias("big")).where("a < b").select("h", "big")
