@@ -4,12 +4,15 @@ Documents are cut into passages of PASSAGE words, half overlapping. A passage is
 benchmark, with document frequencies counted over all passages. A randomised SVD runs on Spark: every task multiplies its
 passages with a random matrix and sends back its share of A'A times that matrix, a row per benchmark word. The basis
 joins the span of the items with the leading directions of what is left of the corpus. The items lie in the basis as a
-whole, so that the cosine of a passage with an item is never under-estimated by leaving directions out; retrieval
-is then one pass over the texts without a shuffle. Passages whose words cannot reach the threshold with any item are
-skipped by an upper bound first.
+whole, so that the cosine of a passage with an item is never under-estimated by leaving directions out. Texts are
+split once, into a table of the numbers of their benchmark words, which all passes read.
+
+Passages need not meet all items. The most frequent words are set aside as long as they alone cannot bring any item to
+the threshold; a pair over it then shares another word, which an index of the items lists. Pairs from the index
+whose shared words and an upper bound for the rest stay under the threshold are skipped, the others are projected.
 
 A candidate is checked on the words around the passage: the longest common subsequence with the item, as a share of
-the item's words. From SAME on it is a leak; from PARAPHRASE on it is one if the answer (the item's last sentence) is
+the item's words (pieces between white space, in lower case, without signs at their ends). From SAME on it is a leak; from PARAPHRASE on it is one if the answer (the item's last sentence) is
 there too, by ANSWER of its words in order.
 
 Benchmarks of more than BLOCK items are worked off in blocks of that size, so that what is sent to the tasks is bounded.
@@ -25,35 +28,43 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import LAST_ID, fixed, known_id, ship
 from tidemark.llm.shingles import plain
 
 PASSAGE = 64
 HALF = PASSAGE // 2
-BLOCK = 192  # items in one latent space
+BLOCK = 256  # items in one latent space
 EXTRA = 48  # directions of the corpus beside those of the items
 COSINE = 0.35
 SAME = 0.8
 PARAPHRASE = 0.5
 ANSWER = 0.6
-WORD = r"[^\p{L}\p{N}]+"
-LEAK = "array<struct<item_id:long,cosine:double,lcs:double,answer:double,word:long>>"
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+LEAK = "i long, r long, item_id long, cosine double, lcs double, answer double, word long"
+
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct pieces between white space, number of the piece at each place, pieces per text)."""
+    text = pc.ascii_trim_whitespace(plain(texts))
+    parts = pc.ascii_split_whitespace(text)
+    n = np.where(pc.equal(text, "").to_numpy(zero_copy_only=False), 0, np.diff(parts.offsets.to_numpy()))
+    coded = parts.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    if (n == 0).any():  # an empty text splits into one empty piece
+        code = code[np.repeat(n > 0, np.maximum(n, 1))]
+    return coded.dictionary, code, n
 
-def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """Words (lower-cased runs of letters and digits) of all texts, and how many each has."""
-    parts = pc.split_pattern_regex(pc.utf8_lower(plain(texts)), WORD)
-    n = np.diff(parts.offsets.to_numpy())
-    flat = parts.flatten()
-    full = pc.not_equal(flat, "")
-    doc = np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)]
-    return flat.filter(full).dictionary_encode(), np.bincount(doc, minlength=len(n))
+
+def word(piece: str) -> str:
+    """The piece in lower case without signs at its ends."""
+    return piece.strip(SIGNS).lower() if piece.isascii() else EDGE.sub("", piece).lower()
 
 
 @dataclass
@@ -68,19 +79,31 @@ class Items:
     @staticmethod
     def of(rows: Sequence[tuple[int, str]]) -> "Items":
         last = [([x for x in re.split(r"[.!?\n]+", t) if re.search(r"\w", x)] or [""])[-1] for _, t in rows]
-        coded, n = split_words(pa.array([t for _, t in rows] + last, pa.string()))
-        terms = {w: k for k, w in enumerate(coded.dictionary.to_pylist())}
-        code, end = coded.indices.to_pylist(), np.cumsum(n).tolist()
-        lists = [code[e - k:e] for e, k in zip(end, n.tolist())]
+        names, code, n = split_words(pa.array([t for _, t in rows] + last, pa.string()))
+        names = [word(x) for x in names.to_pylist()]
+        terms: dict[str, int] = {}
+        for k in code.tolist():
+            if names[k]:
+                terms.setdefault(names[k], len(terms))
+        code, end = code.tolist(), np.cumsum(n).tolist()
+        lists = [[terms[names[c]] for c in code[e - k:e] if names[c]] for e, k in zip(end, n.tolist())]
         keep = [k for k in range(len(rows)) if lists[k]]
         return Items([rows[k][0] for k in keep], terms, [lists[k] for k in keep], [lists[len(rows) + k] for k in keep])
 
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype("<i2" if len(self.terms) < 1 << 15 else "<i4")
+
     def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Term of every word (-1: not of the benchmark), and words per text."""
-        coded, n = split_words(texts)
-        names = coded.dictionary.to_pylist()
-        term = np.fromiter((self.terms.get(w, -1) for w in names), np.int64, len(names))
-        return (term[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)), n
+        """Term of every word (-1: not of the benchmark), and words per text; pieces without a letter or digit are none."""
+        names, code, n = split_words(texts)
+        get = self.terms.get
+        term = np.fromiter((get(w, -1) if (w := word(x)) else -2 for x in names.to_pylist()), np.int64, len(names))[code] if len(names) else np.zeros(0, np.int64)
+        full = term > -2
+        if not full.all():
+            n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+            term = term[full]
+        return term, n
 
 
 def passages(term: np.ndarray, n: np.ndarray, vocabulary: int, overlap: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,26 +126,48 @@ def passages(term: np.ndarray, n: np.ndarray, vocabulary: int, overlap: bool) ->
     return key // vocabulary, key % vocabulary, count, owner, first
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Array]:
+def coded_words(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFrame:
+    """A row per row of ``docs`` with words: ``i``, ``r`` (id and text hash) and ``w``, its words' terms, compressed."""
+    own = docs.select(F.col(text).alias("t"), known_id(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r")).where(F.length("t") > 0)
+    kind = items.kind
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                term, n = items.codes(part.column(0))
+                end = np.cumsum(n)
+                raw = term.astype(kind)
+                yield pa.RecordBatch.from_pydict({"i": part.column(1), "r": part.column(2), "w": [press.compress(raw[x:y].tobytes()) for x, y in zip(end - n, end)]})
+
+    return own.mapInArrow(code, "i long, r long, w binary")
+
+
+def _coded(batches: Iterator[pa.RecordBatch], kind: np.dtype, rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, terms of all their words, words per row)."""
+    grow = zstandard.ZstdDecompressor()
     for b in batches:
         for lo in range(0, b.num_rows, rows):
-            yield b.column(0).slice(lo, rows)
+            part = b.slice(lo, rows)
+            words = [np.frombuffer(grow.decompress(x), kind) for x in part.column("w").to_pylist()]
+            yield part, np.concatenate(words).astype(np.int64), np.array([len(x) for x in words])
 
 
-def term_frequencies(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+def term_frequencies(coded: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and passages in all, over the whole corpus."""
-    size = len(items.terms)
+    size, kind = len(items.terms), items.kind
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(size + 1, np.int64), 0
-        for t in _slices(batches):
-            _, term, _, owner, first = passages(*items.codes(t), size, overlap=False)
+        for _, words, n in _coded(batches, kind):
+            _, term, _, owner, first = passages(words, n, size, overlap=False)
             df[:size] += np.bincount(term, minlength=size)
             total += int((first % PASSAGE == 0).sum())
         df[size] = total
         yield pa.RecordBatch.from_pydict({"k": np.flatnonzero(df), "n": df[df > 0]})
 
-    got = texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    got = coded.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(size + 1, np.int64)
     for r in got:
         df[r.k] = r.n
@@ -139,15 +184,15 @@ def _times(row: np.ndarray, term: np.ndarray, val: np.ndarray, m: np.ndarray) ->
     return row[first], np.add.reduceat(m[term] * val[:, None], first, axis=0)
 
 
-def corpus_sketch(texts: DataFrame, items: Items, idf: np.ndarray, columns: int = EXTRA) -> np.ndarray:
+def corpus_sketch(coded: DataFrame, items: Items, idf: np.ndarray, columns: int = EXTRA) -> np.ndarray:
     """A'A R for the passages A of the whole corpus and a random matrix R; a row per term."""
-    size = len(items.terms)
+    size, kind = len(items.terms), items.kind
     start = np.random.default_rng(7).standard_normal((size, columns)).astype(np.float32)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, columns))
-        for t in _slices(batches):
-            row, term, count, _, _ = passages(*items.codes(t), size, overlap=False)
+        for _, words, n in _coded(batches, kind):
+            row, term, count, _, _ = passages(words, n, size, overlap=False)
             if not len(row):
                 continue
             val = weights(count, term, idf).astype(np.float32)
@@ -160,7 +205,7 @@ def corpus_sketch(texts: DataFrame, items: Items, idf: np.ndarray, columns: int
         yield pa.RecordBatch.from_pydict({"k": used, **{f"c{j}": total[used, j] for j in range(columns)}})
 
     names = [f"c{j}" for j in range(columns)]
-    parts = texts.mapInArrow(share, "k long, " + ", ".join(f"{c} double" for c in names))
+    parts = coded.mapInArrow(share, "k long, " + ", ".join(f"{c} double" for c in names))
     got = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
     out = np.zeros((size, columns))
     out[got["k"].to_numpy(int)] = got[names].to_numpy()
@@ -206,27 +251,46 @@ class Search:
     def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray):
         self.items, self.idf, self.basis = items, idf, basis.astype(np.float32)
         vectors = item_vectors(items, idf)
-        self.latent = (vectors @ basis).T.astype(np.float32)  # direction by item
-        self.most = vectors.max(0)
+        self.latent = (vectors @ basis).astype(np.float32)
+        # Frequent words first; those are common that together stay under the threshold with every item.
+        order = np.argsort(idf, kind="stable")
+        reach = np.sqrt(np.cumsum(vectors[:, order] ** 2, axis=1).max(0))
+        self.common = np.zeros(len(idf), bool)
+        self.common[order[: np.searchsorted(reach, 0.95 * COSINE)]] = True
+        self.rest = np.sqrt((vectors[:, self.common] ** 2).sum(1))  # of each item, in common words
+        indexed = np.where(self.common, 0, vectors)
+        term, item = np.nonzero(indexed.T)
+        self.entry = np.searchsorted(term, np.arange(len(idf) + 1))  # items of term t: entry[t] to entry[t + 1]
+        self.item, self.weight = item, indexed[item, term]
 
     def candidates(self, term: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word, item, cosine) of the passages near an item in the latent space."""
         row, t, count, owner, first = passages(term, n, len(self.idf), overlap=True)
         val = weights(count, t, self.idf)
         norm = np.sqrt(np.bincount(row, val * val, len(owner)))
-        reach = np.bincount(row, val * self.most[t], len(owner))
-        keep = (reach >= COSINE * norm)[row]
-        row, t, val = row[keep], t[keep], val[keep].astype(np.float32)
-        cut = np.flatnonzero(np.diff(row, prepend=-1))
-        for lo in range(0, len(cut), 500):
-            a, b = cut[lo], cut[lo + 500] if lo + 500 < len(cut) else len(row)
-            which, z = _times(row[a:b], t[a:b], val[a:b], self.basis)
-            cosine = z @ self.latent / norm[which][:, None]
-            for p, k in zip(*np.nonzero(cosine >= COSINE)):
-                yield int(owner[which[p]]), int(first[which[p]]), int(k), float(cosine[p, k])
-
-    def leaks(self, texts: pa.Array) -> list[list[dict]]:
-        term, n = self.items.codes(texts)
+        usual = self.common[t]
+        common = np.sqrt(np.bincount(row[usual], val[usual] ** 2, len(owner)))
+        k = np.flatnonzero(~usual)
+        size = self.entry[t[k] + 1] - self.entry[t[k]]
+        at = np.repeat(self.entry[t[k]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        pair, back = np.unique(np.repeat(row[k], size) * len(self.rest) + self.item[at], return_inverse=True)
+        shared = np.bincount(back, np.repeat(val[k], size) * self.weight[at], len(pair))
+        p, item = pair // len(self.rest), pair % len(self.rest)
+        near = shared + common[p] * self.rest[item] >= COSINE * norm[p]
+        p, item = p[near], item[near]
+        if not len(p):
+            return
+        keep = np.zeros(len(owner), bool)
+        keep[p] = True
+        keep = keep[row]
+        which, z = _times(row[keep], t[keep], val[keep].astype(np.float32), self.basis)
+        cosine = np.einsum("ij,ij->i", z[np.searchsorted(which, p)], self.latent[item]) / norm[p]
+        for x, k, c in zip(p.tolist(), item.tolist(), cosine.tolist()):
+            if c >= COSINE:
+                yield int(owner[x]), int(first[x]), k, c
+
+    def leaks(self, term: np.ndarray, n: np.ndarray) -> list[tuple[int, dict]]:
+        """(document, leak) for the best place of each item that a document leaks."""
         end = np.cumsum(n)
         best: list[dict[int, dict]] = [{} for _ in range(len(n))]
         for doc, first, k, cosine in self.candidates(term, n):
@@ -239,39 +303,47 @@ class Search:
             told = common_subsequence(answer, near) / len(answer) if answer else 1.0
             if (lcs >= SAME or told >= ANSWER) and (k not in best[doc] or best[doc][k]["lcs"] < lcs):
                 best[doc][k] = {"item_id": self.items.ids[k], "cosine": cosine, "lcs": lcs, "answer": told, "word": first}
-        return [list(b.values()) for b in best]
+        return [(doc, x) for doc, b in enumerate(best) for x in b.values()]
 
 
-def fit(texts: DataFrame, items: Items) -> Search:
-    df, total = term_frequencies(texts, items)
+def fit(coded: DataFrame, items: Items) -> Search:
+    df, total = term_frequencies(coded, items)
     idf = np.log((1 + total) / (1 + df)) + 0.1
-    return Search(items, idf, latent_basis(item_vectors(items, idf), corpus_sketch(texts, items, idf)))
+    return Search(items, idf, latent_basis(item_vectors(items, idf), corpus_sketch(coded, items, idf)))
 
 
-def leak_column(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
-    """Array of the items that a text leaks."""
-    ship(docs.sparkSession)
+def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per row of ``docs`` and item that it leaks: ``i``, ``r`` (id and text hash), item_id, cosine, lcs, answer, word."""
+    spark = docs.sparkSession
+    ship(spark)
     rows = [(r.item_id, r.text) for r in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator()]
-    out = F.array().cast(LEAK)
+    out = spark.createDataFrame([], LEAK)
     for lo in range(0, len(rows), BLOCK):
         items = Items.of(rows[lo:lo + BLOCK])
         if not items.ids:
             continue
-        search = fit(docs.select(text), items)
+        coded = fixed(coded_words(docs, items, doc_id, text))
+        search = fit(coded, items)
 
-        def find(texts: pd.Series, search: Search = search) -> pd.Series:
-            return pd.Series([x for lo in range(0, len(texts), 500) for x in search.leaks(pa.array(texts.iloc[lo:lo + 500], pa.string(), from_pandas=True))])
+        def find(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
+            for part, words, n in _coded(batches, search.items.kind, 500):
+                found = search.leaks(words, n)
+                if found:
+                    at = np.array([doc for doc, _ in found])
+                    yield pa.RecordBatch.from_pydict({"i": part.column("i").to_numpy()[at], "r": part.column("r").to_numpy()[at], **{k: [x[k] for _, x in found] for k in found[0][1]}})
 
-        find.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-        out = F.concat(out, F.pandas_udf(find, LEAK, F.PandasUDFType.SCALAR)(F.col(text)))
+        out = out.unionAll(coded.mapInArrow(find, LEAK))
     return out
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and leaked item: doc_id, item_id, cosine, lcs, answer, word."""
-    return docs.select("doc_id", F.explode(leak_column(docs, benchmark)).alias("leak")).select("doc_id", "leak.*")
+    found = find_leaks(docs, benchmark)
+    return found.select(F.when(F.col("i") != LAST_ID, F.col("i")).alias("doc_id"), "item_id", "cosine", "lcs", "answer", "word")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that leak no item."""
-    return docs.where(F.size(leak_column(docs, benchmark, text)) == 0)
+    gone = find_leaks(docs, benchmark, doc_id, text).select(F.col("i").alias("__i"), F.col("r").alias("__r")).distinct()
+    own = docs.withColumns({"__k": known_id(doc_id), "__t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    return own.join(gone, (F.col("__k") == F.col("__i")) & (F.col("__t") == F.col("__r")), "left_anti").drop("__k", "__t")
