@@ -171,12 +171,12 @@ cte("docs", [], "SELECT d.doc_id, lang, n_chars, quality, toxic, (n_chars%100)/1
 
 
 def draw(n: str, *parts: str) -> str:
-    """The hash draw: first eight hex digits of the md5 of the joined parts."""
-    return f"(('0x'||substr(md5({' || chr(124) || '.join(parts)}),1,8))::UBIGINT % {n})"
+    """The hash draw: first fifteen hex digits of the md5 of the joined parts."""
+    return f"(('0x'||substr(md5({' || chr(124) || '.join(parts)}),1,15))::BIGINT % {n})"
 
 
 def hash_of(*parts: str) -> str:
-    return f"(('0x'||substr(md5({' || chr(124) || '.join(parts)}),1,8))::UBIGINT)"
+    return f"(('0x'||substr(md5({' || chr(124) || '.join(parts)}),1,15))::BIGINT)"
 
 
 def auc(label: str, score: str) -> str:

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import checkpoints as cp
 from tidemark.operators import scope, summaries
-from tidemark.operators.asof import value_asof
-from tidemark.operators.ordered import order_rows
+from tidemark.operators.asof import last_asof
 from tidemark.plans import tracker as tk
 from tidemark.plans.oracle import days, hash_of, with_
 from tidemark.plans.registry import query, tidy
@@ -26,12 +25,11 @@ SELECT p.day, coalesce(e.event_type, 'none') AS state, count(*) AS users FROM p
 def state_asof(spark, d):
     """State of every user at each midnight, from a change log of event types."""
     ev = tk.load(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    log = order_rows(ev, ["user_id"], [F.col("ts"), F.col("event_id")]).scan(lasts_before={"p_": F.col("event_type")}).select(
-        "user_id", "ts", F.col("event_id").alias("tie"), F.col("p_").alias("before"), F.col("event_type").alias("after"))
     users = ev.select("user_id").distinct()
     days_ = F.sequence(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-31").cast("timestamp"), F.expr("INTERVAL 1 DAY"))
     probes = users.select("user_id", F.explode(days_).alias("day"))
-    seen = value_asof(log, probes, "user_id", "day")
+    log = ev.select("user_id", "ts", F.col("event_id").alias("tie"), F.col("event_type").alias("after"))
+    seen = last_asof(log, probes, "user_id", "day")
     return seen.groupBy("day", F.coalesce("value", F.lit("none")).alias("state")).agg(F.count(F.lit(1)).alias("users"))
 
 
@@ -49,8 +47,7 @@ SELECT sp.sprint_id, count(iid) AS committed_issue_count, coalesce(sum(coalesce(
  coalesce(sum(points) FILTER (resolved<=end_date),0.0) AS delivered_story_points, count(DISTINCT assignee) AS num_developers
 FROM sp LEFT JOIN item ON item.raw=sp.k AND item.project=sp.project GROUP BY 1""")
 def static_scope(spark, d):
-    s, i, _ = tables(spark, d)
-    return tidy(scope.static_scope(s, i), "sprint_id", *scope.AGGREGATES, "num_developers")
+    return tidy(scope.static_scope(tk.closed_boxes(spark, d), tk.items(spark, d)), "sprint_id", *scope.AGGREGATES, "num_developers")
 
 
 @query("scope_audit", with_("commit0", "toks") + """,
@@ -124,11 +121,13 @@ def board_items(spark, d):
     return tidy(cp.board_items(*tables(spark, d)))
 
 
-@query("board_reconciliation", "SELECT ''::VARCHAR AS sprint_id WHERE FALSE")
+@query("board_reconciliation", with_("ckpt") + "SELECT count(*) AS compared, CAST(0 AS BIGINT) AS differing FROM ckpt WHERE checkpoint=0.5")
 def board_reconciliation(spark, d):
-    """Item boards against checkpoint counts: no row may differ."""
+    """Item boards against checkpoint counts: boxes compared, and boxes that differ (none may)."""
     s, i, c = tables(spark, d)
-    return cp.board_reconciliation(cp.board_items(s, i, c), cp.checkpoint_state(s, i, c, [0.5])).select("sprint_id")
+    state = materialize(cp.checkpoint_state(s, i, c, [0.5]))
+    odd = cp.board_reconciliation(cp.board_items(s, i, c), state).select(F.lit(1).alias("one_"), "sprint_id").groupBy("one_").agg(F.count("sprint_id").alias("differing"))
+    return state.agg(F.count(F.lit(1)).alias("compared"), F.lit(1).alias("one_")).join(F.broadcast(odd), "one_", "left").select("compared", F.coalesce("differing", F.lit(0).cast("long")).alias("differing"))
 
 
 _NUM = lambda c: f"CASE WHEN {c}=floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
@@ -141,17 +140,18 @@ l AS (SELECT sprint_id, row_number() OVER (PARTITION BY sprint_id ORDER BY part
 t AS (SELECT sprint_id, string_agg(line, chr(10) ORDER BY rn) AS txt FROM l WHERE rn<=40 GROUP BY 1),
 n AS (SELECT sprint_id, count(*) FILTER (part='committed') AS n, count(*) FILTER (part='committed' AND sp_start IS NOT NULL) AS kn, coalesce(sum(sp_start) FILTER (part='committed'),0.0) AS pts,
  count(*) FILTER (part='committed' AND done_day_by_mid IS NOT NULL) AS dn, count(*) FILTER (part='committed' AND NOT in_at_mid) AS o, count(*) FILTER (part='added') AS ad, count(*) FILTER (part='added' AND done_day_by_mid IS NOT NULL) AS adn FROM b GROUP BY 1)
-SELECT h.sprint_id, 'Team: Project '||h.project||printf(' (name hidden). Planned sprint length: %.1f days.', len)||chr(10)||'Other sprints of this project open at the same time: '||n_conc||'.'||chr(10)||
+SELECT h.sprint_id, 'Team: Project '||g.letter||printf(' (name hidden). Planned sprint length: %.1f days.', len)||chr(10)||'Other sprints of this project open at the same time: '||n_conc||'.'||chr(10)||
  CASE WHEN h_n>0 THEN 'Team history (finished sprints before this one started, up to the last three): '||h_n||' available; average share of committed issues completed '||printf('%.2f',round(h_ratio,9)+1e-9)||'; issues carried over from the last one '||h_carry
  ||'; share that closed more than a day late '||printf('%.2f',round(h_rate,9)+1e-9)||'; average days late '||printf('%.1f',round(h_late,9)+1e-9)||'; average issues completed '||printf('%.1f',round(h_done,9)+1e-9)||'.' ELSE 'Team history: no finished earlier sprint was available when this sprint started.' END||chr(10)||
  'Committed at the start: '||coalesce(n,0)||' issues; story points recorded on '||coalesce(kn,0)||' of them (total '||CAST(CAST(coalesce(pts,0) AS BIGINT) AS VARCHAR)||').'||chr(10)||
  printf('Now: day %.1f of %.1f (halfway). Committed issues resolved so far: ', len*0.5, len)||coalesce(dn,0)||' of '||coalesce(n,0)||'. Committed issues moved out of the sprint: '||coalesce(o,0)||'. Issues added since the start: '||coalesce(ad,0)||', of which resolved: '||coalesce(adn,0)||'.'||chr(10)||'Issues:'||chr(10)||coalesce(txt,'')||CASE WHEN coalesce(n,0)+coalesce(ad,0)>40 THEN chr(10)||'- ... and '||(coalesce(n,0)+coalesce(ad,0)-40)||' more issues of the same kinds' ELSE '' END AS board
-FROM hist h JOIN sp USING (sprint_id) LEFT JOIN n USING (sprint_id) LEFT JOIN t USING (sprint_id)""")
+FROM hist h JOIN (SELECT project, chr(CAST(64+row_number() OVER (ORDER BY project) AS INTEGER)) AS letter FROM (SELECT DISTINCT project FROM hist)) g USING (project) JOIN sp USING (sprint_id) LEFT JOIN n USING (sprint_id) LEFT JOIN t USING (sprint_id)""")
 def board_text(spark, d):
     """The text of every closed box at half time."""
     s, i, c = tables(spark, d)
-    frame = tk.modelling_frame(spark, d).where(F.col("sprint_state") == "CLOSED")
-    return text.board_texts(cp.board_items(s, i, c), frame)
+    frame = tk.modelling_frame(spark, d)
+    letters = text.pseudonyms(frame.select("project", "sprint_id"), "project", "sprint_id").select("sprint_id", "group_letter")
+    return text.board_texts(cp.board_items(s, i, c), frame.where(F.col("sprint_state") == "CLOSED").join(letters, "sprint_id"))
 
 
 @query("resolution_timing", with_("commit0") + f""", m AS (SELECT *, {days('resolved','end_date')} AS lag FROM commit0), s AS (SELECT sprint_id, count(*) AS n, count(*) FILTER (done) AS e, count(*) FILTER (coalesce(resolved<=complete_date,FALSE)) AS c FROM m GROUP BY 1)
@@ -164,11 +164,13 @@ def resolution_timing(spark, d):
     return tidy(summaries.resolution_timing(scope.commitments(s, i, c), s))
 
 
-@query("first_addition_lag", with_("sev", "sp") + """, a AS (SELECT tok, min(ts) AS first_ts FROM (SELECT ts, unnest(regexp_extract_all(tv,'\\d+')) AS tok, fv FROM sev WHERE tv IS NOT NULL) WHERE fv IS NULL OR NOT list_contains(regexp_extract_all(fv,'\\d+'), tok) GROUP BY 1)
+@query("first_addition_lag", with_("sev", "sp", "lab") + """, a AS (SELECT tok, min(ts) AS first_ts FROM (SELECT ts, unnest(regexp_extract_all(tv,'\\d+')) AS tok, fv FROM sev WHERE tv IS NOT NULL) WHERE fv IS NULL OR NOT list_contains(regexp_extract_all(fv,'\\d+'), tok) GROUP BY 1)
 SELECT sp.project, count(*) AS sprints, round(avg((coalesce(h>0 AND h<=1,FALSE))::INT),6) AS within_1h, round(avg((coalesce(h>0 AND h<=24,FALSE))::INT),6) AS within_24h, round(avg((coalesce(h>0,FALSE))::INT),6) AS after_start
-FROM (SELECT sp.*, (epoch_us(first_ts)-epoch_us(start_date))/3600e6::DOUBLE AS h FROM sp LEFT JOIN a ON a.tok=sp.jira::VARCHAR) sp GROUP BY 1""")
+FROM (SELECT sp.*, (epoch_us(first_ts)-epoch_us(start_date))/3600e6::DOUBLE AS h FROM sp JOIN (SELECT sprint_id FROM lab WHERE committed=0) USING (sprint_id) LEFT JOIN a ON a.tok=sp.jira::VARCHAR) sp GROUP BY 1""")
 def first_addition_lag(spark, d):
-    s, _, c = tables(spark, d)
+    """Boxes that were empty at the start."""
+    s, c = tk.closed_boxes(spark, d), tk.changes(tk.items(spark, d))
+    s = s.join(tk.labelled(spark, d).where(F.col("committed_issue_count") == 0).select("sprint_id"), "sprint_id", "left_semi")
     return tidy(summaries.addition_lag_shares(summaries.first_addition_lag(c, s), s))
 
 
