@@ -71,3 +71,32 @@ def test_permutation_of_a_useless_feature_costs_nothing(sides):
     m = fit_classifier(Learner("logistic", cols, None), tr, "label_delay")
     drop = {r.feature: r.auc_drop for r in explain.permutation_importance(m, te, cols, "label_delay").collect()}
     assert abs(drop["flat"]) < 1e-12 and set(drop) == set(cols)
+
+
+@pytest.mark.parametrize("values", [200, 300])
+def test_forest_quantiles_are_exact_for_any_number_of_targets(spark, values):
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(values)
+    pdf = pd.DataFrame({"x": rng.integers(0, 30, 2000).astype(float), "y": rng.permutation(np.arange(2000) % values) * 0.37})
+    df = spark.createDataFrame(pdf)
+    q = QuantileForest(["x"], None, {"numTrees": 5}).fit(df, "y")
+    leaves = np.array([r[0] for r in q.model.transform(df).select(vector_to_array("leaf")).collect()])
+    want = {}
+    for x in range(30):
+        row = leaves[np.flatnonzero(pdf.x == x)[0]]
+        w = sum((leaves[:, t] == row[t]) / (leaves[:, t] == row[t]).sum() for t in range(5)) / 5
+        order = np.argsort(pdf.y.to_numpy(), kind="stable")
+        cdf = np.cumsum(w[order])
+        want[x] = [pdf.y.to_numpy()[order][np.argmax(cdf >= p - 1e-9)] for p in (0.1, 0.5, 0.9)]
+    for r in q.forecast(df.select("x").distinct(), (0.1, 0.5, 0.9)).collect():
+        assert r.quantiles == pytest.approx(want[r.x])
+
+
+def test_imputed_medians_are_exact(spark):
+    from tidemark.models.learners import exact_medians
+
+    df = spark.createDataFrame([(float(k), None if k % 3 else float(k), float("nan")) for k in range(1, 1001)], "a double, b double, c double")
+    assert exact_medians(df, ["a", "b", "c"]) == {"a": 500.5, "b": 501.0, "c": 0.0}

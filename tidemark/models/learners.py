@@ -7,13 +7,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import youden_threshold
+from tidemark.operators.ranking import exact_quantiles, youden_threshold
 from tidemark.operators.splits import split_kfold
 
 # The settings of the compared learners.
@@ -21,7 +21,6 @@ FOREST = {"numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 3}
 BOOSTED = {"maxIter": 200, "maxDepth": 3, "stepSize": 0.05}
 BOOSTED_DEEP = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.05}
 SEED = 42
-MEDIAN_ERROR = 0.001  # relative rank error of the imputed medians; 0 would keep every value in memory
 
 
 @dataclass(frozen=True)
@@ -39,11 +38,21 @@ def as_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
-def preprocessor(numeric: Sequence[str], group: str | None) -> list:
+def exact_medians(df: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
+    """Median of every column over its known values, 0 where there are none; a row per column comes to the driver."""
+    known = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), known(c).alias("value")) for c in numeric]))
+    long = df.select(cells.alias("x")).select("x.*").where(F.col("value").isNotNull())
+    found = {r["feature"]: r["value"] for r in exact_quantiles(long, ["feature"], "value", [0.5]).collect()}
+    return {c: found.get(c, 0.0) for c in numeric}
+
+
+def preprocessor(numeric: Sequence[str], group: str | None, medians: dict[str, float]) -> list:
     """Median impute, standardise, one-hot the group with a slot for unseen values."""
     filled = [f"{c}__filled" for c in numeric]
+    fill = ", ".join(f"coalesce(nanvl(`{c}`, cast(null as double)), cast('{medians[c]!r}' as double)) AS `{c}__filled`" for c in numeric)
     stages = [
-        Imputer(strategy="median", relativeError=MEDIAN_ERROR, inputCols=list(numeric), outputCols=filled),
+        SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"),
         VectorAssembler(inputCols=filled, outputCol="numeric_vec"),
         StandardScaler(inputCol="numeric_vec", outputCol="scaled_vec", withMean=True, withStd=True),
     ]
@@ -80,7 +89,7 @@ def fit_classifier(learner: Learner, train: DataFrame, label: str) -> PipelineMo
             est = RandomForestClassifier(**common, weightCol="class_weight", seed=learner.seed, **{**FOREST, **learner.settings})
         else:
             raise ValueError(learner.kind)
-    return Pipeline(stages=[*preprocessor(learner.numeric, learner.group), est]).fit(d)
+    return Pipeline(stages=[*preprocessor(learner.numeric, learner.group, exact_medians(d, learner.numeric)), est]).fit(d)
 
 
 def fit_regressor(learner: Learner, train: DataFrame, target: str, leaf_col: str | None = None) -> PipelineModel:
@@ -98,7 +107,7 @@ def fit_regressor(learner: Learner, train: DataFrame, target: str, leaf_col: str
         est = GBTRegressor(**common, seed=learner.seed, lossType="absolute", **{**BOOSTED, **learner.settings})
     else:
         raise ValueError(learner.kind)
-    return Pipeline(stages=[*preprocessor(learner.numeric, learner.group), est]).fit(d)
+    return Pipeline(stages=[*preprocessor(learner.numeric, learner.group, exact_medians(d, learner.numeric)), est]).fit(d)
 
 
 _ML_COLUMNS = ["numeric_vec", "scaled_vec", "group_idx", "group_vec", "features", "rawPrediction", "probability", "prediction"]
