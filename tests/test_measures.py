@@ -95,22 +95,35 @@ def test_upper_tail(spark):
         assert r.p == pytest.approx(erfc(r.z / sqrt(2)) / 2, abs=2e-7)
 
 
-def test_cluster_replicates_by_pairs_equal_weighted_cells(data):
-    pdf, df = data
-    got = {r.rep: r.auc for r in resample.cluster_auc_replicates(df, "g", "s", "y", 30, 9, slices=4).collect()}
-    draws, n = resample.cluster_draws(df, "g", 30, 9)
-    assert n == 5
-    times = draws.toPandas()
-    for rep, t in times.groupby("rep"):
-        assert t.times.sum() == 5
+@pytest.mark.parametrize("groups", [3, 8, 500])
+def test_cluster_replicates_equal_repeated_rows(spark, groups):
+    rng = np.random.default_rng(groups)
+    pdf = pd.DataFrame({"g": rng.integers(0, groups, 900), "s": rng.integers(0, 40, 900) / 40, "y": rng.integers(0, 2, 900)})
+    df = spark.createDataFrame(pdf)
+    got = {r.rep: r.auc for r in resample.cluster_auc_replicates(df, "g", "s", "y", 6, 9, slices=4).collect()}
+    for rep, t in resample.cluster_draws(df, "g", 6, 9).toPandas().groupby("rep"):
+        assert t.times.sum() == pdf.g.nunique()
         parts = pd.concat([pdf[pdf.g == x.g] for x in t.itertuples() for _ in range(x.times)])
         assert got[rep] == pytest.approx(auc(parts.y, parts.s))
-    # more groups than replicates: the other path
-    few = {r.rep: r.auc for r in resample.cluster_auc_replicates(df, "g", "s", "y", 3, 9).collect()}
-    draws3 = resample.cluster_draws(df, "g", 3, 9)[0].toPandas()
-    for rep, t in draws3.groupby("rep"):
-        parts = pd.concat([pdf[pdf.g == x.g] for x in t.itertuples() for _ in range(x.times)])
-        assert few[rep] == pytest.approx(auc(parts.y, parts.s))
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    from tidemark.functions.scalars import hash_number
+
+    n = 10_000_000_000
+    got = spark.range(4000).select((hash_number(F.lit("1"), F.col("id").cast("string")) % n).alias("x")).toPandas().x
+    assert got.max() > 2 ** 33 and got.min() >= 0 and abs((got < 1_290_000_000).mean() - 0.129) < 0.02
+
+
+def test_jackknife_of_the_f1_difference(data):
+    pdf, df = data
+    pdf = pdf.assign(pa=(pdf.s > 0.4).astype(int), pb=(pdf.s > 0.7).astype(int))
+    f1 = lambda d, p: 2 * ((d.y == 1) & (d[p] == 1)).sum() / max(d.y.sum() + d[p].sum(), 1)
+    got = resample.jackknife_f1_difference(df.withColumns({"pa": (F.col("s") > 0.4).cast("int"), "pb": (F.col("s") > 0.7).cast("int")}), "g", "y", "pa", "pb").collect()
+    want = {g: f1(pdf[pdf.g != g], "pb") - f1(pdf[pdf.g != g], "pa") for g in pdf.g.unique()}
+    for r in got:
+        assert r.f1_delta == pytest.approx(want[r.left_out]) and r.n_excluded == (pdf.g == r.left_out).sum()
+        assert r.full_delta == pytest.approx(f1(pdf, "pb") - f1(pdf, "pa")) and r.delta_range == pytest.approx(max(want.values()) - min(want.values()))
 
 
 def test_jackknife_and_row_resamples(data):

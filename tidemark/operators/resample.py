@@ -2,9 +2,9 @@
 
 Draw i of replicate r is an md5 of (seed, r, stratum, i) taken modulo the number of rows, so every
 engine and every retry draws the same sample. Draws and rows meet through an equi join on the drawn
-row number; nothing is collected. For clusters the AUC of a resample only needs how often a positive
-of group g beats a negative of group h, so the data are scanned once and each replicate is a small
-weighted sum over that table.
+row number; nothing is collected. A resample of clusters weights the counts of each score: rows are first
+counted per (group, score), and every replicate sums those counts times the draws of their group, whatever the
+number of groups.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from tidemark.functions.scalars import hash_number
 from tidemark.operators.metrics import confusion_metrics
 from tidemark.operators.ordered import numbered, order_rows
 from tidemark.operators.ranking import auc_from_cells, score_cells
-from tidemark.operators.skew import lookup_join
 
 
 def resample_rows(
@@ -102,8 +101,8 @@ def sign_test(diffs: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ clusters
-def cluster_draws(df: DataFrame, group: str, reps: int, seed: int) -> tuple[DataFrame, int]:
-    """(rep, group, times): as many groups as there are, drawn with replacement. And their number."""
+def cluster_draws(df: DataFrame, group: str, reps: int, seed: int) -> DataFrame:
+    """(rep, group, times): as many groups as there are, drawn with replacement."""
     groups = numbered(df.select(group).distinct(), [], [F.col(group)], "rn_")
     n = groups.count()
     draws = df.sparkSession.range(n * reps).select(
@@ -111,49 +110,16 @@ def cluster_draws(df: DataFrame, group: str, reps: int, seed: int) -> tuple[Data
     parts = [F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string")]
     picked = draws.select("rep", (hash_number(*parts) % n + 1).alias("rn_")).groupBy("rep", "rn_").agg(
         F.count(F.lit(1)).alias("times"))
-    return lookup_join(picked, groups, ["rn_"], "inner").drop("rn_"), n
-
-
-def auc_pairs(df: DataFrame, group: str, score: str, label: str, slices=None) -> DataFrame:
-    """(g, h, wins, pos, neg): pairs of a positive of g above a negative of h, ties one half.
-
-    Positives are copied once per group h and placed before and after the negatives of equal score;
-    the mean of the two running counts gives ties their half.
-    """
-    cells = score_cells(df, [group], score, label)
-    names = [r[0] for r in cells.select(group).distinct().orderBy(group).collect()]  # callers bound the number of groups
-    neg = cells.where(F.col("neg") > 0).select(F.col(group).alias("h"), "score", F.lit(1).alias("kind"), "neg")
-    pos = cells.where(F.col("pos") > 0).select(
-        F.col(group).alias("g"), F.explode(F.array(*[F.lit(x) for x in names])).alias("h"), "score", "pos")
-    pos = pos.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(2))))
-    rows = neg.unionByName(pos, allowMissingColumns=True)
-    seen = order_rows(rows, ["h"], [F.col("score"), F.col("kind")], slices).scan(sums={"below": F.col("neg")})
-    wins = seen.where(F.col("kind") != 1).groupBy("g", "h").agg(F.sum(F.col("pos") * F.col("below") / F.lit(2.0)).alias("wins"))
-    size = cells.groupBy(group).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return (
-        wins.join(size.select(F.col(group).alias("g"), "pos"), "g", "full")
-        .join(size.select(F.col(group).alias("h"), "neg"), "h")
-    )
+    return picked.join(groups, "rn_").drop("rn_")
 
 
 def cluster_auc_replicates(df: DataFrame, group: str, score: str, label: str, reps: int = 2000, seed: int = 42, slices=None) -> DataFrame:
     """(rep, auc) of resamples of whole groups; resamples with one class are left out."""
-    draws, n = cluster_draws(df, group, reps, seed)
+    draws = cluster_draws(df, group, reps, seed)
     cells = score_cells(df, [group], score, label)
-    if n > reps:  # more groups than replicates: weighting the score cells is the smaller job
-        weighted = cells.join(draws, group).groupBy("rep", "score").agg(
-            F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
-        return auc_from_cells(weighted, ["rep"], slices).where(F.col("auc").isNotNull()).select("rep", "auc")
-    size = cells.groupBy(group).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    per_rep = lookup_join(draws, size, [group], "inner").groupBy("rep").agg(
-        F.sum(F.col("pos") * F.col("times")).alias("p"), F.sum(F.col("neg") * F.col("times")).alias("n"))
-    pairs = auc_pairs(df, group, score, label, slices).where(F.col("wins").isNotNull()).select("g", "h", "wins")
-    g = draws.select("rep", F.col(group).alias("g"), F.col("times").alias("tg"))
-    h = draws.select("rep", F.col(group).alias("h"), F.col("times").alias("th"))
-    wins = g.join(pairs, "g").join(h, ["rep", "h"]).groupBy("rep").agg(
-        F.sum(F.col("wins") * F.col("tg") * F.col("th")).alias("wins"))
-    both = per_rep.join(wins, "rep", "left").where((F.col("p") > 0) & (F.col("n") > 0))
-    return both.select("rep", (F.coalesce("wins", F.lit(0.0)) / (F.col("p").cast("double") * F.col("n"))).alias("auc"))
+    weighted = cells.join(draws, group).groupBy("rep", "score").agg(
+        F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
+    return auc_from_cells(weighted, ["rep"], slices).where(F.col("auc").isNotNull()).select("rep", "auc")
 
 
 def cluster_bootstrap_auc(df: DataFrame, group: str, score: str, label: str, reps: int = 2000, seed: int = 42, slices=None) -> DataFrame:
@@ -173,9 +139,9 @@ def cluster_paired(df: DataFrame, group: str, score_a: str, score_b: str, label:
 
 def cluster_metric(df: DataFrame, group: str, sums: dict[str, Column], metric: Column, reps: int = 2000, seed: int = 42) -> DataFrame:
     """Replicates of a metric that is a function of sums: group sums once, then weighted sums per replicate."""
-    draws, _ = cluster_draws(df, group, reps, seed)
+    draws = cluster_draws(df, group, reps, seed)
     per = df.groupBy(group).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    return lookup_join(draws, per, [group], "inner").groupBy("rep").agg(
+    return draws.join(per, group).groupBy("rep").agg(
         *[F.sum(F.col(n) * F.col("times")).alias(n) for n in sums]
     ).select("rep", metric.alias("value")).where(F.col("value").isNotNull())
 
@@ -218,6 +184,24 @@ def jackknife_auc(df: DataFrame, group: str, score: str, label: str, slices=None
     return d.select("left_out", p.alias("n_pos"), n.alias("n_neg"), F.when((p > 0) & (n > 0), rest / (p.cast("double") * n)).alias("auc"))
 
 
+def jackknife_f1_difference(df: DataFrame, group: str, label: str, pred_a: str, pred_b: str) -> DataFrame:
+    """F1 of caller b minus caller a without each group, beside the difference on all rows and its least, greatest and range."""
+    y = F.col(label)
+    count = lambda c, n: F.sum(c.cast("long")).alias(n)
+    per = df.groupBy(F.col(group).alias("left_out")).agg(
+        F.count(F.lit(1)).alias("n_excluded"), count(y == 1, "p"),
+        *[x for k, q in (("a", pred_a), ("b", pred_b)) for x in (count((y == 1) & (F.col(q) == 1), f"tp_{k}"), count(F.col(q) == 1, f"w_{k}"))])
+    names = ["p", "tp_a", "w_a", "tp_b", "w_b"]
+    every = per.agg(*[F.sum(c).alias(f"{c}_all") for c in names], F.lit(1).alias("one_"))
+    f1 = lambda tp, w, p: F.when(w + p > 0, 2 * tp / (w + p)).otherwise(F.lit(0.0))
+    left = {c: F.col(f"{c}_all") - F.col(c) for c in names}
+    d = per.withColumn("one_", F.lit(1)).join(F.broadcast(every), "one_").select(
+        "one_", "left_out", "n_excluded", (f1(left["tp_b"], left["w_b"], left["p"]) - f1(left["tp_a"], left["w_a"], left["p"])).alias("f1_delta"),
+        (f1(F.col("tp_b_all"), F.col("w_b_all"), F.col("p_all")) - f1(F.col("tp_a_all"), F.col("w_a_all"), F.col("p_all"))).alias("full_delta"))
+    ends = d.agg(F.min("f1_delta").alias("delta_min"), F.max("f1_delta").alias("delta_max"), F.lit(1).alias("one_"))
+    return d.join(F.broadcast(ends), "one_").drop("one_").withColumn("delta_range", F.col("delta_max") - F.col("delta_min"))
+
+
 def within_group_bootstrap(df: DataFrame, group: str, score: str, label: str, key: str, reps: int = 2000, seed: int = 42, min_class: int = 1, slices=None) -> DataFrame:
     """Interval of the mean group AUC, resampling rows inside each group."""
     sample = resample_rows(df, reps, seed, key, [group], [score, label], slices)
