@@ -63,7 +63,12 @@ def test_answers_and_audit(spark, tmp_path):
     use = lambda name, inp: {"message": {"model": "m", "content": [{"type": "tool_use", "name": name, "input": inp}]}}
     tr.write_text("\n".join(map(json.dumps, [use("Read", {"file_path": "/x"}), use("SubagentHandback", {"message": '{"id":"S1"}\n{"id":"S2"}'})])))
     exp = spark.createDataFrame([("t1", "/x", ["S1", "S2"]), ("t2", "/y", ["S3"])], "transcript string, file_path string, boards array<string>")
-    got = {r.transcript: (r.tool_calls, r.only_read_own_prompt, r.answers_complete) for r in nested.audit_answers(nested.read_transcripts(spark, str(tr)), exp).collect()}
+    audit = nested.audit_answers(nested.read_transcripts(spark, str(tr)), exp, "SubagentHandback")
+    tries = spark.createDataFrame([("t1", 1, "p", 5), ("t2", 1, "p", 7)], "transcript string, run int, prompt string, finished long")
+    last = nested.latest_attempts(audit, tries).first()
+    assert (last.attempts, last.transcript, last.usable) == (2, "t2", False)
+    assert nested.latest_attempts(audit, tries.where("finished = 5")).first().usable
+    got = {r.transcript: (r.tool_calls, r.only_read_own_prompt, r.answers_complete) for r in nested.audit_answers(nested.read_transcripts(spark, str(tr)), exp, "SubagentHandback").collect()}
     assert got == {"t1": (1, True, True), "t2": (0, False, False)}
 
 
@@ -131,3 +136,41 @@ def test_board_keeps_forty_lines_and_counts_the_rest(spark):
     assert b.count("\n- committed: Bug, 2.5 SP, not resolved yet") == 40 and b.endswith("- ... and 5 more issues of the same kinds")
     assert "story points recorded on 45 of them (total 90)" in b and "no finished earlier sprint" in b
     assert text.board_texts(items, s, at_start=True).first().board.count("- Bug, 2 SP") == 40
+
+
+def test_names_of_many_groups_and_items(spark):
+    n = [1, 26, 27, 52, 257, 300, 702, 703, 10**12]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(text.letter_name(F.col("n"))).collect()]
+    name = lambda k: (name((k - 1) // 26) if k > 26 else "") + chr(65 + (k - 1) % 26)
+    assert got == [name(x) for x in n] and len(set(got)) == len(n)
+    codes = [r[0] for r in spark.createDataFrame([(7,), (100_000_000,), (123_456_789,)], "n long").select(text.item_number(F.col("n"))).collect()]
+    assert codes == ["00000007", "100000000", "123456789"]
+
+
+def test_closed_boxes_in_any_case(spark):
+    day = lambda k: f"2020-01-{k:02d} 00:00:00"
+    rows = [(s, day(1), day(5), day(6)) for s in ("CLOSED", "closed", "Closed", "ACTIVE")] + [("closed", day(5), day(1), day(6))]
+    df = spark.createDataFrame(rows, "sprint_state string, start_date string, end_date string, complete_date string")
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in ("start_date", "end_date", "complete_date")})
+    assert tables.eligible(df).count() == 3
+
+
+def test_split_files_and_quoted_line_ends(spark, tmp_path):
+    head = "ID,Issue_Key,Type,Status,Story_Point,Priority,Creation_Date,Sprint_ID,Project_Name,Resolution_Date,Assignee_ID\n"
+    (tmp_path / "a.csv").write_text("\ufeff" + head + '1,K-1,Bug,"Done, or so",3,,2020-01-01 00:00:00,7,P,NULL,A\n2,K-2,Story,Open,x,,bad,,P,,\n')
+    got = tables.load_issues(spark, str(tmp_path / "a.csv")).orderBy("raw_issue_id").collect()
+    assert [(r.raw_issue_id, r.status, r.story_point, r.raw_sprint_id, r.assignee) for r in got] == [(1, "Done, or so", 3.0, 7, "A"), (2, "Open", None, None, None)]
+    (tmp_path / "b.csv").write_text(head + '1,K-1,Bug,"two\nlines",3,,2020-01-01 00:00:00,7,P,,A\n')
+    assert tables.load_issues(spark, str(tmp_path / "b.csv"), quoted_newlines=True).first().status == "two\nlines"
+
+
+def test_typed_read_back_and_streamed_fingerprints(spark, tmp_path):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "a, b", 0.12345, None), (2, None, None, "2020-01-02 03:04:05")], "k long, t string, x double, d string").withColumn("d", F.col("d").cast("timestamp"))
+    sinks.write_rows(df, str(tmp_path / "w"), digits=None)
+    assert sorted(map(tuple, sinks.read_rows(spark, str(tmp_path / "w"), df.schema).collect())) == sorted(map(tuple, df.collect()))
+    (tmp_path / "x.txt").write_bytes(b"one\ntwo")
+    (tmp_path / "y.txt").write_bytes(b"")
+    got = {r.file.rsplit("/", 1)[1]: (r.sha256, r.bytes, r.lines) for r in sinks.fingerprints(spark, str(tmp_path / "*.txt")).collect()}
+    assert got == {n: (hashlib.sha256(b).hexdigest(), len(b), k) for n, b, k in (("x.txt", b"one\ntwo", 2), ("y.txt", b"", 0))}

@@ -135,8 +135,8 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1).alias("transcript"), "message.model", "message.content")
 
 
-def audit_answers(records: DataFrame, expected: DataFrame, answer_tool: str = "SubagentHandback") -> DataFrame:
-    """Per transcript: tool calls, whether it only read its own prompt, and whether all boards are answered.
+def audit_answers(records: DataFrame, expected: DataFrame, answer_tool: str) -> DataFrame:
+    """Per transcript: models, tool calls, whether it only read its own prompt, and whether all boards are answered.
 
     ``expected``: transcript, file_path, boards.
     """
@@ -150,8 +150,22 @@ def audit_answers(records: DataFrame, expected: DataFrame, answer_tool: str = "S
     asked = expected.select("transcript", F.explode("boards").alias("board_id"), F.lit(1).alias("asked"))
     per = ids.groupBy("transcript", "board_id").agg(F.count(F.lit(1)).alias("got")).join(asked, ["transcript", "board_id"], "full")
     done = per.groupBy("transcript").agg(F.min(((F.coalesce("asked", F.lit(0)) == 1) & (F.coalesce("got", F.lit(0)) == 1)).cast("int")).alias("all_"))
-    out = expected.join(reads, "transcript", "left").join(done, "transcript", "left")
+    models = records.groupBy("transcript").agg(F.array_sort(F.collect_set("model")).alias("models"))
+    out = expected.join(reads, "transcript", "left").join(done, "transcript", "left").join(models, "transcript", "left")
     clean = (F.col("tool_calls") == 1) & (F.col("tool") == "Read") & (F.col("read_path") == F.col("file_path"))
     return out.select(
         "transcript", F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"),
-        F.coalesce(clean, F.lit(False)).alias("only_read_own_prompt"), (F.coalesce("all_", F.lit(0)) == 1).alias("answers_complete"))
+        F.coalesce(clean, F.lit(False)).alias("only_read_own_prompt"), (F.coalesce("all_", F.lit(0)) == 1).alias("answers_complete"),
+        F.coalesce("models", F.array().cast("array<string>")).alias("models"))
+
+
+def latest_attempts(audit: DataFrame, attempts: DataFrame, prompt: Sequence[str] = ("run", "prompt")) -> DataFrame:
+    """Per prompt: attempts, the newest of them with its audit, and whether it is clean and complete.
+
+    ``attempts``: transcript, the prompt's columns, and ``finished``, the time it ended.
+    """
+    parts = ["transcript", "models", "tool_calls", "only_read_own_prompt", "answers_complete"]
+    per = attempts.join(audit, "transcript").groupBy(*prompt).agg(
+        F.count(F.lit(1)).alias("attempts"), F.max_by(F.struct(*parts), F.struct("finished", "transcript")).alias("last_"))
+    out = per.select(*prompt, "attempts", "last_.*")
+    return out.withColumn("usable", F.col("only_read_own_prompt") & F.col("answers_complete"))

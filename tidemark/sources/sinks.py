@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BLOCK = 4 << 20  # bytes read at a time
+
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Float columns rounded; NaN becomes null."""
@@ -32,13 +38,29 @@ def append_run_log(metrics: DataFrame, path: str, run_date: str, dataset: str, n
     stamped.write.mode("append").partitionBy("run_date").parquet(path)
 
 
+def read_rows(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "csv") -> DataFrame:
+    """What :func:`write_rows` wrote, with the types of ``schema``; empty cells of a CSV are null."""
+    r = spark.read.schema(schema)
+    return (r.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]") if fmt == "csv" else r).format(fmt).load(path)
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: sha-256, bytes and lines. A file is one row, so inputs should be split as usual."""
-    files = spark.read.format("binaryFile").load(path)
-    text = spark.read.text(path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("lines"))
-    name = lambda c: F.regexp_replace(F.col(c), r"^file:/+", "/")
-    a = files.select(name("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
-    return a.join(text.select(name("f").alias("file"), "lines"), "file", "left")
+    """Per file: SHA-256, bytes and lines. Files are dealt over tasks and read as streams, whatever their size."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                local = re.sub("^file:/+", "/", name)
+                fs, at = (pafs.LocalFileSystem(), local) if local.startswith("/") else pafs.FileSystem.from_uri(name)
+                sha, size, lines, last = hashlib.sha256(), 0, 0, b"\n"
+                with fs.open_input_stream(at) as f:
+                    while part := f.read(BLOCK):
+                        sha.update(part)
+                        size, lines, last = size + len(part), lines + part.count(b"\n"), part[-1:]
+                yield pa.RecordBatch.from_pydict({"file": [local], "sha256": [sha.hexdigest()], "bytes": [size], "lines": [lines + (last != b"\n")]})
+
+    names = spark.read.format("binaryFile").load(path).select("path")  # lists the files; contents are not read here
+    return names.repartition(max(names.count(), 1), "path").mapInArrow(digest, "file string, sha256 string, bytes long, lines long")
 
 
 def write_split_manifest(split: DataFrame, path: str, key: str = "sprint_id") -> None:
