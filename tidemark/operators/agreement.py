@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import grouped, ratio
+from tidemark.session import materialize
 
 
 def share(cond: Column) -> Column:
@@ -101,6 +102,7 @@ def arm_metrics(long: DataFrame, group: str, keys: Sequence[str] = ("run", "arm"
     from tidemark.operators.ranking import roc_auc, spearman, within_group_auc
 
     k = list(keys)
+    long = materialize(long.select(*k, group, "warn", "p", "unf", "late", "m_warn", "unfinished"))  # six measures read it
     base = long.groupBy(*k).agg(
         F.avg(F.col("warn").cast("double")).alias("warn_rate"), F.avg("p").alias("mean_p"),
         F.avg(F.col("late").cast("double")).alias("late_rate"),

@@ -44,6 +44,18 @@ def value_asof(
     )
 
 
+def last_asof(events: DataFrame, probes: DataFrame, key: str, at: str, slices: int | None = None) -> DataFrame:
+    """Add ``value`` to each probe (key, ``at``, ...): what the last event (key, ts, tie, after) up to the instant set.
+
+    Null before the first event, for logs that hold only new values. One scan from the oldest row to the newest.
+    """
+    payload = [c for c in probes.columns if c not in (key, at)]
+    rows = events.select(key, F.col("ts").alias("t_"), F.lit(0).alias("kind_"), F.col("tie").alias("tie_"), F.struct(F.col("after").alias("v")).alias("s_")).unionByName(
+        probes.select(key, F.col(at).alias("t_"), F.lit(1).alias("kind_"), F.struct(F.lit(1).alias("row_"), *payload).alias("p_")), allowMissingColumns=True)
+    seen = order_rows(rows, [key], [F.col("t_"), F.col("kind_"), F.col("tie_")], slices).scan(lasts={"state_": F.col("s_")})
+    return seen.where(F.col("kind_") == 1).select(key, F.col("t_").alias(at), *[F.col(f"p_.{c}").alias(c) for c in payload], F.col("state_.v").alias("value"))
+
+
 def value_intervals(events: DataFrame, static: DataFrame, key: str, slices: int | None = None) -> DataFrame:
     """The step function as rows: key, valid_from, valid_to, value, last, from_history.
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import order_rows
+from tidemark.session import materialize
 
 HISTORY_WINDOW = 3
 
+# Names of the features, their sets and their groups.
 PLANNING_FEATURES = ["committed_issue_count", "committed_story_points", "sprint_length_days"]
 TRAILING_FEATURES = [
     "prior_avg_delivered_sp_3", "prior_avg_completion_ratio_3", "prior_sprint_carryover",
@@ -32,6 +34,7 @@ FEATURE_SETS = {
     "scope_only": PLANNING_FEATURES,
     "history_only": TRAILING_FEATURES,
     "legacy_plus_late": LEGACY_FEATURES + _LATE,
+    "strict_minus_late": [c for c in STRICT_FEATURES if c not in _LATE],
     "strict_timed": PLANNING_FEATURES + _HIST,
     "strict_timed_plus_late": PLANNING_FEATURES + _HIST + _LATE,
 }
@@ -85,9 +88,10 @@ def add_strict_history(df: DataFrame, slices: int | None = None) -> DataFrame:
     """History from sprints whose outcome was known (planned end and closure passed) at this start.
 
     Each known sprint carries itself and the few known before it; a second ordered scan hands the
-    newest such array to every start. Four entries are kept so that three remain when the sprint
+    newest such array to every start, which takes it by its sprint id. Four entries are kept so that three remain when the sprint
     itself, if it has no length, has to be left out.
     """
+    df = materialize(df)  # rows as they are; only keys and facts go through the two scans
     known_at = F.greatest("end_date", "complete_date")
     facts = F.struct(
         F.col("sprint_id").alias("id"), F.col("late_days_capped").alias("late"),
@@ -105,19 +109,20 @@ def add_strict_history(df: DataFrame, slices: int | None = None) -> DataFrame:
     )
     known = known.select("project", "t", F.lit(0).alias("probe"), "s", F.col("sprint_id").alias("id_"), "series",
                          F.concat(F.array("f"), "before_").alias("arr"))
-    probes = df.select("project", F.col("start_date").alias("t"), F.lit(1).alias("probe"), F.struct(*df.columns).alias("row_"))
+    probes = df.select("project", F.col("start_date").alias("t"), F.lit(1).alias("probe"), F.col("sprint_id").alias("own_"))
     rows = known.unionByName(probes, allowMissingColumns=True)
     seen = order_rows(rows, ["project"], [F.col("t"), F.col("probe"), F.col("s"), F.col("id_")], slices).scan(lasts={
         "all_": F.when(F.col("series") == "all", F.col("arr")),
         "nonempty_": F.when(F.col("series") == "nonempty", F.col("arr")),
-    }).where(F.col("probe") == 1).select("row_.*", "all_", "nonempty_")
+    }).where(F.col("probe") == 1).select("own_", "all_", "nonempty_")
 
     def recent(c):
-        others = F.filter(c, lambda x: x["id"] != F.col("sprint_id"))
+        others = F.filter(c, lambda x: x["id"] != F.col("own_"))
         return F.slice(F.coalesce(others, F.array().cast(df_type)), 1, HISTORY_WINDOW)
 
     df_type = seen.schema["all_"].dataType.simpleString()
     seen = seen.withColumns({"all_": recent(F.col("all_")), "nonempty_": recent(F.col("nonempty_"))})
+    seen = df.join(seen, df["sprint_id"] == seen["own_"]).drop("own_")
     of = lambda arr, name: mean_of(F.transform(arr, lambda x: x[name]))
     avg_done = of("nonempty_", "completed")
     out = seen.withColumns({

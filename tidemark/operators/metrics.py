@@ -36,8 +36,9 @@ def confusion_metrics(df: DataFrame, keys: Sequence[str], label: str, pred: str,
 
 
 def brier(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
-    p = F.least(F.greatest(F.col(prob), F.lit(0.0)), F.lit(1.0))
-    return grouped(df, keys).agg(F.avg((p - F.col(label)) * (p - F.col(label))).alias("brier"))
+    """Mean squared error of a probability; scores outside [0, 1] are not hidden."""
+    gap = F.col(prob) - F.col(label)
+    return grouped(df, keys).agg(F.avg(gap * gap).alias("brier"))
 
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], truth: str, pred: str, slices=None) -> DataFrame:

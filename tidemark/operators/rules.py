@@ -89,9 +89,10 @@ def training_quantile_forecasts(train: DataFrame, test: DataFrame, slices=None)
 
 
 def best_rule(train: DataFrame, rules: Sequence[str], label: str, slices=None) -> DataFrame:
-    """The rule with the highest training AUC (the first by name on ties)."""
+    """The rule with the highest training AUC (the first in the given order on ties)."""
     cells = F.array(*[F.struct(F.lit(r).alias("model"), F.col(r).cast("double").alias("score")) for r in rules])
+    place = F.array_position(F.array(*[F.lit(r) for r in rules]), F.col("model"))
     long = train.select(label, F.explode(cells).alias("c")).select(label, "c.*")
     auc = roc_auc(long, ["model"], "score", label, slices)
-    return auc.agg(F.max_by(F.struct("model", "auc"), F.struct("auc", F.col("model"))).alias("b")).select(
+    return auc.agg(F.min_by(F.struct("model", "auc"), F.struct(-F.col("auc"), place)).alias("b")).select(
         F.col("b.model").alias("rule"), F.col("b.auc").alias("train_auc"))

@@ -12,17 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+from tidemark.session import materialize
 
 
-def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a per-key table: broadcast it when a count shows it small, else shuffle both sides.
+def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join to a per-key table, which is written once, so that its plan runs once and Spark knows its size.
 
-    In the shuffled form adaptive execution splits the partitions of hot keys.
+    Its bytes against ``spark.sql.autoBroadcastJoinThreshold`` decide whether it is broadcast; else both sides are
+    shuffled and adaptive execution splits the partitions of hot keys.
     """
-    if dim.limit(limit + 1).count() <= limit:
-        return df.join(F.broadcast(dim), list(on), how)
-    return df.join(dim, list(on), how)
+    return df.join(materialize(dim), list(on), how)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

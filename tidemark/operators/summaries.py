@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ends_late_in_week, key_number, key_prefix
-from tidemark.operators.metrics import size_bucket
+from tidemark.functions.scalars import edge_bin, ends_late_in_week, key_number, key_prefix
 from tidemark.operators.ranking import exact_quantiles, rank_quartile, spearman
 from tidemark.operators.skew import lookup_join, top_k
 
@@ -43,19 +42,27 @@ def value_counts_top(df: DataFrame, value: str, n: int) -> DataFrame:
     return top_k(c, [], [F.col("count").desc(), F.col(value)], n)
 
 
-def rate_by_size(df: DataFrame, size: str, labels: Sequence[str]) -> DataFrame:
-    return df.withColumn("bucket", size_bucket(F.col(size))).where(F.col("bucket").isNotNull()).groupBy("bucket").agg(
+# Upper ends of the size classes in which spillover is reported.
+SIZE_EDGES = [0, 1, 2, 3, 5, 10, float("inf")]
+SIZE_NAMES = ["1", "2", "3", "4-5", "6-10", "11+"]
+
+
+def rate_by_size(df: DataFrame, size: str, labels: Sequence[str], edges: Sequence[float] = SIZE_EDGES, names: Sequence[str] = SIZE_NAMES) -> DataFrame:
+    """Rows and label rates per size class; rows outside the classes are left out."""
+    return df.withColumn("bucket", edge_bin(F.col(size), edges, names)).where(F.col("bucket").isNotNull()).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in labels])
 
 
 def source_description(df: DataFrame, source: str, slices=None) -> DataFrame:
-    """Cohort per source: sizes, rates, median scope and date span."""
+    """Cohort per source: sprints, nonempty ones, projects, rates, median scope of the nonempty ones and date span."""
+    nonempty = F.col("committed_issue_count") > 0
     base = df.groupBy(source).agg(
-        F.count(F.lit(1)).alias("sprints"), F.count_if(F.col("committed_issue_count") == 0).alias("zero_scope"),
+        F.count(F.lit(1)).alias("sprints"), F.count_if(nonempty).alias("nonempty"), F.count_if(F.col("committed_issue_count") == 0).alias("zero_scope"),
+        F.countDistinct("project").alias("projects"),
         F.avg(F.col("label_delay").cast("double")).alias("late_rate"),
         F.avg(F.when(F.col("committed_issue_count") > 0, F.col("label_spillover").cast("double"))).alias("spillover_rate"),
         F.min("start_date").alias("first_start"), F.max("start_date").alias("last_start"))
-    return base.join(medians(df, [source], "committed_issue_count", "median_scope", slices), source)
+    return base.join(medians(df.where(nonempty), [source], "committed_issue_count", "median_scope", slices), source, "left")
 
 
 def nothing_done_share(df: DataFrame, group: str = "project") -> DataFrame:
@@ -178,8 +185,21 @@ def repeat_commitments(committed: DataFrame) -> DataFrame:
         (1 - F.count(F.lit(1)) / F.sum("times")).alias("share_repeats"), F.avg((F.col("times") > 1).cast("double")).alias("share_items_repeated"))
 
 
-def label_sanity(df: DataFrame) -> DataFrame:
-    """(check, value, note) rows: rates, rates by size, weekday of the planned end, dates missing per source."""
+# States of a finished item.
+FINISHED = ["closed", "done", "resolved"]
+
+
+def missing_resolution(items: DataFrame, group: str, status: str = "status", finished: Sequence[str] = FINISHED) -> DataFrame:
+    """Per group: share of finished items (by lower-cased state) without a resolution date."""
+    done = items.where(F.lower(status).isin(list(finished)))
+    return done.groupBy(F.col(group).alias("note")).agg(F.avg(F.col("resolution_date").isNull().cast("double")).alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def label_sanity(df: DataFrame, slices=None) -> DataFrame:
+    """(check, value, note) rows: rates, rates by size, medians, weekday of the planned end.
+
+    Finished items without a date are a table of their own: :func:`missing_resolution`.
+    """
     n = F.count(F.lit(1))
     one = lambda check, note, d, v: d.agg(v.alias("value"), n.alias("n")).select(F.lit(check).alias("check"), F.lit(note).alias("note"), F.col("value").cast("double").alias("value"), "n")
     late, ne = F.col("label_delay").cast("double"), df.where(F.col("committed_issue_count") > 0)
@@ -195,12 +215,44 @@ def label_sanity(df: DataFrame) -> DataFrame:
     ]
     by_size = rate_by_size(ne, "committed_issue_count", ["label_spillover"]).select(
         F.lit("spillover_rate_by_size").alias("check"), F.col("bucket").alias("note"), F.col("label_spillover_rate").alias("value"), "n")
+    mid = lambda check, note, d, v: medians(d, [], v, "value", slices).select(F.lit(check).alias("check"), F.lit(note).alias("note"), F.col("value").cast("double").alias("value"), F.lit(d.count()).alias("n"))
+    weekend = week.where(F.col("label_delay") == 1)
+    parts += [
+        one("late_end_fri_to_sun_closed_within_3_5_days_share", "late", weekend, F.avg((F.col("late_week") & (F.col("late_days") <= 3.5)).cast("double"))),
+        mid("median_carry_share", "nonempty", ne, "carry_ratio"),
+        mid("median_late_days", "late", df.where(F.col("label_delay") == 1), "late_days"),
+    ]
     out = by_size
     for p in parts:
         out = out.unionByName(p)
     return out
 
 
+def descriptive_numbers(split: DataFrame, spill_split: DataFrame) -> DataFrame:
+    """(check, note, value): extremes, late rate by side, and spillover negatives of the test side by project.
+
+    ``split``: all labelled boxes with their side; ``spill_split``: the nonempty ones, split on their own.
+    """
+    late = F.col("label_delay").cast("double")
+    cells = {
+        ("late_days", "min"): F.min("late_days"), ("late_days", "max"): F.max("late_days"),
+        ("sprint_length_days", "min"): F.min("sprint_length_days"), ("sprint_length_days", "max"): F.max("sprint_length_days"),
+        ("late_days_capped", "min"): F.min("late_days_capped"),
+        ("late_rate", "train"): F.avg(F.when(F.col("side") == "train", late)), ("late_rate", "test"): F.avg(F.when(F.col("side") == "test", late)),
+    }
+    one = split.agg(*[v.cast("double").alias(f"v{k}") for k, v in enumerate(cells.values())])
+    rows = F.array(*[F.struct(F.lit(c).alias("check"), F.lit(n).alias("note"), F.col(f"v{k}").alias("value")) for k, (c, n) in enumerate(cells)])
+    negatives = spill_split.where((F.col("side") == "test") & (F.col("label_spillover") == 0)).groupBy("project").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return one.select(F.explode(rows).alias("r")).select("r.*").unionByName(
+        negatives.select(F.lit("spill_test_negatives").alias("check"), F.col("project").alias("note"), "value"))
+
+
+def groups_below(metrics: DataFrame, keys: Sequence[str] = (), value: str = "auc", least: float = 0.5) -> DataFrame:
+    """Of the readable groups of a metrics table, how many stay under a value."""
+    rows = metrics.where(F.col("interpretable"))
+    return (rows.groupBy(*keys) if keys else rows.groupBy()).agg(F.count_if(F.col(value) < least).alias("below"), F.count(F.lit(1)).alias("groups"))
+
+
 def reconcile_claims(claims: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Claimed value against the result row within a tolerance: PASS, FAIL or MISSING."""
     j = claims.join(results.select(*keys, F.col("value").alias("result")), list(keys), "left")

@@ -105,7 +105,7 @@ def cohort_flow(spark, d):
     return labels.cohort_flow(tk.boxes(spark, d), history.add_trailing_history(tk.labelled(spark, d)))
 
 
-_SIZE = "CASE WHEN committed<=3 THEN '1-3 issues' WHEN committed<=12 THEN '4-12 issues' ELSE '13+ issues' END"
+_SIZE = "CASE WHEN committed<=1 THEN '1' WHEN committed<=2 THEN '2' WHEN committed<=3 THEN '3' WHEN committed<=5 THEN '4-5' WHEN committed<=10 THEN '6-10' ELSE '11+' END"
 
 
 @query("rate_by_size", with_("lab") + f"SELECT {_SIZE} AS bucket, count(*) AS n, round(avg(label_spillover),6) AS label_spillover_rate, round(avg(label_delay),6) AS label_delay_rate FROM lab WHERE committed>0 GROUP BY 1")
@@ -123,12 +123,12 @@ def group_total_filtered(spark, d):
     return tidy(summaries.rates_with_total(tk.labelled(spark, d), "project", {"late_rate": F.col("label_delay").cast("double")}, total_filter=F.col("nonempty") & (F.col("project") != "P3")))
 
 
-@query("project_table", with_("lab") + "SELECT project, count(*) AS sprints, count(*) FILTER (nonempty) AS nonempty, round(avg(label_delay),6) AS late_rate, round(avg(label_spillover) FILTER (nonempty),6) AS spillover_rate, round(avg(committed),6) AS mean_scope, min(late_days) AS min_late_days, max(late_days) AS max_late_days, count(DISTINCT start_date) AS start_days, CAST(median(committed) AS DOUBLE) AS median_scope FROM lab GROUP BY 1")
+@query("project_table", with_("lab") + "SELECT project, count(*) AS sprints, count(*) FILTER (nonempty) AS nonempty, round(avg(label_delay),6) AS late_rate, round(avg(label_spillover) FILTER (nonempty),6) AS spillover_rate, round(avg(committed),6) AS mean_scope, min(late_days) AS min_late_days, max(late_days) AS max_late_days, count(DISTINCT start_date) AS start_days, CAST(median(committed) FILTER (nonempty) AS DOUBLE) AS median_scope FROM lab GROUP BY 1")
 def project_table(spark, d):
     return tidy(summaries.project_table(tk.labelled(spark, d)))
 
 
-@query("source_description", with_("lab") + "SELECT sprint_state, count(*) AS sprints, count(*) FILTER (committed=0) AS zero_scope, round(avg(label_delay),6) AS late_rate, round(avg(label_spillover) FILTER (nonempty),6) AS spillover_rate, min(start_date) AS first_start, max(start_date) AS last_start, CAST(median(committed) AS DOUBLE) AS median_scope FROM lab GROUP BY 1")
+@query("source_description", with_("lab") + "SELECT sprint_state, count(*) AS sprints, count(*) FILTER (nonempty) AS nonempty, count(DISTINCT project) AS projects, count(*) FILTER (committed=0) AS zero_scope, round(avg(label_delay),6) AS late_rate, round(avg(label_spillover) FILTER (nonempty),6) AS spillover_rate, min(start_date) AS first_start, max(start_date) AS last_start, CAST(median(committed) FILTER (nonempty) AS DOUBLE) AS median_scope FROM lab GROUP BY 1")
 def source_description(spark, d):
     return tidy(summaries.source_description(tk.labelled(spark, d), "sprint_state"))
 
@@ -167,7 +167,7 @@ def overload_spearman(spark, d):
 
 
 @query("overload_gap", _LOAD + """, g AS (SELECT project, row_number() OVER (ORDER BY project) AS rn FROM (SELECT DISTINCT project FROM ld)), n AS (SELECT count(*) AS n FROM g),
-dr AS (SELECT r, rn FROM (SELECT r, (('0x'||substr(md5('42|'||r||'|'||i),1,8))::UBIGINT % n)+1 AS rn FROM n, range(2000) a(r), range(8) b(i) WHERE i<n)),
+dr AS (SELECT r, rn FROM (SELECT r, (('0x'||substr(md5('42|'||r||'|'||i),1,15))::BIGINT % n)+1 AS rn FROM n, range(2000) a(r), range(8) b(i) WHERE i<n)),
 s AS (SELECT project, sum(carry_ratio) FILTER (q=3) AS h, count(*) FILTER (q=3) AS nh, sum(carry_ratio) FILTER (q=0) AS l, count(*) FILTER (q=0) AS nl FROM ld GROUP BY 1),
 rep AS (SELECT r, sum(h)/sum(nh)-sum(l)/sum(nl) AS v FROM dr JOIN g USING (rn) JOIN s USING (project) GROUP BY 1)
 SELECT count(*) AS replicates, round(avg(v),6) AS mean, round(quantile_cont(v,0.025),6) AS lo, round(quantile_cont(v,0.975),6) AS hi, (SELECT round(sum(h)/sum(nh)-sum(l)/sum(nl),6) FROM s) AS point FROM rep""")
@@ -179,11 +179,30 @@ def overload_gap(spark, d):
 UNION ALL SELECT 'spillover_rate', 'nonempty', round(avg(label_spillover),6), count(*) FROM lab WHERE nonempty UNION ALL SELECT 'heavy_carry_rate','nonempty', round(avg((carry_ratio>=0.5)::INT),6), count(*) FROM lab WHERE nonempty
 UNION ALL SELECT 'late_1_to_3_days_share','late', round(avg((late_days<=3)::INT),6), count(*) FROM lab WHERE label_delay=1 UNION ALL SELECT 'planned_end_fri_to_sun_share','all', round(avg((isodow(end_date)>=5)::INT),6), count(*) FROM lab
 UNION ALL SELECT 'late_rate_end_fri_to_sun','all', round(avg(label_delay),6), count(*) FROM lab WHERE isodow(end_date)>=5 UNION ALL SELECT 'late_rate_end_mon_to_thu','all', round(avg(label_delay),6), count(*) FROM lab WHERE isodow(end_date)<5
+UNION ALL SELECT 'late_end_fri_to_sun_closed_within_3_5_days_share','late', round(avg((isodow(end_date)>=5 AND late_days<=3.5)::INT),6), count(*) FROM lab WHERE label_delay=1
+UNION ALL SELECT 'median_carry_share','nonempty', round(median(carry_ratio),6), count(*) FROM lab WHERE nonempty UNION ALL SELECT 'median_late_days','late', round(median(late_days),6), count(*) FROM lab WHERE label_delay=1
 UNION ALL SELECT 'spillover_rate_by_size', {_SIZE}, round(avg(label_spillover),6), count(*) FROM lab WHERE nonempty GROUP BY 2""")
 def label_sanity(spark, d):
     return tidy(summaries.label_sanity(tk.labelled(spark, d)))
 
 
+@query("missing_resolution", with_("item") + "SELECT project AS note, round(avg((resolved IS NULL)::INT),6) AS value, count(*) AS n FROM item WHERE status IN ('F/A','F/R','O/N') GROUP BY 1")
+def missing_resolution(spark, d):
+    """Items in three of the states, by project, without a resolution date."""
+    return tidy(summaries.missing_resolution(tk.items(spark, d), "project", finished=["f/a", "f/r", "o/n"]))
+
+
+@query("descriptive_numbers", with_("lab") + """, s AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY start_date, sprint_id)<=greatest(1,floor(count(*) OVER (PARTITION BY project)*0.7::DOUBLE)) AS tr FROM lab),
+e AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY start_date, sprint_id)<=greatest(1,floor(count(*) OVER (PARTITION BY project)*0.7::DOUBLE)) AS tr FROM lab WHERE nonempty)
+SELECT 'late_days' AS "check", 'min' AS note, round(min(late_days),6) AS value FROM lab UNION ALL SELECT 'late_days','max',round(max(late_days),6) FROM lab
+UNION ALL SELECT 'sprint_length_days','min',round(min(len),6) FROM lab UNION ALL SELECT 'sprint_length_days','max',round(max(len),6) FROM lab UNION ALL SELECT 'late_days_capped','min',round(min(late_capped),6) FROM lab
+UNION ALL SELECT 'late_rate', CASE WHEN tr THEN 'train' ELSE 'test' END, round(avg(label_delay),6) FROM s GROUP BY 2
+UNION ALL SELECT 'spill_test_negatives', project, count(*)::DOUBLE FROM e WHERE NOT tr AND label_spillover=0 GROUP BY 2""")
+def descriptive_numbers(spark, d):
+    f = tk.labelled(spark, d)
+    return tidy(summaries.descriptive_numbers(splits.split_time(f), splits.split_time(f.where("nonempty"))))
+
+
 # ------------------------------------------------------------------ splits
 _RN = "row_number() OVER (PARTITION BY project ORDER BY start_date, sprint_id) AS rn, count(*) OVER (PARTITION BY project) AS n"
 
@@ -261,7 +280,7 @@ def class_weights(spark, d):
 
 @query("oversample", with_("lab") + f""", k2 AS (SELECT count(*) FILTER (label_delay=1) AS p, count(*) FILTER (label_delay=0) AS q FROM lab), m AS (SELECT CASE WHEN p<q THEN 1 ELSE 0 END AS lab_min, abs(p-q) AS need, least(p,q) AS have FROM k2),
 r AS (SELECT sprint_id, row_number() OVER (ORDER BY {hash_of("'42'", 'sprint_id')}, sprint_id) AS rn FROM lab, m WHERE label_delay=lab_min),
-dr AS (SELECT (('0x'||substr(md5('42|draw|'||i),1,8))::UBIGINT % have)+1 AS rn FROM (SELECT have, unnest(range(need)) AS i FROM m))
+dr AS (SELECT (('0x'||substr(md5('42|draw|'||i),1,15))::BIGINT % have)+1 AS rn FROM (SELECT have, unnest(range(need)) AS i FROM m))
 SELECT sprint_id, 1+coalesce(c,0) AS copies FROM lab LEFT JOIN (SELECT sprint_id AS s, count(*) AS c FROM dr JOIN r USING (rn) GROUP BY 1) ON s=sprint_id""")
 def oversample(spark, d):
     o = splits.oversample(tk.labelled(spark, d), "label_delay")

@@ -11,7 +11,7 @@ from tidemark.plans import tracker as tk
 from tidemark.plans.oracle import auc, draw, mid_rank, with_
 from tidemark.plans.registry import query, tidy
 
-REPS = 200  # replicates of the registered row bootstraps; cluster bootstraps use 2,000
+REPS = 2000  # replicates of the registered bootstraps
 
 
 def docs(spark, d):
@@ -147,14 +147,16 @@ def mid_ranks(spark, d):
 @query("mann_whitney", with_("scored") + f""", f AS (SELECT *, CASE WHEN y=0 THEN 1 ELSE 0 END AS a FROM scored WHERE pred=1), lg AS (SELECT 'committed' AS feature, a, committed::DOUBLE AS v FROM f UNION ALL SELECT 'points', a, points FROM f UNION ALL SELECT 'length', a, len FROM f),
 r AS (SELECT *, {mid_rank('v','feature')} AS rk FROM lg), t AS (SELECT feature, sum(c*c*c-c) AS ties FROM (SELECT feature, v, count(*)::DOUBLE AS c FROM lg GROUP BY 1,2) GROUP BY 1),
 u AS (SELECT feature, count(*) FILTER (a=1) AS n1, count(*) FILTER (a=0) AS n2, sum(rk) FILTER (a=1)-count(*) FILTER (a=1)*(count(*) FILTER (a=1)+1)/2.0::DOUBLE AS u FROM r GROUP BY 1)
-SELECT feature, n1 AS n_first, n2 AS n_second, u AS u_stat, round((greatest(u, n1*n2::DOUBLE-u)-n1*n2::DOUBLE/2-0.5)/sqrt(n1*n2::DOUBLE/12*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1)::DOUBLE))),6) AS z FROM u JOIN t USING (feature)""")
+, z AS (SELECT *, (greatest(u, n1*n2::DOUBLE-u)-n1*n2::DOUBLE/2-0.5)/sqrt(n1*n2::DOUBLE/12*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1)::DOUBLE))) AS z FROM u JOIN t USING (feature)), k AS (SELECT *, 1/(1+0.2316419::DOUBLE*abs(z)) AS k FROM z),
+q AS (SELECT *, k*(0.319381530::DOUBLE+k*(-0.356563782::DOUBLE+k*(1.781477937::DOUBLE+k*(-1.821255978::DOUBLE+k*1.330274429::DOUBLE))))*exp(-z*z/2)/sqrt(2*pi()) AS q FROM k)
+SELECT feature, n1 AS n_first, n2 AS n_second, u AS u_stat, round(z,6) AS z, round(least(1.0::DOUBLE, 2*CASE WHEN z>=0 THEN q ELSE 1-q END),6) AS p_value FROM q""")
 def mann_whitney(spark, d):
     """Feature profiles of false positives against true positives."""
     f = tk.scored(spark, d).where(F.col("pred") == 1)
     cells = {"committed": "committed_issue_count", "points": "committed_story_points", "length": "sprint_length_days"}
     arr = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(c).cast("double").alias("v")) for n, c in cells.items()])
     long = f.select("label_delay", F.explode(arr).alias("x")).select("label_delay", "x.*")
-    return tidy(ranking.mann_whitney(long, ["feature"], "v", F.col("label_delay") == 0, F.col("label_delay") == 1).drop("p_value"))
+    return tidy(ranking.mann_whitney(long, ["feature"], "v", F.col("label_delay") == 0, F.col("label_delay") == 1))
 
 
 @query("interpretable", with_("docs") + "SELECT lang, source, count(*) FILTER (quality=1)>=5 AND count(*) FILTER (quality=0)>=5 AS interpretable FROM docs JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1,2")
@@ -249,9 +251,21 @@ def jackknife_group(spark, d):
     return tidy(resample.jackknife_auc(tk.scored(spark, d), "project", "score", "label_delay"))
 
 
-@query("roc_bootstrap_band", with_("docs") + boot_sql("docs", "doc_id", "p, quality", reps=100) + grid_sql("bs", "r", "p", "quality") + "SELECT step, fpr, round(avg(tpr),6) AS tpr_mean, round(quantile_cont(tpr,0.025),6) AS tpr_lo, round(quantile_cont(tpr,0.975),6) AS tpr_hi FROM grid GROUP BY 1,2")
+_F1 = lambda p, w="": f"2*count(*) FILTER (y=1 AND {p}=1{w})/nullif(count(*) FILTER (y=1{w})+count(*) FILTER ({p}=1{w}),0)::DOUBLE"
+
+
+@query("jackknife_f1", with_("scored") + f""", o AS (SELECT project AS left_out, count(*) AS n_excluded FROM scored GROUP BY 1),
+d AS (SELECT left_out, n_excluded, coalesce({_F1('pred_b')},0)-coalesce({_F1('pred')},0) AS f1_delta FROM scored JOIN o ON project<>left_out GROUP BY 1,2),
+f AS (SELECT coalesce({_F1('pred_b')},0)-coalesce({_F1('pred')},0) AS full_delta FROM scored)
+SELECT left_out, n_excluded, round(f1_delta,6) AS f1_delta, round(full_delta,6) AS full_delta, round(min(f1_delta) OVER (),6) AS delta_min, round(max(f1_delta) OVER (),6) AS delta_max, round(max(f1_delta) OVER ()-min(f1_delta) OVER (),6) AS delta_range FROM d, f""")
+def jackknife_f1(spark, d):
+    """F1 of two callers without each project."""
+    return tidy(resample.jackknife_f1_difference(tk.scored(spark, d), "project", "label_delay", "pred", "pred_b"))
+
+
+@query("roc_bootstrap_band", with_("docs") + boot_sql("docs", "doc_id", "p, quality") + grid_sql("bs", "r", "p", "quality") + "SELECT step, fpr, round(avg(tpr),6) AS tpr_mean, round(quantile_cont(tpr,0.025),6) AS tpr_lo, round(quantile_cont(tpr,0.975),6) AS tpr_hi FROM grid GROUP BY 1,2")
 def roc_bootstrap_band(spark, d):
-    return tidy(resample.roc_bootstrap_band(docs(spark, d), "p", "quality", "doc_id", 100))
+    return tidy(resample.roc_bootstrap_band(docs(spark, d), "p", "quality", "doc_id", REPS))
 
 
 # ------------------------------------------------------------------ agreement
@@ -324,11 +338,10 @@ def arm_metrics(spark, d):
     return tidy(ag.arm_metrics(long_arms(spark, d), "project"))
 
 
-@query("arms_wide", with_("study") + "SELECT sprint_id, checkpoint, L1_warn, L1_p, G1_warn, G1_p FROM study")
+@query("arms_wide", with_("study") + "SELECT sprint_id, checkpoint, L1_warn, L1_p, G1_warn, G1_p, L2_warn, L2_p, G2_warn, G2_p, L3_warn, L3_p, G3_warn, G3_p FROM study")
 def arms_wide(spark, d):
-    long = long_arms(spark, d).where(F.col("run") == 1)
-    w = ag.arms_wide(long, ["sprint_id", "checkpoint"], "arm", ["L", "G"], ["warn", "p"])
-    return tidy(w.withColumnsRenamed({f"{a}_{v}": f"{a}1_{v}" for a in "LG" for v in ("warn", "p")}))
+    long = long_arms(spark, d).withColumn("arm", F.concat("arm", F.col("run").cast("string")))
+    return tidy(ag.arms_wide(long, ["sprint_id", "checkpoint"], "arm", [f"{a}{r}" for r in (1, 2, 3) for a in "LG"], ["warn", "p"]))
 
 
 @query("arm_ranges", with_("study") + _LONG + "SELECT arm, checkpoint, round(avg(w),6) AS mean, round(min(w),6) AS lo, round(max(w),6) AS hi FROM (SELECT run, arm, checkpoint, avg(warn) AS w FROM arms GROUP BY 1,2,3) GROUP BY 1,2")
@@ -377,14 +390,14 @@ def cost_bootstrap(spark, d):
 
 
 @query("optimal_thresholds", with_("study") + f""", t AS (SELECT a.sprint_id, a.late, a.m_score AS s0, b.m_score AS s5 FROM study a JOIN study b ON a.sprint_id=b.sprint_id AND a.checkpoint=0 AND b.checkpoint=0.5),
-g AS (SELECT DISTINCT unnest(quantile_cont(v, [{','.join(f'{i}/20.0' for i in range(21))}])) AS t FROM (SELECT s0 AS v FROM t UNION ALL SELECT s5 FROM t)), gg AS (SELECT t FROM g UNION ALL SELECT 1.01::DOUBLE),
+g AS (SELECT DISTINCT unnest(quantile_cont(v, [{','.join(f'{i}/60.0' for i in range(61))}])) AS t FROM (SELECT s0 AS v FROM t UNION ALL SELECT s5 FROM t)), gg AS (SELECT t FROM g UNION ALL SELECT 1.01::DOUBLE),
 c AS (SELECT a.t AS t0, b.t AS t50, avg((s0>=a.t OR s5>=b.t)::INT) AS w, avg(late) AS l, avg(late*(s0>=a.t)::INT) AS l0, avg(late*(s0<a.t AND s5>=b.t)::INT) AS l5 FROM t, gg a, gg b GROUP BY 1,2)
 SELECT scenario, ratio, t0, t50, round(cost,6) AS cost FROM (SELECT *, ratio*w+l-e0*l0-e5*l5 AS cost FROM c, {_SCEN}, (VALUES (0.02::DOUBLE),(0.05),(0.1),(0.2),(0.3),(0.5)) q(ratio)) QUALIFY row_number() OVER (PARTITION BY scenario, ratio ORDER BY round(cost,12), t0, t50)=1""")
 def optimal_thresholds(spark, d):
     s = tk.study(spark, d)
     at = lambda t: F.max(F.when(F.col("checkpoint") == t, F.col("m_score")))
     w = s.groupBy("sprint_id").agg(F.max("late").alias("late"), at(0.0).alias("s0"), at(0.5).alias("s50"))
-    return tidy(cost.optimal_thresholds(w, "s0", "s50", "late", points=21), digits=6)
+    return tidy(cost.optimal_thresholds(w, "s0", "s50", "late"), digits=6)
 
 
 # ------------------------------------------------------------------ rules
@@ -447,7 +460,7 @@ def training_quantiles(spark, d):
 
 
 @query("best_rule", with_("scored") + _TT.format(t="scored") + f""", a AS (SELECT rule, {auc('y','v')} AS a FROM (SELECT *, {mid_rank('v','rule')} AS rk FROM (SELECT 'score' AS rule, y, score AS v FROM tt WHERE tr UNION ALL SELECT 'score_b', y, score_b FROM tt WHERE tr UNION ALL SELECT 'committed_issue_count', y, committed FROM tt WHERE tr)) GROUP BY 1)
-SELECT rule, round(a,6) AS train_auc FROM a ORDER BY a DESC, rule DESC LIMIT 1""")
+SELECT rule, round(a,6) AS train_auc FROM a ORDER BY a DESC, list_position(['score','score_b','committed_issue_count'], rule) LIMIT 1""")
 def best_rule(spark, d):
     tr, _ = parts(tk.scored(spark, d))
     return tidy(rules.best_rule(tr, ["score", "score_b", "committed_issue_count"], "label_delay"))
@@ -489,7 +502,7 @@ def nested_sprints(spark, d):
     return nested.flatten_sprints(tk.nested_items(spark, d)).select("raw_sprint_id", "sprint_state", "start_date", "project")
 
 
-@query("edited_batches", with_("study") + """SELECT sprint_id, checkpoint, floor((row_number() OVER (PARTITION BY checkpoint ORDER BY """ + "(('0x'||substr(md5('2027|'||sprint_id),1,8))::UBIGINT)" + """, sprint_id)-1)/20)::BIGINT+1 AS batch, m_score<m_threshold AS shows_warn FROM study""")
+@query("edited_batches", with_("study") + """SELECT sprint_id, checkpoint, floor((row_number() OVER (PARTITION BY checkpoint ORDER BY """ + "(('0x'||substr(md5('2027|'||sprint_id),1,15))::BIGINT)" + """, sprint_id)-1)/20)::BIGINT+1 AS batch, m_score<m_threshold AS shows_warn FROM study""")
 def edited_batches(spark, d):
     """Condition with the opposite verdict shown, in random batches per checkpoint."""
     from tidemark.functions import text

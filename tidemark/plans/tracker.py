@@ -14,14 +14,14 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import days_between, plus_days
 from tidemark.operators.history import add_concurrency, add_strict_history, add_trailing_history
 from tidemark.operators.labels import add_labels, add_targets
-from tidemark.session import spread
+from tidemark.session import utc
 
 JIRA_OFFSET = 500_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; zone-less timestamps become UTC instants."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    utc(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
@@ -62,10 +62,10 @@ def closed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line as a work item of its order's project."""
-    li = spread(load(spark, sf_dir, "lineitem").select(
+    li = load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_linestatus", "l_returnflag", "l_extendedprice",
-    ))
+    )
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, "o_orderkey")
     start, line = F.col("o_orderdate"), F.col("l_linenumber")

@@ -45,10 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores when the input has fewer splits than there are cores (a few large row groups)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def utc(spark: SparkSession) -> None:
+    """Instants are compared as UTC; a session in another zone is set to it once."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def materialize(df: DataFrame) -> DataFrame:
