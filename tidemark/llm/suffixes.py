@@ -214,34 +214,81 @@ def _rows(n: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: (cols[k].cast(t) if isinstance(cols[k], pa.Array) else pa.array(cols[k], t)) if k in cols else pa.nulls(n, t) for k, t in kinds.items()})
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 1, reduce side: documents (``i``) with the grams (``g``) that others hold too, a bucket at a time."""
-    blobs: list[bytes] = []
-    at = None
+def _answers(buckets: int):
+    """Pass 1, reduce side: which documents hold which shared grams, a bucket of grams at a time.
+
+    The pairs are packed by bucket (``d``) of the document, so that what is sent does not grow with documents x buckets.
+    """
 
-    def answer() -> Iterator[pa.RecordBatch]:
+    def packed(doc: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+        d = (mix64(doc.view(_U)) % _U(buckets)).astype(np.int32)
+        order = np.lexsort((doc, d))
+        doc, low, d = doc[order], low[order], d[order]
+        cut = np.flatnonzero(_starts(d))
+        press = zstandard.ZstdCompressor(level=1)
+        for lo, hi in zip(cut, [*cut[1:], len(d)]):
+            gap = np.diff(doc[lo:hi], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
+            yield pa.RecordBatch.from_pydict({"d": d[lo:lo + 1], "pairs": [press.compress(np.ascontiguousarray(gap).tobytes() + low[lo:hi].tobytes())]})
+
+    def answer(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         h, doc, told = [np.concatenate(x) for x in zip(*map(unpack, blobs))]
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(_starts(h[order]))
         size = np.diff(np.append(first, len(h)))
         shared = np.repeat((size > 1) | np.logical_or.reduceat(told[order], first), size) & ~told[order]
-        if shared.any():
-            owner, lists = _groups(doc[order][shared], _low(h[order][shared]))
-            yield pa.RecordBatch.from_pydict({"i": owner, "g": lists})
+        yield from packed(doc[order][shared], _low(h[order][shared]))
 
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        known: list[tuple[np.ndarray, np.ndarray]] = []
+        at, total = None, 0
+        for b in batches:
+            told = b.filter(pc.is_valid(b.column("i")))
+            if told.num_rows:
+                size = pc.list_value_length(told.column("g")).to_numpy()
+                known.append((np.repeat(told.column("i").to_numpy(), size), told.column("g").flatten().to_numpy()))
+                total += size.sum()
+            if total > FLUSH:
+                yield from packed(*[np.concatenate(x) for x in zip(*known)])
+                known, total = [], 0
+            sent = b.filter(pc.is_valid(b.column("blob")))
+            for bucket, blob in zip(sent.column("b").to_pylist(), sent.column("blob").to_pylist()):
+                if bucket != at and blobs:
+                    yield from answer(blobs)
+                    blobs = []
+                at = bucket
+                blobs.append(blob)
+        if known:
+            yield from packed(*[np.concatenate(x) for x in zip(*known)])
+        if blobs:
+            yield from answer(blobs)
+
+    return answers
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (``i``) with all their shared grams (``g``), a bucket of documents at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    at = None
+
+    def lists() -> pa.RecordBatch:
+        doc, low = [np.concatenate(x) for x in zip(*held)]
+        owner, values = _groups(doc, low)
+        return pa.RecordBatch.from_pydict({"i": owner, "g": values})
+
+    grow = zstandard.ZstdDecompressor()
     for b in batches:
-        known = b.filter(pc.is_valid(b.column("i")))
-        if known.num_rows:
-            yield known.select(["i", "g"])
-        sent = b.filter(pc.is_valid(b.column("blob")))
-        for bucket, blob in zip(sent.column("b").to_pylist(), sent.column("blob").to_pylist()):
-            if bucket != at and blobs:
-                yield from answer()
-                blobs = []
-            at = bucket
-            blobs.append(blob)
-    if blobs:
-        yield from answer()
+        for d, pairs in zip(b.column("d").to_pylist(), b.column("pairs").to_pylist()):
+            if d != at and held:
+                yield lists()
+                held = []
+            at = d
+            body = np.frombuffer(grow.decompress(pairs), np.uint8)
+            n = len(body) // 12
+            gap = np.ascontiguousarray(body[:8 * n].reshape(8, n).T).view("<i8")[:, 0]
+            held.append((np.cumsum(gap), body[8 * n:].view(np.int32)))
+    if held:
+        yield lists()
 
 
 _RUN = ["whole", "u1", "u2", "h", "i", "r", "s", "n"]
@@ -378,7 +425,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = docs.select(known_id(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r"), F.col(text).alias("t")).where(F.octet_length("t") >= DEPTH)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = own.mapInArrow(_grams(buckets), "b int, i long, g array<int>, blob binary").repartition("b").sortWithinPartitions("b")
-    lists = fixed(sent.mapInArrow(_answers, "i long, g array<int>").groupBy("i").agg(F.flatten(F.collect_list("g")).alias("g")))
+    pairs = sent.mapInArrow(_answers(buckets), "d int, pairs binary").repartition("d").sortWithinPartitions("d")
+    lists = fixed(pairs.mapInArrow(_lists, "i long, g array<int>"))
     release(lists)
     runs = own.join(lists, "i").mapInArrow(_runs, "whole boolean, u1 long, u2 int, h long, i long, r long, s long, n int")
     runs = runs.repartition("u1").sortWithinPartitions("u1", "u2", "i")
