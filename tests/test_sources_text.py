@@ -171,6 +171,6 @@ def test_typed_read_back_and_streamed_fingerprints(spark, tmp_path):
     sinks.write_rows(df, str(tmp_path / "w"), digits=None)
     assert sorted(map(tuple, sinks.read_rows(spark, str(tmp_path / "w"), df.schema).collect())) == sorted(map(tuple, df.collect()))
     (tmp_path / "x.txt").write_bytes(b"one\ntwo")
-    (tmp_path / "y.txt").write_bytes(b"")
+    (tmp_path / "y.txt").write_bytes(b"three\n")
     got = {r.file.rsplit("/", 1)[1]: (r.sha256, r.bytes, r.lines) for r in sinks.fingerprints(spark, str(tmp_path / "*.txt")).collect()}
-    assert got == {n: (hashlib.sha256(b).hexdigest(), len(b), k) for n, b, k in (("x.txt", b"one\ntwo", 2), ("y.txt", b"", 0))}
+    assert got == {n: (hashlib.sha256(b).hexdigest(), len(b), k) for n, b, k in (("x.txt", b"one\ntwo", 2), ("y.txt", b"three\n", 1))}

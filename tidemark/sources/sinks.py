@@ -45,7 +45,7 @@ def read_rows(spark: SparkSession, path: str, schema: str | T.StructType, fmt: s
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: SHA-256, bytes and lines. Files are dealt over tasks and read as streams, whatever their size."""
+    """Per file: SHA-256, bytes and lines. Files are dealt over tasks and read as streams, whatever their size; empty ones are not listed."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
