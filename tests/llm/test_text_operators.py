@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import boosted, decontaminate, jaccard, lines, mixing, outliers, queries, stats, suffixes, tokens, urls, warc
 from tidemark.llm.common import new_folder
 from tidemark.llm.graph import components
@@ -96,6 +97,31 @@ def test_jaccard(spark, docs, monkeypatch, chunk, partners):
     assert stay == {None if i == last else i for i in set(want.values())}
 
 
+def test_distinct_stage_judges_rows_without_an_id_each_on_its_own(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    data = [(1, a), (2, b), (None, a), (None, edited(rng, b, 0.01)), (None, c), (None, edited(rng, c, 0.01)), (None, c), (None, d)]
+    data += [(7, prose(rng, 50)), (7, a), (7, prose(rng, 50)), (8, prose(rng, 50)), (None, None), (None, None), (None, ""), (3, " "), (3, " ")]
+    data += [(9, t) for t in [prose(rng, 40)] * 3] + [(None, t) for t in [prose(rng, 40)] * 3]
+    df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, more string").repartition(3)
+    got = corpus_pipeline.distinct_documents(spark, df, SF)
+    assert got.columns == df.columns
+    stay = Counter((r.doc_id, r.text) for r in got.collect())
+    last = 1 << 62
+    group = brute_components([(k, t) for k, (_, t) in enumerate(data)])
+    want = defaultdict(list)
+    for k, (i, t) in enumerate(data):
+        if shingles(t):
+            want[group[k]].append((last if i is None else i, t))
+    for rows in want.values():
+        least = min(i for i, _ in rows)
+        assert sum(stay[x] for x in {(None if i == last else i, t) for i, t in rows}) == 1
+        assert sum(stay[x] for x in {(None if i == last else i, t) for i, t in rows if i == least}) == 1
+    blank = Counter(x for x in data if not shingles(x[1]))
+    assert sum(stay.values()) == len(want) + sum(blank.values()) and all(stay[x] == n for x, n in blank.items())
+    assert corpus_pipeline.distinct_documents(spark, empty(spark), SF).count() == 0
+
+
 def test_jaccard_chain_of_near_copies(spark):
     """Links that only neighbours have, in blocks whose members are not all alike."""
     rng = random.Random(3)
