@@ -324,6 +324,21 @@ def test_outliers_reject_junk_and_keep_the_rest(spark):
     assert got.kept[got.quality == 0].mean() < 0.2
 
 
+def test_outliers_in_a_group_with_much_junk(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").join(labels, "doc_id").select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
+    n = stats.text_counts(rows.text)
+    rows = rows[((n.n_words >= 10) & (100 * n.n_repeat_words <= 20 * n.n_words)).to_numpy()]
+    rng = random.Random(11)
+    good, bad = [rows.text[rows.quality == q].tolist() for q in (1, 0)]
+    texts = rng.sample(good, 1200) + rng.choices(bad, k=800)
+    df = spark.createDataFrame([(k, t, "en", "hot") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = outliers.outlier_report(df).toPandas()
+    assert not got.base_failed.any()
+    assert got.kept[got.doc_id < 1200].mean() > 0.995 and got.kept[got.doc_id >= 1200].mean() < 0.1
+
+
 def test_scatter_matches_numpy(spark):
     """The concentration steps on one group, step by step with numpy."""
     rng = np.random.default_rng(4)

@@ -2,8 +2,9 @@
 
 Each document becomes a vector of transformed statistics (word length, symbols, capitals, repeated lines, repeated
 words; shares are drawn towards zero in short texts). Per language and source, location and scatter are those of the
-subset of ``COVERED`` of the rows with the smallest covariance determinant, found by concentration steps from a median
-and quartile start. A document is rejected where its squared Mahalanobis distance passes ``CUTOFF``.
+half (``HALF``) of the rows with the smallest covariance determinant, found by concentration steps from a median and
+quartile start until the subset is stable. A group may thus be junk by nearly half before its junk shapes the scatter. A
+document is rejected where its squared Mahalanobis distance passes ``CUTOFF``.
 
 All steps are aggregates with map-side combining over a narrow table of statistics: quantiles come from counts per
 fixed-width bin, moments from sums of integers (statistics are multiples of 1/SCALE), so that results do not depend on
@@ -20,6 +21,7 @@ their own. Each row is judged on its own, so repeated rows and ids are fine. An
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,8 @@ from tidemark.llm.stats import COUNTS, text_counts
 
 DIMS = 5
 SCALE = 256
-COVERED = 0.75
+HALF = 0.5  # share of the rows that the report's scatter covers
+COVERED = 0.75  # of a scatter with a fixed number of steps
 STEPS = 4
 LEAST = 50
 CUTOFF = 60.0
@@ -63,7 +66,7 @@ def _quantiles(counts: DataFrame, keys: list[str], value: str, shares: list[floa
 
 
 def _inverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (g, n, sums, products) of a group to its location and inverse scatter."""
+    """From (g, n, sums, products, h) of a group to its location and inverse scatter; h, a hash of the rest, passes."""
     i, j = np.triu_indices(DIMS)
     for b in batches:
         if not len(b):
@@ -74,7 +77,7 @@ def _inverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cov = np.zeros((len(b), DIMS, DIMS))
         cov[:, i, j] = cov[:, j, i] = prod - mean[:, i] * mean[:, j]
         cov += np.diag(np.square(FLOOR))
-        yield pd.DataFrame({"g": b["g"], "mean": list(mean), "inv": list(np.linalg.inv(cov).reshape(len(b), -1))})
+        yield pd.DataFrame({"g": b["g"], "mean": list(mean), "inv": list(np.linalg.inv(cov).reshape(len(b), -1)), "h": b["h"]})
 
 
 def _distance(mean: str = "mean", inv: str = "inv") -> Column:
@@ -97,8 +100,11 @@ def grouped(stats: DataFrame, lang: str = "lang", source: str = "source", least:
     return stats.withColumn("__own", own).join(names, "__own").drop("__own")
 
 
-def scatter(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Per group ``g``: ``mean``, ``inv`` (inverse scatter, row by row) and ``unit``, which scales distances so that their median is that of a normal sample."""
+def scatter(rows: DataFrame, steps: int | None = STEPS, covered: float = COVERED) -> DataFrame:
+    """Per group ``g``: ``mean``, ``inv`` (inverse scatter, row by row) and ``unit``, which scales distances so that their median is that of a normal sample.
+
+    Without ``steps`` a group takes steps until its subset's moments are some that it had before; later steps leave it out.
+    """
     xs = [f"x{k}" for k in range(DIMS)]
     each = rows.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(x).alias("v")) for k, x in enumerate(xs)])).alias("e"))
     counts = each.groupBy("g", "e.k", "e.v").agg(F.count(F.lit(1)).alias("n"))
@@ -107,21 +113,34 @@ def scatter(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     sd = F.sqrt(F.pow((F.col("q2") - F.col("q0")) / SCALE / 1.349, 2) + F.pow(floor[F.col("k")], 2))
     start = q.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("q1") / SCALE).alias("m"), (1 / (sd * sd)).alias("w")))).alias("a"))
     spots = F.array(*[F.when(F.lit(a == b), F.col("a")[a]["w"]).otherwise(0.0) for a in range(DIMS) for b in range(DIMS)])
-    params = fixed(start.select("g", F.transform("a", lambda x: x["m"]).alias("mean"), spots.alias("inv")))
+    moving = fixed(start.select("g", F.transform("a", lambda x: x["m"]).alias("mean"), spots.alias("inv"), F.array().cast("array<long>").alias("seen")))
     i, j = np.triu_indices(DIMS)
     share = F.floor(F.log2("d2") * _BIN).cast("int")
-    for step in range(steps + 1):
+
+    def measured(params: DataFrame, quantile: float) -> tuple[DataFrame, DataFrame]:
         far = rows.join(params, "g").withColumn("d2", _distance()).withColumn("b", share)
-        cut = _quantiles(far.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")), ["g"], "b", [COVERED, 0.5]).withColumnsRenamed({"q0": "cut", "q1": "mid"})
-        if step == steps:
-            normal = DIMS * (1 - 2 / (9 * DIMS)) ** 3  # median of chi-square
-            unit = F.least(F.lit(1.0), normal / F.pow(F.lit(2.0), (F.col("mid") + 1) / _BIN))
-            return fixed(params.join(cut.select("g", unit.alias("unit")), "g"))
-        core = far.join(cut.select("g", "cut"), "g").where(F.col("b") <= F.col("cut"))
+        return far, _quantiles(far.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")), ["g"], "b", [quantile])
+
+    done, step = [], 0
+    while step != steps:
+        far, cut = measured(moving, covered)
+        core = far.join(cut, "g").where(F.col("b") <= F.col("q0"))
         sums = core.groupBy("g").agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x) for x in xs]).alias("sums"),
-            F.array(*[F.sum(F.col(xs[a]) * F.col(xs[b])) for a, b in zip(i, j)]).alias("prods"))
-        params = fixed(sums.mapInPandas(_inverse, "g string, mean array<double>, inv array<double>"))
+            F.array(*[F.sum(F.col(xs[a]) * F.col(xs[b])) for a, b in zip(i, j)]).alias("prods")).withColumn("h", F.xxhash64("n", "sums", "prods"))
+        new = sums.mapInPandas(_inverse, "g string, mean array<double>, inv array<double>, h long").join(moving.select("g", "seen"), "g")
+        moving = fixed(new.select("g", "mean", "inv", F.array_append("seen", F.col("h")).alias("seen"), F.array_contains("seen", F.col("h")).alias("met")))
+        step += 1
+        if steps is None:
+            done.append(moving.where("met"))
+            moving = moving.where("not met")
+            if moving.isEmpty():
+                break
+    params = fixed(reduce(DataFrame.unionAll, [x.select("g", "mean", "inv") for x in [*done, moving]]))
+    _, mid = measured(params, 0.5)
+    normal = DIMS * (1 - 2 / (9 * DIMS)) ** 3  # median of chi-square
+    unit = F.least(F.lit(1.0), normal / F.pow(F.lit(2.0), (F.col("q0") + 1) / _BIN))
+    return fixed(params.join(mid.select("g", unit.alias("unit")), "g"))
 
 
 def outlier_report(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
@@ -133,7 +152,7 @@ def outlier_report(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST)
     failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEATED * n)
     own = own.withColumns({"base_failed": failed, **{f"x{k}": x for k, x in enumerate(vector())}})
     rows = fixed(grouped(fixed(own), least=least))
-    fit = scatter(rows.where(~F.col("base_failed")).select("g", *[f"x{k}" for k in range(DIMS)]))
+    fit = scatter(rows.where(~F.col("base_failed")).select("g", *[f"x{k}" for k in range(DIMS)]), None, HALF)
     enough = rows.groupBy("g").agg((F.count(F.lit(1)) >= least).alias("judged"))
     out = rows.join(fit, "g", "left").join(enough, "g")
     d2 = F.when(F.col("judged"), _distance() * F.col("unit"))
