@@ -396,6 +396,20 @@ def test_leaks_of_paraphrases_and_awkward_rows(spark, docs):
     assert decontaminate.leak_report(empty(spark), bench).count() == 0
 
 
+def test_leaks_of_items_of_any_length(spark):
+    """Copies among words of the benchmark, which weigh in their passages, and a long one with every eighth word changed."""
+    rng = random.Random(21)
+    items = [(k, prose(rng, n)) for k, n in enumerate([5, 5, 64, 65, 150, 800, 1000, 1000])]
+    pool = prose(rng, 1500).split(" ")
+    items.append((99, " ".join(pool)))
+    other = lambda n: " ".join(rng.sample(pool, n))
+    rows = [(k, other(120) + " " + t + " " + other(120)) for k, t in items[:-1]]
+    w = items[6][1].split(" ")
+    rows += [(20, other(90) + " " + " ".join("new" + x if j % 8 == 3 else x for j, x in enumerate(w))), (30, other(500)), (31, " ".join(w[:300]))]
+    got = decontaminate.leak_report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k, _ in items[:-1]} | {(20, 6)} and len(got) == 9
+
+
 def test_many_items_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 5)
     rng = random.Random(1)

@@ -7,15 +7,20 @@ joins the span of the items with the leading directions of what is left of the c
 whole, so that the cosine of a passage with an item is never under-estimated by leaving directions out. Texts are
 split once, into a table of the numbers of their benchmark words, which all passes read.
 
+An item longer than a passage is searched by its pieces of PASSAGE words, the last one shifted back to be whole; a hit on any
+piece makes the item a candidate. A passage hits a piece by its cosine, or by COVER: the share of the piece's squared weights
+that the passage has too, whatever else is in it, since the cosine of a copy of a few words falls with the rest of the passage.
+
 Passages need not meet all items. The most frequent words are set aside as long as they alone cannot bring any item to
 the threshold; a pair over it then shares another word, which an index of the items lists. Pairs from the index
 whose shared words and an upper bound for the rest stay under the threshold are skipped, the others are projected.
 
-A candidate is checked on the words around the passage: the longest common subsequence with the item, as a share of
+A candidate is checked on the words around the passage: the longest common subsequence with the whole item, as a share of
 the item's words (pieces between white space, in lower case, without signs at their ends). From SAME on it is a leak; from PARAPHRASE on it is one if the answer (the item's last sentence) is
 there too, by ANSWER of its words in order.
 
-Benchmarks of more than BLOCK items are worked off in blocks of that size, so that what is sent to the tasks is bounded.
+Benchmarks of more than BLOCK pieces are worked off in blocks of about that size, so that what is sent to the tasks is bounded
+by BLOCK and the longest item.
 
 Defined cases: null or empty texts leak nothing; items without words are ignored; rows that repeat are judged alike, each
 on its own; an empty benchmark finds nothing. Items that repeat each report. Other columns pass through.
@@ -39,9 +44,10 @@ from tidemark.llm.shingles import plain
 
 PASSAGE = 64
 HALF = PASSAGE // 2
-BLOCK = 256  # items in one latent space
+BLOCK = 256  # pieces of items in one latent space
 EXTRA = 48  # directions of the corpus beside those of the items
 COSINE = 0.35
+COVER = 0.35
 SAME = 0.8
 PARAPHRASE = 0.5
 ANSWER = 0.6
@@ -67,6 +73,11 @@ def word(piece: str) -> str:
     return piece.strip(SIGNS).lower() if piece.isascii() else EDGE.sub("", piece).lower()
 
 
+def piece_starts(n: int) -> list[int]:
+    """First words of the pieces of an item of n words."""
+    return [*range(0, n - PASSAGE, PASSAGE), max(n - PASSAGE, 0)]
+
+
 @dataclass
 class Items:
     """A block of benchmark items over their own vocabulary."""
@@ -90,6 +101,11 @@ class Items:
         keep = [k for k in range(len(rows)) if lists[k]]
         return Items([rows[k][0] for k in keep], terms, [lists[k] for k in keep], [lists[len(rows) + k] for k in keep])
 
+    @property
+    def pieces(self) -> list[tuple[int, list[int]]]:
+        """(number of the item, words) of what is searched: whole items, or each PASSAGE words of longer ones."""
+        return [(k, w[x:x + PASSAGE]) for k, w in enumerate(self.words) for x in piece_starts(len(w))]
+
     @property
     def kind(self) -> np.dtype:
         return np.dtype("<i2" if len(self.terms) < 1 << 15 else "<i4")
@@ -212,13 +228,15 @@ def corpus_sketch(coded: DataFrame, items: Items, idf: np.ndarray, columns: int
     return out
 
 
-def item_vectors(items: Items, idf: np.ndarray) -> np.ndarray:
-    """Unit vectors, a row per item."""
-    out = np.zeros((len(items.ids), len(idf)))
-    for k, w in enumerate(items.words):
+def item_vectors(items: Items, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, a row per piece of the items, and their lengths before."""
+    pieces = items.pieces
+    out = np.zeros((len(pieces), len(idf)))
+    for k, (_, w) in enumerate(pieces):
         term, count = np.unique(w, return_counts=True)
         out[k, term] = weights(count, term, idf)
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+    length = np.linalg.norm(out, axis=1)
+    return out / length[:, None], length
 
 
 def latent_basis(items: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -250,21 +268,22 @@ class Search:
 
     def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray):
         self.items, self.idf, self.basis = items, idf, basis.astype(np.float32)
-        vectors = item_vectors(items, idf)
+        vectors, self.length = item_vectors(items, idf)
+        self.owner = np.array([k for k, _ in items.pieces])
         self.latent = (vectors @ basis).astype(np.float32)
         # Frequent words first; those are common that together stay under the threshold with every item.
         order = np.argsort(idf, kind="stable")
         reach = np.sqrt(np.cumsum(vectors[:, order] ** 2, axis=1).max(0))
         self.common = np.zeros(len(idf), bool)
         self.common[order[: np.searchsorted(reach, 0.95 * COSINE)]] = True
-        self.rest = np.sqrt((vectors[:, self.common] ** 2).sum(1))  # of each item, in common words
+        self.rest = np.sqrt((vectors[:, self.common] ** 2).sum(1))  # of each piece, in common words
         indexed = np.where(self.common, 0, vectors)
         term, item = np.nonzero(indexed.T)
-        self.entry = np.searchsorted(term, np.arange(len(idf) + 1))  # items of term t: entry[t] to entry[t + 1]
+        self.entry = np.searchsorted(term, np.arange(len(idf) + 1))  # pieces of term t: entry[t] to entry[t + 1]
         self.item, self.weight = item, indexed[item, term]
 
     def candidates(self, term: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(document, first word, item, cosine) of the passages near an item in the latent space."""
+        """(document, first word, item, best cosine) of the passages near a piece of an item in the latent space, or that cover one."""
         row, t, count, owner, first = passages(term, n, len(self.idf), overlap=True)
         val = weights(count, t, self.idf)
         norm = np.sqrt(np.bincount(row, val * val, len(owner)))
@@ -276,8 +295,10 @@ class Search:
         pair, back = np.unique(np.repeat(row[k], size) * len(self.rest) + self.item[at], return_inverse=True)
         shared = np.bincount(back, np.repeat(val[k], size) * self.weight[at], len(pair))
         p, item = pair // len(self.rest), pair % len(self.rest)
-        near = shared + common[p] * self.rest[item] >= COSINE * norm[p]
-        p, item = p[near], item[near]
+        both = np.minimum(np.repeat(val[k], size) / self.length[self.item[at]], self.weight[at])
+        covers = np.bincount(back, both * self.weight[at], len(pair)) + self.rest[item] ** 2 >= COVER
+        near = covers | (shared + common[p] * self.rest[item] >= COSINE * norm[p])
+        p, item, covers = p[near], item[near], covers[near]
         if not len(p):
             return
         keep = np.zeros(len(owner), bool)
@@ -285,9 +306,12 @@ class Search:
         keep = keep[row]
         which, z = _times(row[keep], t[keep], val[keep].astype(np.float32), self.basis)
         cosine = np.einsum("ij,ij->i", z[np.searchsorted(which, p)], self.latent[item]) / norm[p]
-        for x, k, c in zip(p.tolist(), item.tolist(), cosine.tolist()):
-            if c >= COSINE:
-                yield int(owner[x]), int(first[x]), k, c
+        hit = covers | (cosine >= COSINE)
+        pair, back = np.unique(p[hit] * len(self.items.ids) + self.owner[item[hit]], return_inverse=True)
+        best = np.full(len(pair), -np.inf)
+        np.maximum.at(best, back, cosine[hit])
+        for x, k, c in zip((pair // len(self.items.ids)).tolist(), (pair % len(self.items.ids)).tolist(), best.tolist()):
+            yield int(owner[x]), int(first[x]), k, c
 
     def leaks(self, term: np.ndarray, n: np.ndarray) -> list[tuple[int, dict]]:
         """(document, leak) for the best place of each item that a document leaks."""
@@ -309,7 +333,21 @@ class Search:
 def fit(coded: DataFrame, items: Items) -> Search:
     df, total = term_frequencies(coded, items)
     idf = np.log((1 + total) / (1 + df)) + 0.1
-    return Search(items, idf, latent_basis(item_vectors(items, idf), corpus_sketch(coded, items, idf)))
+    return Search(items, idf, latent_basis(item_vectors(items, idf)[0], corpus_sketch(coded, items, idf)))
+
+
+def blocks(rows: Sequence[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most BLOCK pieces; an item of more is a block of its own."""
+    block, size = [], 0
+    for row in rows:
+        n = len(piece_starts(len(row[1].split())))
+        if block and size + n > BLOCK:
+            yield block
+            block, size = [], 0
+        block.append(row)
+        size += n
+    if block:
+        yield block
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,8 +356,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     ship(spark)
     rows = [(r.item_id, r.text) for r in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator()]
     out = spark.createDataFrame([], LEAK)
-    for lo in range(0, len(rows), BLOCK):
-        items = Items.of(rows[lo:lo + BLOCK])
+    for block in blocks(rows):
+        items = Items.of(block)
         if not items.ids:
             continue
         coded = fixed(coded_words(docs, items, doc_id, text))
