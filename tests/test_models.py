@@ -8,6 +8,7 @@ from tidemark.models.advisor import QuantileForest, bounded_quantiles, what_if
 from tidemark.models.learners import Learner, fit_classifier, fit_and_score, out_of_fold
 from tidemark.operators import history, splits
 from tidemark.plans import jobs
+from tidemark.plans import model_queries as mq
 from tidemark.plans import tracker as tk
 from tidemark.session import materialize
 
@@ -100,3 +101,27 @@ def test_imputed_medians_are_exact(spark):
 
     df = spark.createDataFrame([(float(k), None if k % 3 else float(k), float("nan")) for k in range(1, 1001)], "a double, b double, c double")
     assert exact_medians(df, ["a", "b", "c"]) == {"a": 500.5, "b": 501.0, "c": 0.0}
+
+
+def test_registered_queries_do_the_whole_job(monkeypatch):
+    """The settings that reach the operators: none but the defaults."""
+    calls = {}
+
+    def caught(name):
+        def call(*args, **named):
+            calls[name] = (args, named)
+            raise InterruptedError
+        return call
+
+    monkeypatch.setattr(mq, "frame", lambda spark, d: None)
+    monkeypatch.setattr(jobs, "sides", lambda f: (None, None))
+    for where, name in ((mq, "fit_and_score"), (mq, "cross_validated_calls"), (jobs, "seed_variance"), (jobs, "gap_to_best_rule")):
+        monkeypatch.setattr(where, name, caught(name))
+    for q in (mq.fit_forest, mq.fit_gbt, mq.cross_validated, mq.seed_variance, mq.gap_to_best_rule):
+        with pytest.raises(InterruptedError):
+            q(None, None)
+        (args, named), = calls.values()
+        calls.clear()
+        assert all(x.settings == {} for x in args if isinstance(x, Learner)) and not named
+        if q is mq.seed_variance:
+            assert len(args[-1]) == 10

@@ -13,9 +13,6 @@ from tidemark.plans.registry import query, tidy
 from tidemark.plans.state_queries import tables
 from tidemark.session import materialize
 
-# smaller settings than the compared learners, so that a registered query takes seconds
-TREES = {"numTrees": 20}
-ROUNDS = {"maxIter": 10}
 NUMERIC = history.PLANNING_FEATURES + ["hist_late_rate_3", "hist_n_available", "scope_to_capacity"]
 
 
@@ -36,21 +33,21 @@ def fit_logreg(spark, d):
 @query("fit_forest")
 def fit_forest(spark, d):
     tr, te = jobs.sides(frame(spark, d))
-    return auc_of(fit_and_score(Learner("forest", NUMERIC, settings=TREES), tr, te, "label_delay"), "forest")
+    return auc_of(fit_and_score(Learner("forest", NUMERIC), tr, te, "label_delay"), "forest")
 
 
 @query("fit_gbt")
 def fit_gbt(spark, d):
     tr, te = jobs.sides(frame(spark, d))
-    return auc_of(fit_and_score(Learner("boosted", NUMERIC, settings=ROUNDS), tr, te, "label_delay"), "boosted")
+    return auc_of(fit_and_score(Learner("boosted", NUMERIC), tr, te, "label_delay"), "boosted")
 
 
 @query("fit_regressors")
 def fit_regressors(spark, d):
     tr, te = jobs.sides(frame(spark, d))
     rows = []
-    for kind, s in (("ridge", {}), ("forest", TREES), ("boosted", ROUNDS), ("boosted_median", ROUNDS)):
-        m = fit_regressor(Learner(kind, NUMERIC, settings=s), tr, "late_days_capped")
+    for kind in ("ridge", "forest", "boosted", "boosted_median"):
+        m = fit_regressor(Learner(kind, NUMERIC), tr, "late_days_capped")
         out = score(m, te, NUMERIC, "forecast", is_probability=False)
         rows.append(metrics.regression_metrics(out, [], "late_days_capped", "forecast").withColumn("model", F.lit(kind)))
     return jobs.union(rows)
@@ -60,7 +57,7 @@ def fit_regressors(spark, d):
 def quantile_forest(spark, d):
     tr, te = jobs.sides(frame(spark, d))
     ne = F.col("committed_issue_count") > 0
-    q = QuantileForest(NUMERIC, settings=TREES).fit(tr.where(ne), "completed_issue_count").forecast(te.where(ne), (0.1, 0.5, 0.9))
+    q = QuantileForest(NUMERIC).fit(tr.where(ne), "completed_issue_count").forecast(te.where(ne), (0.1, 0.5, 0.9))
     b = bounded_quantiles(F.col("quantiles"), F.col("committed_issue_count"))
     q = q.withColumns({"q10": b[0], "q50": b[1], "q90": b[2]})
     return tidy(metrics.interval_quality(q, "completed_issue_count", "q10", "q50", "q90", "committed_issue_count", ["project"]))
@@ -70,8 +67,8 @@ def quantile_forest(spark, d):
 def what_if_grid(spark, d):
     tr, te = jobs.sides(frame(spark, d))
     ne = F.col("committed_issue_count") > 0
-    done = QuantileForest(NUMERIC, settings=TREES).fit(tr.where(ne), "completed_issue_count")
-    late = QuantileForest(NUMERIC, settings=TREES).fit(tr, "late_days_capped")
+    done = QuantileForest(NUMERIC).fit(tr.where(ne), "completed_issue_count")
+    late = QuantileForest(NUMERIC).fit(tr, "late_days_capped")
     return what_if(te, [2, 4, 8, 16], done, late)
 
 
@@ -108,7 +105,7 @@ def threshold_calls(spark, d):
 
 @query("cross_validated_calls")
 def cross_validated(spark, d):
-    out = cross_validated_calls(Learner("logistic", NUMERIC), frame(spark, d), "label_delay", k=3)
+    out = cross_validated_calls(Learner("logistic", NUMERIC), frame(spark, d), "label_delay")
     return metrics.confusion_metrics(out, [], "label_delay", "pred")
 
 
@@ -144,13 +141,13 @@ def time_valid_refit(spark, d):
 
 @query("seed_variance")
 def seed_variance(spark, d):
-    return jobs.seed_variance(*jobs.sides(frame(spark, d)), "label_delay", Learner("forest", NUMERIC, settings={"numTrees": 10}), [1, 2, 3])
+    return jobs.seed_variance(*jobs.sides(frame(spark, d)), "label_delay", Learner("forest", NUMERIC), range(10))
 
 
 @query("bounded_share")
 def bounded(spark, d):
     tr, te = jobs.sides(frame(spark, d))
-    out = bounded_share(tr, te.where("nonempty"), NUMERIC, settings=ROUNDS, broken=["P3"])
+    out = bounded_share(tr, te.where("nonempty"), NUMERIC, broken=["P3"])
     return tidy(metrics.regression_metrics(out, ["project"], "carry_ratio", "share"))
 
 
@@ -162,22 +159,22 @@ def model_vs_rules(spark, d):
 
 @query("gap_to_best_rule")
 def gap_to_best_rule(spark, d):
-    return jobs.gap_to_best_rule(frame(spark, d), "label_delay", Learner("logistic", NUMERIC), reps=50)
+    return jobs.gap_to_best_rule(frame(spark, d), "label_delay", Learner("logistic", NUMERIC))
 
 
 @query("repeated_schemes")
 def repeated_schemes(spark, d):
     f = materialize(history.add_strict_history(tk.labelled(spark, d)))
-    return jobs.repeated(f, "label_delay", {"logistic": Learner("logistic", history.PLANNING_FEATURES, None)}, repeats=2)
+    return jobs.repeated(f, "label_delay", {"logistic": Learner("logistic", history.PLANNING_FEATURES, None)})
 
 
 @query("in_sprint_evaluation")
 def in_sprint_evaluation(spark, d):
-    """Open boxes at half time: planning features, progress features and rules."""
-    state = cp.progress_features(cp.checkpoint_state(*tables(spark, d), [0.5]))
+    """Open boxes at each checkpoint: planning features, progress features and rules."""
+    state = cp.progress_features(cp.checkpoint_state(*tables(spark, d)))
     keep = ["sprint_id", "checkpoint", "open_at_checkpoint", *history.PROGRESS_FEATURES]
     f = materialize(state.select(*keep).join(frame(spark, d), "sprint_id"))
-    return jobs.in_sprint(f, "label_delay", NUMERIC, history.PROGRESS_FEATURES, "logistic", [0.5])
+    return jobs.in_sprint(f, "label_delay", NUMERIC, history.PROGRESS_FEATURES, "logistic", cp.CHECKPOINTS)
 
 
 @query("two_part_models")
@@ -204,4 +201,4 @@ def timing_study(spark, d):
     for name in ("legacy", "strict_timed"):
         s = group_out_scores(Learner("logistic", history.FEATURE_SETS[name], None), f, "label_delay", groups).select("sprint_id", "project", "label_delay", F.col("score").alias(name))
         out = s if out is None else out.join(s.select("sprint_id", name), "sprint_id")
-    return tidy(resample.cluster_paired(out, "project", "legacy", "strict_timed", "label_delay", 500))
+    return tidy(resample.cluster_paired(out, "project", "legacy", "strict_timed", "label_delay"))
