@@ -10,6 +10,7 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ LAST_ID = (1 << 63) - 1  # stands for a null id: after every other
 
 _shipped: set[str] = set()
 
-__all__ = ["SPACE", "UPPER", "LOWER", "LAST_ID", "known_id", "ascii_lower", "same", "ship", "new_folder", "filesystem", "fixed", "forget", "hash_sample", "release", "materialize", "shared_dir", "table"]
+__all__ = ["SPACE", "UPPER", "LOWER", "LAST_ID", "known_id", "ascii_lower", "same", "ship", "new_folder", "filesystem", "fixed", "by_bytes", "forget", "hash_sample", "release", "materialize", "shared_dir", "table"]
 
 
 def known_id(col: str) -> Column:
@@ -91,6 +92,22 @@ def filesystem(uri: str):
 fixed = materialize
 
 
+def by_bytes(batches: Iterator, *cols: str, most: int = 4 << 20) -> Iterator:
+    """Arrow batches cut so that the named columns take some ``most`` bytes together, whatever the number of rows; a longer row comes alone."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = np.zeros(b.num_rows, np.int64)
+        for c in cols:
+            size += pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(size + 16) // most
+        cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], b.num_rows]):
+            yield b.slice(lo, hi - lo)
+
+
 def release(df: DataFrame) -> None:
     """Let Spark delete the shuffle files of finished plans now, so that steps that follow one another do not add up on disk.
 

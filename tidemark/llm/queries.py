@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import boosted, decontaminate, jaccard, lines, mixing, outliers, suffixes, tokens, urls, warc
+from tidemark.llm import boosted, decontaminate, jaccard, lines, middle, mixing, outliers, packing, pivots, suffixes, tokens, urls, warc
 from tidemark.llm.common import table
 from tidemark.plans.registry import Query
 
@@ -121,3 +121,43 @@ def op9_jaccard(spark, sf_dir):
 def op10_url_rules(spark, sf_dir):
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), urls.label_blocks(table(spark, sf_dir, "labels"))
     return urls.judge(pages, labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_best_fit")
+def op11_best_fit(spark, sf_dir):
+    return packing.packing_report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def _vector_code_sql() -> str:
+    """Six rounds written out, eight parts of sixteen entries; distances by integers."""
+    d = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1]-z[2])*(z[1]-z[2])))"
+    steps = []
+    for k in range(7):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, label, part, min(d * 16 + e) % 16 AS e, min(d) AS d FROM (SELECT p.r, vec_id, label, p.part, c.e, {d} AS d FROM p JOIN c{k} c USING (part)) GROUP BY r, vec_id, label, part)""")
+        if k < 6:
+            steps.append(f"""m{k} AS (
+  SELECT part, e, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS v FROM (
+    SELECT part, e, j, sum(v)::HUGEINT AS s, count(*) AS n FROM (SELECT a.part, a.e, unnest(p.x) AS v, unnest(range(len(p.x))) AS j FROM a{k} a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part) GROUP BY part, e, j)),
+c{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.e, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT part, e, list(v ORDER BY j) AS x FROM m{k} GROUP BY part, e) n ON n.part = c.part AND n.e = c.e)""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, vec_id, label, part, q[part*len(q)//8 + 1:(part+1)*len(q)//8] AS x FROM k, (SELECT unnest(range(8)) AS part)),
+c0 AS MATERIALIZED (SELECT part, r AS e, x FROM p WHERE r < 16),
+{", ".join(steps)},
+s AS (SELECT vec_id, any_value(label) AS label, string_agg('0' || substr('0123456789abcdef', CAST(e + 1 AS BIGINT), 1), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, e, j)) AS h FROM (SELECT part, e, unnest(x) AS v, unnest(range(len(x))) AS j FROM c6))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM s, h"""
+
+
+@query("op12_laesa_codes", _vector_code_sql())
+def op12_laesa_codes(spark, sf_dir):
+    return pivots.code_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_middle")
+def op13_middle(spark, sf_dir):
+    return middle.middle_report(table(spark, sf_dir, "documents"))
