@@ -78,7 +78,7 @@ class _Parts:
                 self._set(self.words.take(pa.array(keep)), self.hashes[keep], np.concatenate([[0], np.cumsum(n)]), self.ids[at])
 
     def find(self, parts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
-        """(start, length) in ``ids`` of each of distinct parts; ``encode`` gives the ids of one that is new, as an array."""
+        """(start, length) in ``ids`` of each of distinct parts; ``encode(numbers)`` yields the ids of those parts, which are new."""
         self._trim()
         h = pd.util.hash_array(parts.to_numpy(zero_copy_only=False), categorize=False) if len(parts) else np.zeros(0, np.uint64)
         at = np.zeros(len(h), np.int64)
@@ -90,11 +90,11 @@ class _Parts:
         new = np.flatnonzero(~known)
         if len(new):
             fresh = parts.take(pa.array(new))
-            ids, n = array(self.kind.char), np.empty(len(new), np.int64)
-            for k, w in enumerate(fresh.to_pylist()):
-                before = len(ids)
-                ids.extend(encode(w))
-                n[k] = len(ids) - before
+            ids, ends = array(self.kind.char), []
+            for own in encode(new, fresh):
+                ids.extend(own)
+                ends.append(len(ids))
+            n = np.diff(np.array(ends), prepend=0)
             at[new] = len(self.hashes) + np.arange(len(new))
             self._set(pa.concat_arrays([self.words, fresh]), np.concatenate([self.hashes, h[new]]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)]),
                       np.concatenate([self.ids, np.frombuffer(ids, self.kind)]), np.concatenate([self.met, np.ones(len(new), bool)]))
@@ -107,6 +107,9 @@ def _gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ids[np.repeat(start - (end - n), n) + np.arange(n.sum())]
 
 
+_read: dict = {}  # the tokenizer that a worker read last
+
+
 class Coder:
     """Token ids of many texts; see the module."""
 
@@ -114,9 +117,12 @@ class Coder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        with open(path) as f:
-            self.family = family({k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer")})
+        if path not in _read:
+            _read.clear()
+            _read[path] = Tokenizer.from_file(path)
+        self.tok = _read[path]
+        part = lambda x: json.loads(x.__getstate__()) if x is not None else None
+        self.family = family({"normalizer": part(self.tok.normalizer), "pre_tokenizer": part(self.tok.pre_tokenizer)})
         self.size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 65536 else "<u4")
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -127,25 +133,36 @@ class Coder:
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> list[int]:
-        own = word.lower() if self.family == "dropped" else word
-        return [t.id for t in self.tok.model.tokenize(own.encode().decode("latin-1").translate(self.letters))]
+    def _new(self, parts: pa.Array, letters: np.ndarray):
+        """Ids of each part; parts of letters alone go to the model at once, in the byte-level alphabet."""
+        names = parts
+        if self.family == "dropped":
+            names = pc.if_else(pa.array(letters), pc.utf8_lower(parts), parts)
+        names = pc.if_else(pa.array(letters), pc.replace_substring(names, " ", "\u0120"), names)
+        high = np.flatnonzero(letters & ~pc.string_is_ascii(parts).to_numpy(zero_copy_only=False))
+        names = names.to_pylist()
+        for k in high.tolist():
+            names[k] = names[k].replace("\u0120", " ").encode().decode("latin-1").translate(self.letters)
+        tokenize = self.tok.model.tokenize
+        for name, plain in zip(names, letters.tolist()):
+            yield [t.id for t in tokenize(name)] if plain else self._whole(name)
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, length) of distinct pieces."""
         stem = pc.ascii_rtrim(pieces, _SIGNS)
         simple = pc.match_substring_regex(stem, _LETTERS)
         stem = pc.if_else(simple, stem, pieces)
-        cut = pc.binary_length(stem).to_numpy(zero_copy_only=False)
-        signed = np.flatnonzero(pc.binary_length(pieces).to_numpy(zero_copy_only=False) > cut)
-        signs = [p[len(x):] for p, x in zip(pieces.take(pa.array(signed)).to_pylist(), stem.take(pa.array(signed)).to_pylist())]
-        coded = pa.concat_arrays([stem, pa.array(signs, pa.large_string())]).dictionary_encode()
+        cut, full = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (stem, pieces))
+        signed = np.flatnonzero(full > cut)
+        offsets, data = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:][:len(pieces)], np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+        n = (full - cut)[signed]
+        tail = _gather(data, (offsets + cut)[signed], n)
+        signs = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), pa.py_buffer(tail.tobytes()))
+        coded = pa.concat_arrays([stem, signs]).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
         letters = np.zeros(len(coded.dictionary), bool)
         letters[code[:len(stem)][simple.to_numpy(zero_copy_only=False)]] = True
-        words = coded.dictionary
-        easy = set(words.filter(pa.array(letters)).to_pylist())
-        start, n = self.parts.find(words, lambda w: self._word(w) if w in easy else self._whole(w))
+        start, n = self.parts.find(coded.dictionary, lambda new, fresh: self._new(fresh, letters[new]))
         first, second = code[:len(stem)], code[len(stem):]
         # A piece's runs: its stem, then its signs if it has some.
         slot = np.arange(len(stem)) + np.searchsorted(signed, np.arange(len(stem)))

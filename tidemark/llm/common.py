@@ -23,16 +23,52 @@ SPACE = " \t\n\x0b\x0c\r"  # what separates words and is stripped from lines
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = (1 << 63) - 1  # stands for a null id: after every other
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _shipped: set[str] = set()
 
-__all__ = ["SPACE", "UPPER", "LOWER", "LAST_ID", "known_id", "ascii_lower", "same", "ship", "new_folder", "filesystem", "fixed", "by_bytes", "forget", "hash_sample", "release", "materialize", "shared_dir", "table"]
+__all__ = ["SPACE", "UPPER", "LOWER", "LAST_ID", "known_id", "Ids", "free_names", "ascii_lower", "same", "ship", "new_folder", "filesystem", "fixed", "by_bytes", "forget", "hash_sample", "release", "materialize", "shared_dir", "table"]
 
 
 def known_id(col: str) -> Column:
-    """The id as a long; null becomes the largest, so that rows without one come last."""
+    """The id as a long; null becomes the largest, so that rows without one come last. See ``Ids`` for tables that hold that id."""
     return F.coalesce(F.col(col).cast("long"), F.lit(LAST_ID))
 
 
+class Ids:
+    """Ids as longs in which null is the largest and no other row's: a table that holds LAST_ID has all its ids moved down by one.
+
+    A table that holds both ends of the 64 bits cannot be moved, and raises.
+    """
+
+    def __init__(self, df: DataFrame, col: str):
+        ends = df.agg(F.min(F.col(col).cast("long")).alias("lo"), F.max(F.col(col).cast("long")).alias("hi")).first()
+        self.shift = int(ends.hi == LAST_ID)
+        if self.shift and ends.lo == -LAST_ID - 1:
+            raise ValueError(f"{col} holds both the smallest and the largest 64-bit number")
+
+    def inner(self, col: str) -> Column:
+        """The id as used inside, never null."""
+        return F.coalesce(F.col(col).cast("long") - self.shift, F.lit(LAST_ID))
+
+    def outer(self, col: str) -> Column:
+        """The id of the table again."""
+        return F.when(F.col(col) != LAST_ID, F.col(col) + self.shift)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Working names like the given ones that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        k = n
+        while k.lower() in taken:
+            k += "_"
+        taken.add(k.lower())
+        out.append(k)
+    return out
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
@@ -43,8 +79,14 @@ def same(a: DataFrame, b: DataFrame, cols: list[tuple[str, str]]) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not share the driver's path."""
+    """Make this package importable in Python workers that do not share the driver's path, and bound the batches they get.
+
+    Texts are long, and a batch of 10,000 of them would be most of a worker's memory, on both sides of its socket. So the
+    bytes of a batch are bounded unless the session says otherwise.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "8m")
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(tidemark.__file__))

@@ -5,161 +5,44 @@ encodes its documents with the given tokenizer, compresses every document on its
 trained on the serialized ids of a bounded sample, and writes a data file with its index at the end. The table of files
 (a row each) is the only thing that counts as written: a task that runs twice leaves a file that no row names.
 
-File format, little-endian: the magic ``TIDETOK1``; the SHA-256 of the dictionary (32 bytes); the frames; the index, per
-document its id (int64), frame offset (uint64), frame length (uint32), number of ids (uint32); then the number of
-documents (uint64) and the offset of the index (uint64). Ids are serialized as uint16, or uint32 for vocabularies over
+File format, little-endian: the magic ``TIDETOK2`` or ``TIDETOK4``; the SHA-256 of the dictionary (32 bytes); the frames;
+the index, five int64 per document: its id, 1 if it has none, frame offset, frame length, number of ids; then the number
+of documents (uint64) and the offset of the index (uint64). Ids are serialized as uint16, or uint32 for vocabularies over
 65,536. The dictionary is a file beside them, named by its hash; an empty one stands for none (samples too small to train).
 
 Defined cases: a null or empty text is the end id alone. Rows with a null id come after all others and are read back
 with a null id. Rows that repeat an id follow one another in the order of their texts' hashes.
 
-Encoding is exact, and fast on repeated words: a text of ordinary characters is cut where the tokenizer's own pattern
-must cut (before a single space, around a single line feed), and each distinct piece of a batch is looked up
-once in the worker's cache of up to ``CACHE`` encoded words. Every other text is encoded whole. Texts that contain an added token go whole too.
+Texts are encoded by ``llm/coder.py``, in batches bounded by bytes.
+
+Ids of vocabularies over 65,536 take 32 bits; the data file names their width in its magic, and readers go by that.
+Columns of the input other than the id and the text play no part, whatever their names; an empty table makes no files.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, filesystem, fixed, hash_sample, known_id, new_folder, ship
+from tidemark.llm.coder import Coder
+from tidemark.llm.common import by_bytes, filesystem, fixed, hash_sample, new_folder, ship
 
-MAGIC = b"TIDETOK1"
-CACHE = 600_000  # entries; the first ones stay, as frequent words come early
-BATCH_CHARS = 5_000_000
+MAGIC = {2: b"TIDETOK2", 4: b"TIDETOK4"}  # bytes of an id
+READ_BYTES = 4 << 20  # ids that a reader hands on at once
 DICT_BYTES = 64 * 1024
 SAMPLE_DOCS = 1000  # documents that train the dictionary
 SAMPLE_BYTES = 4 << 20
-ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4")])
-# Space characters besides the space and the line feed, and others that some tables count as such: texts with them go whole.
-_ODD = r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{ad}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|  | \n|\n |\n\n|\A[ \n]|[ \n]\z"
-# Letters of Latin alphabets that every Unicode table knows as such.
-_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]*)")
-
-
-def _byte_letters() -> dict[int, str]:
-    """Byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
-
-
-class Encoder:
-    """Token ids of many texts with a byte-level BPE file of the tokenizers library."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.size = self.tok.get_vocab_size()
-        self.kind = np.dtype("<u2" if self.size <= 65536 else "<u4")
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
-        self.feed = self._whole("\n").tobytes()
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
-
-    def _letters_only(self, piece: str) -> list[int]:
-        return [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-
-    def _kept(self, key: str, ids: np.ndarray) -> bytes:
-        got = ids.tobytes()
-        if len(self.cache) < CACHE:
-            self.cache[key] = got
-        return got
-
-    def _piece(self, piece: str) -> bytes:
-        """Serialized ids of a piece that is not in the cache: letters, then signs, which the pattern parts; else whole."""
-        m = _WORD.fullmatch(piece)
-        if m is None:
-            return self._kept(piece, self._whole(piece))
-        word, signs = m.groups()
-        got = self.cache.get(word) or self._kept(word, np.array(self._letters_only(word), self.kind))
-        return got + (self.cache.get(signs) or self._kept(signs, self._whole(signs))) if signs else got
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        column = pa.array(texts, pa.large_string())
-        whole = pc.match_substring_regex(column, _ODD)
-        for a in self.added:
-            whole = pc.or_(whole, pc.match_substring(column, a))
-        plain, chars = [], 0
-        for i, (t, odd) in enumerate(zip(texts, whole.to_pylist())):
-            if odd or not t:
-                out[i] = self._whole(t)
-                continue
-            plain.append(i)
-            chars += len(t)
-            if chars > BATCH_CHARS:
-                self._plain([texts[k] for k in plain], plain, out)
-                plain, chars = [], 0
-        if plain:
-            self._plain([texts[k] for k in plain], plain, out)
-        return out
-
-    def _plain(self, texts, where, out) -> None:
-        """Lines, then pieces, with Arrow; each distinct piece once; ids put together with numpy."""
-        lines = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
-        per_doc = np.diff(lines.offsets.to_numpy())
-        words = pc.split_pattern(lines.values, " ")
-        per_line = np.diff(words.offsets.to_numpy())
-        coded = words.values.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        names = coded.dictionary.to_pylist()
-        starts = np.cumsum(per_line) - per_line
-        head = np.zeros(len(code), bool)
-        head[starts] = True
-        # Kinds of pieces: a word at the head of a line (no space before it), else one with its space.
-        kind = code * 2 + ~head
-        used = np.flatnonzero(np.bincount(kind))
-        number = np.empty(2 * len(names), np.int64)
-        number[used] = np.arange(len(used))
-        get, piece = self.cache.get, self._piece
-        texts = [" " + names[k >> 1] if k & 1 else names[k >> 1] for k in used.tolist()]
-        ids = [get(t) or piece(t) for t in texts]
-        # One more kind: the line feed, before every line but the first of a document.
-        ids.append(self.feed)
-        first_line = np.zeros(len(per_line), bool)
-        first_line[np.cumsum(per_doc) - per_doc] = True
-        feeds = starts[~first_line]
-        seq = np.insert(number[kind], feeds, len(used))
-        line_of_doc = np.cumsum(per_doc)
-        pieces = np.add.reduceat(per_line, line_of_doc - per_doc) + per_doc - 1
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        base = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        n = size[seq]
-        end = np.cumsum(n)
-        at = np.repeat(base[seq] - (end - n), n) + np.arange(end[-1])
-        all_ids = flat[at]
-        cut = end[np.cumsum(pieces) - 1]
-        lo = 0
-        for i, hi in zip(where, cut.tolist()):
-            out[i] = all_ids[lo:hi]
-            lo = hi
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+ENTRY = np.dtype([("doc_id", "<i8"), ("no_id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("n", "<i8")])
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -180,8 +63,8 @@ def _sample(docs: DataFrame, text: str, tokenizer: str, end_id: int) -> bytes:
     """Dictionary of a bounded sample: the documents of smallest hash, shortened to keep the sample under its bytes."""
     chars = SAMPLE_BYTES // SAMPLE_DOCS
     rows = hash_sample(docs.select(F.left(F.coalesce(F.col(text), F.lit("")), F.lit(chars)).alias("t")), ["t"], SAMPLE_DOCS)
-    enc = encoder(tokenizer)
-    return train_dictionary([np.append(x, end_id).astype(enc.kind).tobytes() for x in enc.batch([r.t for r in rows])])
+    enc = Coder(tokenizer)
+    return train_dictionary([np.append(x, end_id).astype(enc.kind).tobytes() for x in enc.encode([r.t for r in rows])])
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", order: list | None = None) -> DataFrame:
@@ -196,31 +79,31 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     fs, root = filesystem(folder)
     with fs.open_output_stream(f"{root}/{name}.dict") as f:
         f.write(dictionary)
-    own = docs.select(known_id(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"), *[c.alias(f"o{k}") for k, c in enumerate(order or [])])
-    by = [f"o{k}" for k in range(len(order))] if order else ["i", F.xxhash64("t")]
+    own = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"), *[c.alias(f"o{k}") for k, c in enumerate(order or [])])
+    by = [F.col(f"o{k}") for k in range(len(order))] if order else [F.col("i").asc_nulls_last(), F.xxhash64("t")]
     placed = own.repartitionByRange(*by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), "i", "t")
     sent = spark.sparkContext.broadcast(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, entries, at = encoder(tokenizer), None, [], len(MAGIC) + 32
+        enc, out, entries = Coder(tokenizer), None, array("q")
         press = _codec(sent.value)[0]
-        for b in batches:
-            for lo in range(0, b.num_rows, 5000):
-                part = b.slice(lo, 5000)
-                if out is None:
-                    number = part.column(0)[0].as_py()
-                    path = f"{root}/part-{number:06d}-{uuid.uuid4().hex}.tok"
-                    out = filesystem(folder)[0].open_output_stream(path)
-                    out.write(MAGIC + hashlib.sha256(sent.value).digest())
-                for i, ids in zip(part.column(1).to_pylist(), enc.batch(part.column(2).to_pylist())):
-                    frame = press.compress(np.append(ids, np.array([end_id], enc.kind)).tobytes())
-                    out.write(frame)
-                    entries.append((i, at, len(frame), len(ids) + 1))
-                    at += len(frame)
+        for part in by_bytes(batches, "t"):
+            if out is None:
+                number = part.column(0)[0].as_py()
+                path = f"{root}/part-{number:06d}-{uuid.uuid4().hex}.tok"
+                out = filesystem(folder)[0].open_output_stream(path)
+                out.write(MAGIC[enc.kind.itemsize] + hashlib.sha256(sent.value).digest())
+                at = 40
+            for i, ids in zip(part.column(1).to_pylist(), enc.encode(part.column(2).to_pylist())):
+                frame = press.compress(np.append(ids, np.array([end_id], enc.kind)).tobytes())
+                out.write(frame)
+                entries.extend((0 if i is None else i, i is None, at, len(frame), len(ids) + 1))
+                at += len(frame)
         if out is None:
             return
-        index = np.array(entries, ENTRY)
-        out.write(index.tobytes() + np.array([len(index), at], "<u8").tobytes())
+        index = np.frombuffer(entries, ENTRY)
+        out.write(memoryview(index))
+        out.write(np.array([len(index), at], "<u8").tobytes())
         out.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(index)], "n_ids": [int(index["n"].sum())], "dictionary": [name]})
 
@@ -235,42 +118,41 @@ def read_index(f) -> np.ndarray:
     return np.frombuffer(f.read(n * ENTRY.itemsize), ENTRY)
 
 
-def read_tokens(files: DataFrame, folder: str, wide: bool = False) -> DataFrame:
-    """The documents of the named files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (serialized)."""
+def read_tokens(files: DataFrame, folder: str) -> DataFrame:
+    """The documents of the named files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (serialized), ``id_bytes``."""
     ship(files.sparkSession)
-    kind = np.dtype("<u4" if wide else "<u2")
     # One row per file, and files are bounded by the number of partitions: the running sum is over that small table.
     placed = files.withColumn("start", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # A stated number of parts: the table is small, but each row stands for a whole file.
     placed = placed.repartition(max(files.count(), 1), "path").select("path", "start", "dictionary")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         for b in batches:
-            for path, start, name in b.itertuples(index=False):
+            for path, start, name in zip(*[b.column(k).to_pylist() for k in range(3)]):
                 with fs.open_input_file(f"{root}/{name}.dict") as f:
                     dictionary = f.read()
                 grow = _codec(dictionary)[1]
                 with fs.open_input_file(path) as f:
                     index = read_index(f)
                     f.seek(0)
-                    if f.read(len(MAGIC)) != MAGIC or f.read(32) != hashlib.sha256(dictionary).digest():
+                    magic = f.read(8)
+                    if magic not in MAGIC.values() or f.read(32) != hashlib.sha256(dictionary).digest():
                         raise ValueError(f"{path}: not a token file, or of another dictionary")
-                    for lo in range(0, len(index), 1000):
-                        e = index[lo:lo + 1000]
-                        ids = [grow.decompress(f.read(int(k)), max_output_size=int(n) * kind.itemsize) for k, n in zip(e["length"], e["n"])]
-                        n = e["n"].astype(np.int64)
+                    width = next(k for k, m in MAGIC.items() if m == magic)
+                    group = np.cumsum(index["n"] * width) // READ_BYTES
+                    cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+                    for lo, hi in zip(cuts, [*cuts[1:], len(index)]):
+                        e = index[lo:hi]
+                        n = e["n"]
+                        ids = [grow.decompress(f.read(k), max_output_size=m * width) for k, m in zip(e["length"].tolist(), n.tolist())]
                         begin = start + np.cumsum(n) - n
                         start += int(n.sum())
-                        yield pd.DataFrame({"doc_id": _ids(e["doc_id"]), "start": begin, "n_tokens": n, "ids": ids})
-
-    return placed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+                        yield pa.RecordBatch.from_pydict({
+                            "doc_id": pa.array(e["doc_id"], mask=e["no_id"] == 1), "start": begin, "n_tokens": n.copy(), "ids": pa.array(ids, pa.binary()),
+                            "id_bytes": np.full(len(e), width, np.int32)})
 
-
-def _ids(x: np.ndarray):
-    out = pd.array(x.astype(np.int64), dtype="Int64")
-    out[x == LAST_ID] = pd.NA
-    return out
+    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary, id_bytes int")
 
 
 def token_report(docs: DataFrame, tokenizer: str, end_id: int = 0, order: list | None = None) -> DataFrame:
@@ -279,9 +161,7 @@ def token_report(docs: DataFrame, tokenizer: str, end_id: int = 0, order: list |
     files = write_tokens(docs, folder, tokenizer, end_id, order=order)
     back = read_tokens(files, folder)
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["ids_crc32"] = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b.pop("ids")]
-            yield b
+    def digest(ids: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(ids, width)], dtype="int64")
 
-    return back.mapInPandas(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return back.select("doc_id", "start", "n_tokens", F.pandas_udf(digest, "long")("ids", "id_bytes").alias("ids_crc32"))
