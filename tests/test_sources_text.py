@@ -81,18 +81,37 @@ def test_sinks(spark, tmp_path):
         {c: F.lit(None).cast("double") for c in ("precision", "recall", "roc_auc", "pr_auc")})
     for day in ("2026-01-01", "2026-01-02"):
         sinks.append_run_log(m, str(tmp_path / "log"), day, "d")
+    sinks.append_run_log(m, str(tmp_path / "log"), "2026-01-02", "d")  # a retry leaves one copy
+    sinks.append_run_log(m, str(tmp_path / "log"), "2026-01-02", "another")
     log = spark.read.parquet(str(tmp_path / "log")).collect()
-    assert len(log) == 2 and log[0].f1 == 0.6 and log[0].folds == 2
+    assert sorted((str(r.run_date), r.dataset) for r in log) == [("2026-01-01", "d"), ("2026-01-02", "another"), ("2026-01-02", "d")]
+    assert log[0].f1 == 0.6 and log[0].folds == 2
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "f.txt").write_text("a\nb\n")
     import hashlib
 
-    f = sinks.fingerprints(spark, str(tmp_path / "in")).first()
-    assert (f.sha256, f.bytes, f.lines) == (hashlib.sha256(b"a\nb\n").hexdigest(), 4, 2)
+    (tmp_path / "in" / "empty.txt").write_text("")
+    (tmp_path / "in" / "sub").mkdir()
+    (tmp_path / "in" / "sub" / "open.txt").write_text("x\ny")
+    got = {r.file.rsplit("/", 1)[1]: r for r in sinks.fingerprints(spark, str(tmp_path / "in")).collect()}
+    assert {k: (r.sha256, r.bytes, r.lines) for k, r in got.items()} == {
+        "f.txt": (hashlib.sha256(b"a\nb\n").hexdigest(), 4, 2), "empty.txt": (hashlib.sha256(b"").hexdigest(), 0, 0), "open.txt": (hashlib.sha256(b"x\ny").hexdigest(), 3, 2)}
     sinks.write_split_manifest(spark.createDataFrame([("2", "test"), ("1", "train")], "sprint_id string, side string"), str(tmp_path / "m"))
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 2
 
 
+def test_block_fingerprints(spark, tmp_path):
+    import hashlib
+
+    texts = {"a": b"line one\nline two\n" * 50, "b": b"no end of line", "empty": b"", "edge": b"0123456\n" * 4, "broken": b"0123456\n" * 4 + b"x"}
+    for n, t in texts.items():
+        (tmp_path / n).write_bytes(t)
+    for block in (8, 100, 1 << 20):
+        got = {r.file.rsplit("/", 1)[1]: (r.root, r.bytes, r.lines) for r in sinks.block_fingerprints(spark, str(tmp_path), block).collect()}
+        root = lambda t: hashlib.sha256("".join(hashlib.sha256(t[k:k + block]).hexdigest() for k in range(0, len(t), block)).encode()).hexdigest()
+        assert got == {n: (root(t), len(t), t.count(b"\n") + (not t.endswith(b"\n") and bool(t))) for n, t in texts.items()}
+
+
 BOARD = """Team: Project A (name hidden). Planned sprint length: 14.0 days.
 Team history (finished sprints before this one started, up to the last three): 3 available; average share of committed issues completed 0.64; issues carried over from the last one 2; share that closed more than a day late 0.33; average days late 1.5; average issues completed 4.0.
 Committed at the start: 9 issues; story points recorded on 2 of them (total 8).
@@ -130,11 +149,11 @@ def test_line_edits(spark):
 def test_board_keeps_forty_lines_and_counts_the_rest(spark):
     rows = [("S", "P", f"i{i:03d}", "Bug", "committed", 2.0, 2.5, None, True, 0.0) for i in range(45)]
     items = spark.createDataFrame(rows, "sprint_id string, project string, raw_issue_id string, issue_type string, part string, sp_start double, sp_mid double, done_day_by_mid double, in_at_mid boolean, created_day double")
-    s = spark.createDataFrame([("S", "P", 10.0, 2, 0)], "sprint_id string, project string, sprint_length_days double, n_concurrent_sprints int, hist_n_available int").withColumns(
+    s = spark.createDataFrame([("S", "P", 10.0, 2, 0, "A")], "sprint_id string, project string, sprint_length_days double, n_concurrent_sprints int, hist_n_available int, group_letter string").withColumns(
         {c: F.lit(None).cast("double") for c in ("hist_avg_completion_ratio_3", "hist_last_carryover", "hist_late_rate_3", "hist_avg_late_days_3", "hist_avg_completed_issues_3")})
     b = text.board_texts(items, s).first().board
     assert b.count("\n- committed: Bug, 2.5 SP, not resolved yet") == 40 and b.endswith("- ... and 5 more issues of the same kinds")
-    assert "story points recorded on 45 of them (total 90)" in b and "no finished earlier sprint" in b
+    assert b.startswith("Team: Project A (name hidden).") and "story points recorded on 45 of them (total 90)" in b and "no finished earlier sprint" in b
     assert text.board_texts(items, s, at_start=True).first().board.count("- Bug, 2 SP") == 40
 
 

@@ -96,7 +96,9 @@ def fit_regressor(learner: Learner, train: DataFrame, target: str, leaf_col: str
     d = as_double(train, learner.numeric).withColumn("label_", F.col(target).cast("double"))
     common = {"featuresCol": "features", "labelCol": "label_"}
     if learner.kind == "ridge":
-        est = LinearRegression(**common, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False, **learner.settings)
+        # Spark divides the penalty by the deviation of the label; times it, the penalty on the sum of squares is 1.
+        size = d.agg(F.count("label_").alias("n"), F.stddev_samp("label_").alias("sd")).first()
+        est = LinearRegression(**common, regParam=(size["sd"] or 1.0) / max(size["n"], 1), elasticNetParam=0.0, standardization=False, **learner.settings)
     elif learner.kind == "forest":
         est = RandomForestRegressor(**common, seed=learner.seed, featureSubsetStrategy="all", **{**FOREST, **learner.settings})
         if leaf_col:
@@ -125,8 +127,18 @@ def fit_and_score(learner: Learner, train: DataFrame, test: DataFrame, label: st
     return score(fit_classifier(learner, train, label), test, learner.numeric, name)
 
 
+def together(*learners: Learner) -> bool:
+    """Whether these learners can be fitted in one job (``many``)."""
+    return all(x.kind == "logistic" and not x.settings for x in learners) and len({(x.group, x.seed) for x in learners if x.group}) <= 1
+
+
 def out_of_fold(learner: Learner, train: DataFrame, label: str, k: int = 5, key: str = "sprint_id") -> DataFrame:
     """Each row scored by the model that did not see its fold."""
+    if together(learner):
+        from tidemark.models.many import score_splits
+
+        long = train.withColumns({"split": F.lit(0), "side": F.lit("train")})
+        return score_splits(long, {"": learner}, label, 1, k, key).drop("split", "model", *([] if "side" in train.columns else ["side"]))
     folds = split_kfold(train, label, k, learner.seed, key)
     parts = []
     for i in range(k):
@@ -140,6 +152,12 @@ def out_of_fold(learner: Learner, train: DataFrame, label: str, k: int = 5, key:
 
 def fit_with_threshold(learner: Learner, train: DataFrame, test: DataFrame, label: str, k: int = 5, key: str = "sprint_id") -> DataFrame:
     """Test rows with score, threshold and call; the threshold comes from out-of-fold training scores."""
+    if together(learner):
+        from tidemark.models.many import calls_of_splits
+
+        sides = [x.withColumns({"split": F.lit(0), "side": F.lit(s)}) for x, s in ((train, "train"), (test, "test"))]
+        out = calls_of_splits(sides[0].unionByName(sides[1]), learner, label, 1, k, key)
+        return out.drop("split", *([] if "side" in test.columns else ["side"]))
     oof = out_of_fold(learner, train, label, k, key)
     t = youden_threshold(oof, [], "score", label).first()["threshold"]
     scored = fit_and_score(learner, train, test, label)
@@ -149,6 +167,12 @@ def fit_with_threshold(learner: Learner, train: DataFrame, test: DataFrame, labe
 def cross_validated_calls(learner: Learner, df: DataFrame, label: str, k: int = 5, key: str = "sprint_id") -> DataFrame:
     """Pooled 0/1 calls of a k-fold run, each fold with its own training-side threshold."""
     folds = split_kfold(df, label, k, learner.seed, key)
+    if together(learner):
+        from tidemark.models.many import calls_of_splits
+
+        side = F.when(F.col("fold") == F.col("split"), "test").otherwise("train")
+        long = folds.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("side", side).drop("fold")
+        return calls_of_splits(long, learner, label, k, k, key).drop("split", *([] if "side" in df.columns else ["side"]))
     out = None
     for i in range(k):
         tr = folds.where(F.col("fold") != i).drop("fold")
@@ -161,6 +185,10 @@ def cross_validated_calls(learner: Learner, df: DataFrame, label: str, k: int =
 def group_out_scores(learner: Learner, df: DataFrame, label: str, groups: Sequence[str], group: str = "project") -> DataFrame:
     """Each group scored by a model fitted on the others; the group itself is not a feature."""
     plain = Learner(learner.kind, learner.numeric, None, learner.seed, learner.settings)
+    if together(plain):
+        from tidemark.models.many import group_out_many
+
+        return group_out_many({"": plain.numeric}, df, label, groups, group).drop("model")
     out = None
     for g in groups:
         part = fit_and_score(plain, df.where(F.col(group) != g), df.where(F.col(group) == g), label)

@@ -96,15 +96,17 @@ def cost_bootstrap(calls: DataFrame, item: str, group: str, reps: int, seed: int
 
     Both arms share the resample: the draw is over sprints and carries the calls of all arms.
     """
-    from tidemark.operators.resample import interval, resample_rows
+    from tidemark.operators.multinomial import resample_cells
+    from tidemark.operators.resample import interval
 
     wide = calls.groupBy(item, group).agg(
         F.first("late").alias("late"), F.first("weight").alias("weight"),
         *[F.max(F.when(F.col("arm") == a, F.struct("w0", "w50"))).alias(n) for a, n in ((arm_a, "a"), (arm_b, "b"))])
-    sample = resample_rows(wide, reps, seed, item, [group], ["late", "weight", "a", "b"], slices)
-    both = F.array(*[F.struct(F.lit(n).alias("arm"), F.col(f"{n}.w0").alias("w0"), F.col(f"{n}.w50").alias("w50")) for n in "ab"])
-    long = sample.select("rep", "late", "weight", F.explode(both).alias("c")).select("rep", "late", "weight", "c.*")
-    d = scenario_columns(cost_sums(long, ["rep", "arm"]), {"default": SCENARIOS["default"]}, ratios)
+    flat = [F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "ab" for c in ("w0", "w50")]
+    sample = resample_cells(wide.select(group, "late", "weight", *flat), reps, seed, ["late", "weight", "a_w0", "a_w50", "b_w0", "b_w50"], [group], slices)
+    both = F.array(*[F.struct(F.lit(n).alias("arm"), F.col(f"{n}_w0").alias("w0"), F.col(f"{n}_w50").alias("w50")) for n in "ab"])
+    long = sample.select("rep", "times", "late", "weight", F.explode(both).alias("c")).select("rep", "times", "late", "weight", "c.*")
+    d = scenario_columns(cost_sums(long, ["rep", "arm"], F.col("times")), {"default": SCENARIOS["default"]}, ratios)
     pick = lambda n: F.max(F.when(F.col("arm") == n, F.col("cost")))
     diff = d.groupBy("rep", "ratio").agg((pick("a") - pick("b")).alias("diff"))
     return interval(diff, "diff", ["ratio"])

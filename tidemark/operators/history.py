@@ -47,6 +47,13 @@ FEATURE_GROUPS = {
     "past lateness": _LATE,
     "project": ["project"],
 }
+LEGACY_GROUPS = {
+    "scope": ["committed_issue_count", "committed_story_points"],
+    "sprint length": ["sprint_length_days"],
+    "recent history": TRAILING_FEATURES,
+    "project": ["project"],
+}
+GROUPS_BY_SET = {"strict": FEATURE_GROUPS, "legacy": LEGACY_GROUPS}
 # Columns that tell the outcome; none of them may be a feature.
 OUTCOME_COLUMNS = [
     "complete_date", "late_days", "late_days_capped", "carry_ratio", "completion_ratio", "completed_issue_count",

@@ -54,9 +54,9 @@ def within_group_auc(df: DataFrame, group: str, score: str, label: str, min_clas
     )
 
 
-def average_precision(df: DataFrame, keys: Sequence[str], score: str, label: str, slices=None) -> DataFrame:
+def average_precision(df: DataFrame, keys: Sequence[str], score: str, label: str, slices=None, weight: Column | None = None) -> DataFrame:
     """Sum over falling scores of the recall step times the precision."""
-    cells = score_cells(df, keys, score, label)
+    cells = score_cells(df, keys, score, label, weight)
     d = order_rows(cells, keys, [F.col("score").desc()], slices).scan(sums={"tp": F.col("pos"), "fp": F.col("neg")})
     step = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
     return _grouped(d, keys).agg(F.when(F.sum("pos") > 0, F.sum(step) / F.sum("pos")).alias("average_precision"))

@@ -1,10 +1,11 @@
 """Bootstrap and jackknife by row, within strata and by cluster.
 
-Draw i of replicate r is an md5 of (seed, r, stratum, i) taken modulo the number of rows, so every
-engine and every retry draws the same sample. Draws and rows meet through an equi join on the drawn
-row number; nothing is collected. A resample of clusters weights the counts of each score: rows are first
-counted per (group, score), and every replicate sums those counts times the draws of their group, whatever the
-number of groups.
+A row resample is a count per cell of equal rows (:mod:`tidemark.operators.multinomial`), so its cost is
+cells x replicates and statistics are weighted by ``times``. A resample of clusters weights the counts of each
+score: rows are first counted per (group, score), and every replicate sums those counts times the draws of their
+group, whatever the number of groups. ``resample_rows`` draws the rows themselves, for what is not a function of counts:
+draw i of replicate r is an md5 of (seed, r, stratum, i) taken modulo the number of rows, and draws and rows meet
+through an equi join. Either way every engine and every retry draws the same sample; nothing is collected.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import hash_number
 from tidemark.operators.metrics import confusion_metrics
+from tidemark.operators.multinomial import resample_cells
 from tidemark.operators.ordered import numbered, order_rows
-from tidemark.operators.ranking import auc_from_cells, score_cells
+from tidemark.operators.ranking import auc_from_cells, average_precision, roc_grid_from_cells, score_cells
+from tidemark.session import materialize
 
 
 def resample_rows(
@@ -35,7 +38,7 @@ def resample_rows(
 def auc_replicates(sample: DataFrame, score: str, label: str, keys: Sequence[str] = (), slices=None) -> DataFrame:
     """AUC per replicate (and keys); replicates with one class are left out."""
     at = ["rep", *keys]
-    return auc_from_cells(score_cells(sample, at, score, label), at, slices).where(F.col("auc").isNotNull())
+    return auc_from_cells(score_cells(sample, at, score, label, F.col("times")), at, slices).where(F.col("auc").isNotNull())
 
 
 def interval(reps: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -46,19 +49,28 @@ def interval(reps: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame
         F.percentile(value, F.lit(0.025)).alias("lo"), F.percentile(value, F.lit(0.975)).alias("hi"))
 
 
-def row_bootstrap_auc(df: DataFrame, score: str, label: str, key: str, reps: int = 2000, seed: int = 42, slices=None) -> DataFrame:
-    sample = resample_rows(df, reps, seed, key, keep=[score, label], slices=slices)
+def row_bootstrap_auc(df: DataFrame, score: str, label: str, reps: int = 2000, seed: int = 42, slices=None) -> DataFrame:
+    sample = resample_cells(df, reps, seed, [score, label], slices=slices)
     return interval(auc_replicates(sample, score, label, slices=slices), "auc")
 
 
-def row_bootstrap_metrics(df: DataFrame, score: str, pred: str, label: str, key: str, reps: int = 2000, seed: int = 42, strata=(), slices=None) -> DataFrame:
-    """AUC, F1, sensitivity, specificity and Brier of the same resamples, one interval row per metric."""
-    sample = resample_rows(df, reps, seed, key, strata, [score, pred, label], slices)
+def row_bootstrap_by(df: DataFrame, keys: Sequence[str], score: str, label: str, reps: int = 2000, seed: int = 42, slices=None) -> DataFrame:
+    """Interval of the AUC of every group of rows (a model, a split), each resampled on its own."""
+    sample = resample_cells(df, reps, seed, [score, label], keys, slices)
+    return interval(auc_replicates(sample, score, label, keys, slices), "auc", keys)
+
+
+def row_bootstrap_metrics(df: DataFrame, score: str, pred: str, label: str, reps: int = 2000, seed: int = 42, strata=(), slices=None) -> DataFrame:
+    """AUC, average precision, F1, sensitivity, specificity and Brier of the same resamples, one interval row per metric."""
+    sample = materialize(resample_cells(df, reps, seed, [score, pred, label], strata, slices))
+    times = F.col("times")
     auc = auc_replicates(sample, score, label, slices=slices).select("rep", "auc")
-    conf = confusion_metrics(sample, ["rep"], label, pred).select("rep", "f1", "sensitivity", "specificity")
-    bri = sample.groupBy("rep").agg(F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"))
-    wide = auc.join(conf, "rep").join(bri, "rep")
-    names = ["auc", "f1", "sensitivity", "specificity", "brier"]
+    ap = average_precision(sample, ["rep"], score, label, slices, times)
+    conf = confusion_metrics(sample, ["rep"], label, pred, times).select("rep", "f1", "sensitivity", "specificity")
+    gap = F.col(score) - F.col(label)
+    bri = sample.groupBy("rep").agg((F.sum(times * gap * gap) / F.sum(times)).alias("brier"))
+    wide = auc.join(ap, "rep").join(conf, "rep").join(bri, "rep")
+    names = ["auc", "average_precision", "f1", "sensitivity", "specificity", "brier"]
     return interval(long_metrics(wide, names), "value", ["metric"])
 
 
@@ -68,17 +80,17 @@ def long_metrics(wide: DataFrame, names: Sequence[str], keys: Sequence[str] = ()
     return wide.select(*keys, F.explode(cells).alias("m_")).select(*keys, "m_.metric", "m_.value")
 
 
-def paired_bootstrap(df: DataFrame, score_a: str, score_b: str, label: str, key: str, reps: int = 2000, seed: int = 42, strata=(), slices=None) -> DataFrame:
+def paired_bootstrap(df: DataFrame, score_a: str, score_b: str, label: str, reps: int = 2000, seed: int = 42, strata=(), slices=None) -> DataFrame:
     """AUC of b minus a on the same resamples: observed, interval, one-sided share and two-sided sign p."""
-    pair = lambda d: d.select(
-        *[c for c in d.columns if c in ("rep",)], label,
+    pair = lambda d, keep: d.select(
+        *keep, label,
         F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col(score_a).cast("double").alias("v")),
                           F.struct(F.lit("b").alias("s"), F.col(score_b).cast("double").alias("v")))).alias("x")
-    ).select(*[c for c in d.columns if c in ("rep",)], label, "x.s", "x.v")
-    sample = pair(resample_rows(df, reps, seed, key, strata, [score_a, score_b, label], slices))
+    ).select(*keep, label, "x.s", "x.v")
+    sample = pair(resample_cells(df, reps, seed, [score_a, score_b, label], strata, slices), ["rep", "times"])
     per = auc_replicates(sample, "v", label, ["s"], slices)
     diff = difference(per, ["rep"])
-    seen = difference(auc_from_cells(score_cells(pair(df), ["s"], "v", label), ["s"], slices), [])
+    seen = difference(auc_from_cells(score_cells(pair(df, []), ["s"], "v", label), ["s"], slices), [])
     return sign_test(diff, seen)
 
 
@@ -202,19 +214,17 @@ def jackknife_f1_difference(df: DataFrame, group: str, label: str, pred_a: str,
     return d.join(F.broadcast(ends), "one_").drop("one_").withColumn("delta_range", F.col("delta_max") - F.col("delta_min"))
 
 
-def within_group_bootstrap(df: DataFrame, group: str, score: str, label: str, key: str, reps: int = 2000, seed: int = 42, min_class: int = 1, slices=None) -> DataFrame:
+def within_group_bootstrap(df: DataFrame, group: str, score: str, label: str, reps: int = 2000, seed: int = 42, min_class: int = 1, slices=None) -> DataFrame:
     """Interval of the mean group AUC, resampling rows inside each group."""
-    sample = resample_rows(df, reps, seed, key, [group], [score, label], slices)
-    per = auc_from_cells(score_cells(sample, ["rep", group], score, label), ["rep", group], slices)
+    sample = resample_cells(df, reps, seed, [score, label], [group], slices)
+    per = auc_from_cells(score_cells(sample, ["rep", group], score, label, F.col("times")), ["rep", group], slices)
     per = per.where((F.col("n_pos") >= min_class) & (F.col("n_neg") >= min_class))
     return interval(per.groupBy("rep").agg(F.avg("auc").alias("auc")), "auc")
 
 
-def roc_bootstrap_band(df: DataFrame, score: str, label: str, key: str, reps: int = 2000, seed: int = 42, slices=None) -> DataFrame:
+def roc_bootstrap_band(df: DataFrame, score: str, label: str, reps: int = 2000, seed: int = 42, slices=None) -> DataFrame:
     """Percentile band of the ROC curve at each grid point."""
-    from tidemark.operators.ranking import roc_grid
-
-    sample = resample_rows(df, reps, seed, key, keep=[score, label], slices=slices)
-    grid = roc_grid(sample, ["rep"], score, label, slices)
+    sample = resample_cells(df, reps, seed, [score, label], slices=slices)
+    grid = roc_grid_from_cells(score_cells(sample, ["rep"], score, label, F.col("times")), ["rep"], slices)
     return grid.groupBy("step", "fpr").agg(
         F.avg("tpr").alias("tpr_mean"), F.percentile("tpr", F.lit(0.025)).alias("tpr_lo"), F.percentile("tpr", F.lit(0.975)).alias("tpr_hi"))

@@ -33,6 +33,22 @@ def rule_scores(train: DataFrame, test: DataFrame, late: bool) -> DataFrame:
     return test.withColumns(cols)
 
 
+def rule_scores_by(long: DataFrame, keys: Sequence[str], late: bool) -> DataFrame:
+    """``rule_scores`` on both sides of several splits at once: ``keys`` name the split, ``side`` the side."""
+    fill = long.where(F.col("side") == "train").groupBy(*keys).agg(
+        F.avg("hist_late_rate_3").alias("fill_late_"), F.avg(1 - F.col("hist_avg_completion_ratio_3")).alias("fill_carry_"))
+    d = long.join(F.broadcast(fill), list(keys), "left")  # a row per split
+    cols = {"rule_committed": F.col("committed_issue_count").cast("double")}
+    if late:
+        cols["rule_past_lateness"] = F.coalesce("hist_late_rate_3", "fill_late_", F.lit(0.0))
+    else:
+        cols["rule_past_carry"] = F.coalesce(1 - F.col("hist_avg_completion_ratio_3"), "fill_carry_", F.lit(0.5))
+    if "remaining_n" in long.columns:
+        cols["rule_remaining"] = F.col("remaining_n").cast("double")
+        cols["rule_remaining_share"] = 1 - F.col("done_share")
+    return d.withColumns(cols).drop("fill_late_", "fill_carry_")
+
+
 def group_rate(train: DataFrame, test: DataFrame, group: str, label: str, name: str = "group_rate") -> DataFrame:
     """Training rate of the row's group, the overall rate for a group without training rows."""
     overall = training_row(train, r=F.avg(F.col(label).cast("double")))["r"]

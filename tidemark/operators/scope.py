@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import (
     NULL_SET_WORDS, days_between, field_kind, id_text, id_tokens, number_or_text,
 )
-from tidemark.operators.asof import value_asof, value_intervals
+from tidemark.operators.asof import value_intervals
+from tidemark.operators.ordered import order_rows
 from tidemark.operators.skew import lookup_join
 from tidemark.session import materialize
 from tidemark.sources.tables import require_columns
@@ -75,15 +76,6 @@ def membership_events(change_log: DataFrame) -> DataFrame:
     )
 
 
-def point_events(change_log: DataFrame) -> DataFrame:
-    rel = _relevant(change_log).where(F.col("kind") == "story_point")
-    return rel.select(
-        "raw_issue_id", F.col("change_date").alias("ts"), F.col("change_id").alias("tie"),
-        number_or_text(F.col("from_value"), F.col("from_string")).alias("before"),
-        number_or_text(F.col("to_value"), F.col("to_string")).alias("after"),
-    )
-
-
 def _relevant(change_log: DataFrame) -> DataFrame:
     log = change_log if "change_id" in change_log.columns else change_log.withColumn("change_id", F.lit(0).cast("long"))
     return log.withColumn("kind", field_kind(F.col("field"))).where(
@@ -158,18 +150,83 @@ def start_memberships(rows: DataFrame) -> DataFrame:
     )
 
 
-def commitments(
-    sprints: DataFrame, issues: DataFrame, change_log: DataFrame, slices: int | None = None, rows: DataFrame | None = None
+def parsed_events(change_log: DataFrame) -> DataFrame:
+    """Events of both fields: sprint cells as the kind and tokens that count (``s_before``, ``s_after``), points as numbers (``p_before``, ``p_after``)."""
+
+    def cell(v: str, s: str) -> Column:
+        ids, text = id_tokens(F.col(v)), F.lower(F.trim(F.col(s)))
+        readable = text.isNotNull() & ~text.isin(NULL_SET_WORDS)
+        names = F.when(readable, F.array(text)).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.when(ids.isNotNull(), "jira").otherwise("text").alias("kind"), F.coalesce(F.array_distinct(ids), names).alias("tokens"))
+
+    def points(v: str, s: str) -> Column:
+        return F.struct(number_or_text(F.col(v), F.col(s)).alias("v"))
+
+    sprint = F.col("kind") == "sprint"
+    return _relevant(change_log).select(
+        "raw_issue_id", F.col("change_date").alias("ts"), F.col("change_id").alias("tie"),
+        *[F.when(sprint, cell(f"{x}_value", f"{x}_string")).alias(f"s_{y}") for x, y in (("from", "before"), ("to", "after"))],
+        *[F.when(~sprint, points(f"{x}_value", f"{x}_string")).alias(f"p_{y}") for x, y in (("from", "before"), ("to", "after"))])
+
+
+def item_states(
+    sprints: DataFrame, issues: DataFrame, change_log: DataFrame, times: Sequence[tuple[str, Column]], keep: Sequence[str] = (), slices: int | None = None
 ) -> DataFrame:
+    """One row per (item, sprint that it ever named): membership ``in_<name>`` and points ``sp_<name>`` at each of ``times``.
+
+    Both fields are read off in one ordered scan, from new to old, over one union: the last state of an item, its events
+    of either field, and a probe per instant and id by which the item ever named the sprint. A probe is a member
+    where the state that it meets names that id; an item without events of a field has its present-day value.
+    ``times``: (name, instant drawn from the sprint's dates); ``keep``: item columns that the result carries too.
+    """
+    require_columns(sprints=sprints, issues=issues, change_log=change_log)
+    ids = sprint_ids(sprints)
+    known = lookup_join(issues, sprints.select("project").distinct().withColumn("has_", F.lit(True)), ["project"], "inner")
+    events = materialize(parsed_events(change_log))  # parsed once; read for the ids, the last states and the scan
+    cells = events.where("s_before IS NOT NULL").select("raw_issue_id", F.explode(F.array("s_before", "s_after")).alias("c"))
+    named = cells.select("raw_issue_id", "c.kind", F.explode("c.tokens").alias("token")).distinct()
+    texts = named.where("kind = 'text'").join(known.select("raw_issue_id", "project"), "raw_issue_id").select("project", F.col("token").alias("text"))
+    ids = ids.where("kind <> 'name'").unionByName(names_in_text(texts, ids))
+    static = known.select("raw_issue_id", F.lit("raw").alias("kind"), id_text(F.col("raw_sprint_id")).alias("token")).where("token IS NOT NULL")
+    facts = ["project", "creation_date", "resolution_date", *keep]
+    of_item = known.select("raw_issue_id", *facts, F.col("story_point").cast("double").alias("static_value"))
+    pairs = named.unionByName(static).join(of_item, "raw_issue_id").join(ids, ["project", "kind", "token"])
+    probe = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), t.alias("at")) for k, (_, t) in enumerate(times)])).alias("p")
+    payload = ["sprint_id", "kind", "token", "start_date", "end_date", "static_value", *facts]
+    probes = pairs.select("raw_issue_id", *payload, probe).where("p.at IS NOT NULL")
+    newest = lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.struct("ts", "tie")))
+    ends = events.groupBy("raw_issue_id").agg(newest("s_after").alias("s_"), newest("p_after").alias("v_"))
+    # Order of the scan: the newest state, then from new to old; at equal times probes come before events, which so count as applied.
+    rows = (
+        ends.select("raw_issue_id", F.lit(None).cast("timestamp").alias("t_"), F.lit(8).alias("kind_"), "s_", "v_")
+        .unionByName(events.select("raw_issue_id", F.col("ts").alias("t_"), F.lit(0).alias("kind_"), F.col("tie").alias("tie_"), F.col("s_before").alias("s_"), F.col("p_before").alias("v_")),
+                     allowMissingColumns=True)
+        .unionByName(probes.select("raw_issue_id", F.col("p.at").alias("t_"), F.lit(1).alias("kind_"), F.struct("p.k", *payload).alias("q_")), allowMissingColumns=True)
+    )
+    order = [F.col("t_").desc_nulls_first(), F.col("kind_").desc(), F.col("tie_").desc()]
+    seen = order_rows(rows, ["raw_issue_id"], order, slices).scan(lasts={"state_": F.col("s_"), "points_": F.col("v_")}).where("kind_ = 1")
+    told = F.col("state_").isNotNull()
+    inside = F.when(told, (F.col("state_.kind") == F.col("q_.kind")) & F.array_contains("state_.tokens", F.col("q_.token"))).otherwise(F.col("q_.kind") == "raw")
+    value = F.when(F.col("points_").isNotNull(), F.col("points_.v")).otherwise(F.col("q_.static_value"))
+    at = lambda k, c: F.max(F.when(F.col("q_.k") == k, c))
+    return seen.groupBy("raw_issue_id", F.col("q_.sprint_id").alias("sprint_id")).agg(
+        *[F.first(f"q_.{c}").alias(c) for c in ("start_date", "end_date", *facts)],
+        *[at(k, inside).alias(f"in_{n}") for k, (n, _) in enumerate(times)], *[at(k, value).alias(f"sp_{n}") for k, (n, _) in enumerate(times)],
+        F.max(told).alias("from_history"), F.max(F.col("points_").isNotNull()).alias("points_from_history"))
+
+
+def commitments(sprints: DataFrame, issues: DataFrame, change_log: DataFrame, slices: int | None = None) -> DataFrame:
     """One row per committed (item, sprint) with its points at the start and where both facts come from."""
-    rows = membership_rows(sprints, issues, change_log, slices) if rows is None else rows
     t = F.col("start_date")
-    members = start_memberships(rows).where(created_by(t) & open_until(t))
-    seen = value_asof(materialize(point_events(change_log)), members, "raw_issue_id", "start_date", "static_value", slices)
-    return seen.withColumns({
-        "story_point_source": F.when(F.col("has_history"), "observed_story_history").otherwise("static_story_fallback"),
-        "completed_by_end": F.coalesce(F.col("resolution_date") <= F.col("end_date"), F.lit(False)),
-    }).withColumnRenamed("value", "story_point_at_start").drop("has_history", "static_value")
+    keep = [c for c in ("issue_key", "issue_type") if c in issues.columns]
+    pairs = item_states(sprints, issues, change_log, [("start", t)], keep, slices)
+    members = pairs.where(F.col("in_start") & created_by(t) & open_until(t))
+    return members.select(
+        "project", "raw_issue_id", "sprint_id", "start_date", "end_date", "creation_date", "resolution_date", *keep,
+        F.when(F.col("from_history"), "observed_sprint_history").otherwise("static_sprint_fallback").alias("sprint_source"),
+        F.col("sp_start").alias("story_point_at_start"),
+        F.when(F.col("points_from_history"), "observed_story_history").otherwise("static_story_fallback").alias("story_point_source"),
+        F.coalesce(F.col("resolution_date") <= F.col("end_date"), F.lit(False)).alias("completed_by_end"))
 
 
 def planning_scope(sprints: DataFrame, issues: DataFrame, change_log: DataFrame, slices: int | None = None) -> DataFrame:
@@ -217,7 +274,7 @@ def scope_audit(sprints: DataFrame, issues: DataFrame, change_log: DataFrame, sl
     rows = materialize(membership_rows(sprints, issues, change_log, slices))
     t = F.col("start_date")
     members = start_memberships(rows)
-    committed = commitments(sprints, issues, change_log, slices, rows)
+    committed = members.where(created_by(t) & open_until(t))
     known = lookup_join(issues, sprints.groupBy("project").agg(F.min("start_date").alias("first_start")), ["project"], "inner")
 
     a = issues.agg(F.count(F.lit(1)).alias("issues_seen"))
@@ -261,11 +318,9 @@ def scope_audit(sprints: DataFrame, issues: DataFrame, change_log: DataFrame, sl
         n(~created_by(t)).alias("memberships_excluded_issue_created_after_start"),
         n(created_by(t) & ~open_until(t)).alias("memberships_excluded_resolved_before_start"),
     )
-    f = with_scope(sprints, committed).agg(
-        F.count(F.lit(1)).alias("sprints_reconstructed"),
-        n(F.col("committed_issue_count") == 0).alias("zero_scope_sprints"),
-        n(F.col("committed_issue_count") > 0).alias("nonzero_scope_sprints"),
-    )
+    filled = sprints.select("sprint_id").join(committed.select("sprint_id").distinct().withColumn("has_", F.lit(True)), "sprint_id", "left")
+    f = filled.agg(
+        F.count(F.lit(1)).alias("sprints_reconstructed"), n(F.col("has_").isNull()).alias("zero_scope_sprints"), n("has_").alias("nonzero_scope_sprints"))
     one = [x.withColumn("one_", F.lit(1)) for x in (a, b, c, d, e, f)]
     return reduce(lambda x, y: x.join(F.broadcast(y), "one_"), one).drop("one_")
 

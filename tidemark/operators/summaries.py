@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import edge_bin, ends_late_in_week, key_number, key_prefix
-from tidemark.operators.ranking import exact_quantiles, rank_quartile, spearman
+from tidemark.operators.ranking import exact_quantiles, rank_quartile, roc_auc, spearman
 from tidemark.operators.skew import lookup_join, top_k
 
 
@@ -65,6 +65,36 @@ def source_description(df: DataFrame, source: str, slices=None) -> DataFrame:
     return base.join(medians(df.where(nonempty), [source], "committed_issue_count", "median_scope", slices), source, "left")
 
 
+def audited_description(name: str, df: DataFrame, audit: DataFrame, slices=None) -> DataFrame:
+    """One source's cohort with the counters of its scope audit (one row), each called ``audit_`` and its name."""
+    d = source_description(df.withColumn("source", F.lit(name)), "source", slices).withColumn("one_", F.lit(1))
+    counters = audit.select(F.lit(1).alias("one_"), *[F.col(c).alias(f"audit_{c}") for c in audit.columns])
+    return d.join(F.broadcast(counters), "one_").drop("one_")
+
+
+def feature_coverage(df: DataFrame, sets: dict[str, dict[str, Sequence[str]]]) -> DataFrame:
+    """Per feature set and group: its features, and the share of the cells that are known."""
+    cells = [(s, g, list(cols)) for s, groups in sets.items() for g, cols in groups.items()]
+    one = df.agg(F.count(F.lit(1)).alias("rows_"), *[(sum(F.count(c) for c in cols) / (F.count(F.lit(1)) * len(cols))).alias(f"k{i}") for i, (_, _, cols) in enumerate(cells)])
+    rows = F.array(*[F.struct(F.lit(s).alias("feature_set"), F.lit(g).alias("feature_group"), F.lit(len(cols)).cast("long").alias("features"), F.col(f"k{i}").alias("share_known")) for i, (s, g, cols) in enumerate(cells)])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def open_count_rules(frame: DataFrame, outcomes: dict[str, tuple[str, str]], rules: Sequence[str], slices=None) -> DataFrame:
+    """AUC of plain counts at each checkpoint, on the test side of boxes still open: (outcome, checkpoint, rule, n, n_neg, auc).
+
+    ``outcomes``: name -> (label column, column with the side of its split).
+    """
+    there = frame.where("open_at_checkpoint")
+    stack = lambda label: F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).cast("double").alias("score"), F.col(label).alias("label")) for r in rules]))
+    long = None
+    for name, (label, side) in outcomes.items():
+        part = there.where(F.col(side) == "test").select(F.lit(name).alias("outcome"), "checkpoint", stack(label).alias("r")).select("outcome", "checkpoint", "r.*")
+        long = part if long is None else long.unionByName(part)
+    out = roc_auc(long, ["outcome", "checkpoint", "rule"], "score", "label", slices)
+    return out.select("outcome", "checkpoint", "rule", (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_neg", "auc")
+
+
 def nothing_done_share(df: DataFrame, group: str = "project") -> DataFrame:
     """Share of nonempty sprints without any finished item."""
     ne = df.where(F.col("committed_issue_count") > 0)

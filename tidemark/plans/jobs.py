@@ -8,8 +8,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.models.learners import Learner, fit_and_score, fit_classifier, out_of_fold, score
+from tidemark.functions.scalars import hash_number
+from tidemark.models.learners import Learner, fit_and_score, fit_classifier, out_of_fold, score, together
+from tidemark.models.many import fit_many, score_splits
 from tidemark.operators import metrics, ranking, resample, rules, splits
+from tidemark.operators.ordered import numbered
+from tidemark.session import materialize
 
 METRICS = ["auc", "sensitivity", "specificity", "f1", "precision", "recall", "average_precision", "brier"]
 
@@ -60,6 +64,8 @@ def score_long(train: DataFrame, test: DataFrame, label: str, learners: Mapping[
 
 def compare_on_split(split: DataFrame, label: str, learners: Mapping[str, Learner], late: bool = True) -> DataFrame:
     """All models and rules on one split."""
+    if together(*learners.values()):
+        return compare_on_splits(split.withColumn("split", F.lit(0)), label, learners, 1, late).drop("split")
     train, test = sides(split)
     long = score_long(train, test, label, learners, late)
     out = evaluate_scores(long, ["model", "is_rule"], label, probability=False)
@@ -67,8 +73,54 @@ def compare_on_split(split: DataFrame, label: str, learners: Mapping[str, Learne
     return out.join(extra, "model")
 
 
+def score_long_splits(long: DataFrame, label: str, learners: Mapping[str, Learner], n_splits: int, late: bool = True) -> DataFrame:
+    """Test rows once per split and model or rule, as in ``score_long``; every fit of every split in one job.
+
+    ``long`` has a row per split (``split``, from 0) and box, with ``side``, and if wanted ``seed``.
+    """
+    base = ["split", "sprint_id", "project", label]
+    keys = ["split", "model"]
+    scored = materialize(score_splits(long, learners, label, n_splits).select(*base, "fold", "model", "score"))
+    t = ranking.youden_threshold(scored.where(F.col("fold").isNotNull()), keys, "score", label).select(*keys, "threshold")
+    fitted = scored.where(F.col("fold").isNull()).drop("fold").join(F.broadcast(t), keys)  # a row per split and model
+    fitted = fitted.withColumns({"is_rule": F.lit(False), "train_auc": F.lit(None).cast("double")})
+    cols = rule_columns(late, "remaining_n" in long.columns)
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("score")) for c in cols]))
+    ruled = rules.rule_scores_by(long.where(F.col(label).isNotNull()), ["split"], late).select(*base, "side", stack.alias("r")).select(*base, "side", "r.*")
+    ruled = materialize(ruled)
+    tr = ruled.where(F.col("side") == "train")
+    thr = ranking.youden_threshold(tr, keys, "score", label).select(*keys, "threshold")
+    auc = ranking.roc_auc(tr, keys, "score", label).select(*keys, F.col("auc").alias("train_auc"))
+    te = ruled.where(F.col("side") == "test").drop("side").join(F.broadcast(thr.join(auc, keys)), keys).withColumn("is_rule", F.lit(True))
+    return fitted.unionByName(te).withColumn("pred", (F.col("score") >= F.col("threshold")).cast("int"))
+
+
+def compare_on_splits(long: DataFrame, label: str, learners: Mapping[str, Learner], n_splits: int, late: bool = True) -> DataFrame:
+    """All models and rules on every split: metrics, threshold and (rules) training AUC per split and model."""
+    rows = materialize(score_long_splits(long, label, learners, n_splits, late))
+    keys = ["split", "model"]
+    out = evaluate_scores(rows, [*keys, "is_rule"], label, probability=False)
+    extra = rows.groupBy(*keys).agg(F.first("threshold").alias("threshold"), F.first("train_auc").alias("train_auc"))
+    return out.join(extra, keys)
+
+
+def repeated_splits(df: DataFrame, label: str, repeats: int = 5, fraction: float = 0.3) -> DataFrame:
+    """All repeats of the random and the rolling time scheme in one table: ``split`` (random first), ``side`` and ``seed``."""
+    seeded = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = [hash_number((F.col("split") + 42).cast("string"), F.col("sprint_id").cast("string")), F.col("sprint_id")]
+    d = numbered(seeded, ["split", label], order, "rn_", "n_")
+    random = d.withColumn("side", F.when(F.col("rn_") <= F.round(F.col("n_") * F.lit(float(fraction))), "test").otherwise("train")).drop("rn_", "n_")
+    rolling = splits.split_rolling(df).where(F.col("repeat") <= repeats)
+    rolling = rolling.withColumn("split", (F.col("repeat") - 1 + repeats).cast("int")).drop("repeat")
+    return random.unionByName(rolling).withColumn("seed", F.pmod(F.col("split"), F.lit(repeats)))
+
+
 def repeated(df: DataFrame, label: str, learners: Mapping[str, Learner], repeats: int = 5, late: bool = True) -> DataFrame:
     """Random and rolling time splits, each repeated: mean and SD of the metrics per scheme and model."""
+    names = ["auc", "sensitivity", "specificity", "f1"]
+    if together(*learners.values()):
+        out = compare_on_splits(materialize(repeated_splits(df, label, repeats)), label, learners, 2 * repeats, late)
+        return metrics.mean_sd(out.withColumn("scheme", F.when(F.col("split") < repeats, "random").otherwise("time")), ["scheme", "model"], names)
     rows = []
     rolling = splits.split_rolling(df)
     for k in range(repeats):
@@ -77,7 +129,7 @@ def repeated(df: DataFrame, label: str, learners: Mapping[str, Learner], repeats
                               ("time", rolling.where(F.col("repeat") == k + 1).drop("repeat"))):
             part = compare_on_split(split, label, seeded, late)
             rows.append(part.withColumns({"scheme": F.lit(scheme), "repeat": F.lit(k + 1)}))
-    return metrics.mean_sd(union(rows), ["scheme", "model"], ["auc", "sensitivity", "specificity", "f1"])
+    return metrics.mean_sd(union(rows), ["scheme", "model"], names)
 
 
 def gap_to_best_rule(split: DataFrame, label: str, learner: Learner, late: bool = True, reps: int = 2000) -> DataFrame:
@@ -86,7 +138,7 @@ def gap_to_best_rule(split: DataFrame, label: str, learner: Learner, late: bool
     cols = rule_columns(late, "remaining_n" in test.columns)
     best = rules.best_rule(rules.rule_scores(train, train, late), cols, label).first()["rule"]
     s = fit_and_score(learner, train, rules.rule_scores(train, test, late), label)
-    out = resample.paired_bootstrap(s.withColumn("rule_score", F.col(best).cast("double")), "rule_score", "score", label, "sprint_id", reps)
+    out = resample.paired_bootstrap(s.withColumn("rule_score", F.col(best).cast("double")), "rule_score", "score", label, reps)
     return out.withColumn("rule", F.lit(best))
 
 
@@ -95,12 +147,14 @@ def in_sprint(frame: DataFrame, label: str, planning: Sequence[str], progress: S
 
     ``frame`` carries the fixed split side and ``open_at_checkpoint``.
     """
-    rows = []
-    for c in checkpoints:
-        at = frame.where((F.col("checkpoint") == float(c)) & F.col("open_at_checkpoint") & F.col("side").isNotNull())
-        learners = {"planning": Learner(kind, list(planning), settings=settings or {}), "progress": Learner(kind, [*planning, *progress], settings=settings or {})}
-        rows.append(compare_on_split(at, label, learners, late).withColumn("checkpoint", F.lit(float(c))))
-    return union(rows)
+    learners = {"planning": Learner(kind, list(planning), settings=settings or {}), "progress": Learner(kind, [*planning, *progress], settings=settings or {})}
+    points = [float(c) for c in checkpoints]
+    there = frame.where(F.col("checkpoint").isin(points) & F.col("open_at_checkpoint") & F.col("side").isNotNull())
+    if together(*learners.values()):
+        at = F.array_position(F.array(*[F.lit(c) for c in points]), F.col("checkpoint").cast("double"))
+        out = compare_on_splits(there.withColumn("split", (at - 1).cast("int")), label, learners, len(points), late)
+        return out.withColumn("checkpoint", F.element_at(F.array(*[F.lit(c) for c in points]), F.col("split") + 1)).drop("split")
+    return union([compare_on_split(there.where(F.col("checkpoint") == c), label, learners, late).withColumn("checkpoint", F.lit(c)) for c in points])
 
 
 def group_out(df: DataFrame, label: str, learner: Learner, group: str = "project") -> DataFrame:
@@ -144,11 +198,20 @@ def time_valid_refit(split: DataFrame, label: str, learner: Learner, min_rows: i
     quarters = splits.quarters_to_score(test)
     counts = train.agg(*[a for i, q in enumerate(quarters) for a in (
         F.count_if(F.col("known_") < F.lit(q)).alias(f"n{i}"), F.count_if((F.col("known_") < F.lit(q)) & (F.col(label) == 1)).alias(f"p{i}"))]).first()
+    kept = [i for i in range(len(quarters)) if counts[f"n{i}"] >= min_rows and counts[f"p{i}"] not in (0, counts[f"n{i}"])]
+    if together(learner) and kept:
+        # A fit per quarter over rows known before it, all in one job.
+        ends = F.array(*[F.lit(quarters[i]) for i in kept])
+        place = F.array_position(ends, F.date_trunc("quarter", "start_date"))
+        knew = F.filter(F.array(*[F.lit(j) for j in range(len(kept))]), lambda j: F.col("known_") < F.element_at(ends, j + 1))
+        none = F.array().cast("array<int>")
+        rows = train.withColumns({"train_in": knew, "score_in": none}).unionByName(
+            test.withColumns({"train_in": none, "score_in": F.when(place > 0, F.array((place - 1).cast("int"))).otherwise(none)}))
+        models = fit_many(rows, [learner.numeric] * len(kept), label, learner.group)
+        return models.score(rows).withColumn("quarter", F.element_at(ends, F.col("fit") + 1)).drop("fit")
     rows = []
-    for i, q in enumerate(quarters):
-        n, p = counts[f"n{i}"], counts[f"p{i}"]
-        if n < min_rows or p in (0, n):
-            continue
+    for i in kept:
+        q = quarters[i]
         part = fit_and_score(learner, train.where(F.col("known_") < F.lit(q)), test.where(F.date_trunc("quarter", "start_date") == F.lit(q)), label)
         rows.append(part.withColumn("quarter", F.lit(q)))
     return union(rows)

@@ -172,31 +172,49 @@ def mean_sd(spark, d):
 
 
 # ------------------------------------------------------------------ resampling
-def boot_sql(frm, key, keep, strata=None, reps=REPS, seed="'42'"):
-    """Resampled rows: draw i of replicate r (in stratum g) is row h % n + 1 of that stratum."""
-    part = f"PARTITION BY {strata}" if strata else ""
+TREE_LEVELS = 11  # of the splitting trees written out in SQL: 2,048 cells
+
+
+def boot_sql(frm, keep, strata=None, reps=REPS, seed="'42'"):
+    """Resampled rows ``bs``: multinomial counts per distinct row, split down a binary tree by binomial numbers.
+
+    A binomial number is the first, from the mode outwards, at which the summed probabilities pass the md5 of seed, stratum,
+    level, replicate and node.
+    """
     g = f"{strata}, " if strata else ""
-    parts = [seed, "r", *( [f"{strata}::VARCHAR"] if strata else []), "rn"]
-    join = f"USING ({g}rn)"
-    return f""", rw AS (SELECT {key}, {g}{keep}, row_number() OVER ({part} ORDER BY {key}) AS rn, count(*) OVER ({part}) AS n FROM {frm}),
-dw AS (SELECT r, {g}{draw('n', *parts)}+1 AS rn FROM rw, range({reps}) t(r)), bs AS (SELECT r, {g}{keep} FROM dw JOIN (SELECT {g}{keep}, rn FROM rw) {join})
-"""
+    part = f"PARTITION BY {strata}" if strata else ""
+    on = f"USING ({strata})" if strata else "ON TRUE"
+    key = "||chr(124)||".join([seed, *([f"{strata}::VARCHAR"] if strata else []), "'0'", "r", "lo", "hi"])
+    out = [f"""cl AS MATERIALIZED (SELECT *, row_number() OVER ({part} ORDER BY {', '.join(c.strip() + ' NULLS FIRST' for c in keep.split(','))}) - 1 AS i FROM (SELECT {g}{keep}, count(*) AS w FROM {frm} GROUP BY ALL))""",
+           f"ar AS MATERIALIZED (SELECT {g}list(cw ORDER BY i) AS a, count(*) AS c, CAST(sum(w) AS BIGINT) AS nn FROM (SELECT *, CAST(sum(w) OVER ({part} ORDER BY i) AS BIGINT) AS cw FROM cl) {'GROUP BY ' + strata if strata else ''})",
+           f"b0 AS (SELECT r, {g}CAST(0 AS BIGINT) AS lo, c AS hi, nn AS n FROM ar, range({reps}) t(r))"]
+    w = lambda lo, hi: f"(a[{hi}] - CASE WHEN {lo}=0 THEN 0 ELSE a[{lo}] END)"
+    for k in range(TREE_LEVELS):
+        out += [
+            f"x{k} AS (SELECT r, {g}lo, hi, n, mid, p, least(floor((n+1)*p), n)::BIGINT AS m, u, ceil(10*sqrt(n*p*(1-p)))::BIGINT+10 AS reach FROM (SELECT b.*, (lo+hi)//2 AS mid, {w('lo', '(lo+hi)//2')}::DOUBLE/{w('lo', 'hi')} AS p, ('0x'||substr(md5({key}),1,15))::BIGINT/1152921504606846976.0::DOUBLE AS u FROM b{k} b JOIN ar {on} WHERE hi-lo>1))",
+            f"y{k} AS (SELECT *, abs(k-m)*2+(k<m)::INT AS o, sum(exp(lgamma(n+1.0::DOUBLE)-lgamma(k+1.0::DOUBLE)-lgamma(n-k+1.0::DOUBLE)+k*ln(p)+(n-k)*ln(1-p))) OVER (PARTITION BY r, {g}lo ORDER BY abs(k-m)*2+(k<m)::INT) AS cum FROM (SELECT *, unnest(range(greatest(m-reach,0), least(m+reach,n)+1)) AS k FROM x{k}))",
+            f"z{k} AS MATERIALIZED (SELECT r, {g}lo, any_value(hi) AS hi, any_value(mid) AS mid, any_value(n) AS n, coalesce(arg_min(k, o) FILTER (cum>u), arg_max(k, o)) AS l FROM y{k} GROUP BY r, {g}lo)",
+            f"b{k + 1} AS (SELECT r, {g}lo, hi, n FROM b{k} WHERE hi-lo=1 UNION ALL SELECT r, {g}lo, mid, l FROM z{k} WHERE l>0 UNION ALL SELECT r, {g}mid, hi, n-l FROM z{k} WHERE n-l>0)"]
+    join = f"cl.{strata}=b.{strata} AND " if strata else ""
+    out.append(f"bs AS (SELECT r, {('b.' + strata + ', ') if strata else ''}{keep} FROM (SELECT *, unnest(range(n)) AS copy FROM b{TREE_LEVELS}) b JOIN cl ON {join}cl.i=b.lo)")
+    return ", " + ",\n".join(out) + "\n"
 
 
 def ci(v="v"):
     return f"count(*) AS replicates, round(avg({v}),6) AS mean, round(quantile_cont({v},0.025),6) AS lo, round(quantile_cont({v},0.975),6) AS hi"
 
 
-@query("bootstrap_rows", with_("docs") + boot_sql("docs", "doc_id", "p, quality") + f", a AS (SELECT r, {auc('quality','p')} AS v FROM (SELECT *, {mid_rank('p','r')} AS rk FROM bs) GROUP BY 1) SELECT {ci()} FROM a WHERE v IS NOT NULL")
+@query("bootstrap_rows", with_("docs") + boot_sql("docs", "p, quality") + f", a AS (SELECT r, {auc('quality','p')} AS v FROM (SELECT *, {mid_rank('p','r')} AS rk FROM bs) GROUP BY 1) SELECT {ci()} FROM a WHERE v IS NOT NULL")
 def bootstrap_rows(spark, d):
-    return tidy(resample.row_bootstrap_auc(docs(spark, d), "p", "quality", "doc_id", REPS))
+    return tidy(resample.row_bootstrap_auc(docs(spark, d), "p", "quality", REPS))
 
 
-@query("bootstrap_metrics", with_("docs") + boot_sql("docs", "doc_id", "p, call, quality") + f""", a AS (SELECT r, {auc('quality','p')} AS auc, 2*count(*) FILTER (quality=1 AND call=1)/(2*count(*) FILTER (quality=1 AND call=1)+count(*) FILTER (quality<>call))::DOUBLE AS f1,
- count(*) FILTER (quality=1 AND call=1)/nullif(count(*) FILTER (quality=1),0)::DOUBLE AS sensitivity, count(*) FILTER (quality=0 AND call=0)/nullif(count(*) FILTER (quality=0),0)::DOUBLE AS specificity, avg((p-quality)*(p-quality)) AS brier FROM (SELECT *, {mid_rank('p','r')} AS rk FROM bs) GROUP BY 1)
-SELECT metric, {ci('value')} FROM (UNPIVOT a ON auc, f1, sensitivity, specificity, brier INTO NAME metric VALUE value) GROUP BY 1""")
+@query("bootstrap_metrics", with_("docs") + boot_sql("docs", "p, call, quality") + f""", a AS (SELECT r, {auc('quality','p')} AS auc, 2*count(*) FILTER (quality=1 AND call=1)/(2*count(*) FILTER (quality=1 AND call=1)+count(*) FILTER (quality<>call))::DOUBLE AS f1,
+ count(*) FILTER (quality=1 AND call=1)/nullif(count(*) FILTER (quality=1),0)::DOUBLE AS sensitivity, count(*) FILTER (quality=0 AND call=0)/nullif(count(*) FILTER (quality=0),0)::DOUBLE AS specificity, avg((p-quality)*(p-quality)) AS brier FROM (SELECT *, {mid_rank('p','r')} AS rk FROM bs) GROUP BY 1),
+ap AS (SELECT r, sum(pos*tp/(tp+fp))/sum(pos) AS average_precision FROM (SELECT r, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM (SELECT r, p, count(*) FILTER (quality=1)::DOUBLE AS pos, count(*) FILTER (quality=0)::DOUBLE AS neg FROM bs GROUP BY 1,2) WINDOW w AS (PARTITION BY r ORDER BY p DESC)) GROUP BY 1), aa AS (SELECT a.*, average_precision FROM a JOIN ap USING (r))
+SELECT metric, {ci('value')} FROM (UNPIVOT aa ON auc, average_precision, f1, sensitivity, specificity, brier INTO NAME metric VALUE value) GROUP BY 1""")
 def bootstrap_metrics(spark, d):
-    return tidy(resample.row_bootstrap_metrics(docs(spark, d), "p", "call", "quality", "doc_id", REPS))
+    return tidy(resample.row_bootstrap_metrics(docs(spark, d), "p", "call", "quality", REPS))
 
 
 def _sign(obs, rep):
@@ -204,16 +222,16 @@ def _sign(obs, rep):
  round(least(1.0::DOUBLE,2*avg((CASE WHEN o>=0 THEN v<=0 ELSE v>=0 END)::INT)),6) AS p_two_sided FROM {rep}, {obs} WHERE v IS NOT NULL GROUP BY o"""
 
 
-@query("bootstrap_paired", with_("docs") + boot_sql("docs", "doc_id", "p, n_chars, quality") + f""", rep AS (SELECT a.r, b.v-a.v AS v FROM (SELECT r, {auc('quality','p')} AS v FROM (SELECT *, {mid_rank('p','r')} AS rk FROM bs) GROUP BY 1) a JOIN (SELECT r, {auc('quality','n_chars')} AS v FROM (SELECT *, {mid_rank('n_chars','r')} AS rk FROM bs) GROUP BY 1) b USING (r)),
+@query("bootstrap_paired", with_("docs") + boot_sql("docs", "p, n_chars, quality") + f""", rep AS (SELECT a.r, b.v-a.v AS v FROM (SELECT r, {auc('quality','p')} AS v FROM (SELECT *, {mid_rank('p','r')} AS rk FROM bs) GROUP BY 1) a JOIN (SELECT r, {auc('quality','n_chars')} AS v FROM (SELECT *, {mid_rank('n_chars','r')} AS rk FROM bs) GROUP BY 1) b USING (r)),
 ob AS (SELECT (SELECT {auc('quality','n')} FROM (SELECT *, {mid_rank('n_chars')} AS rk FROM docs))-(SELECT {auc('quality','p')} FROM (SELECT *, {mid_rank('p')} AS rk FROM docs)) AS o)
 """ + _sign("ob", "rep"))
 def bootstrap_paired(spark, d):
-    return tidy(resample.paired_bootstrap(docs(spark, d), "p", "n_chars", "quality", "doc_id", REPS))
+    return tidy(resample.paired_bootstrap(docs(spark, d), "p", "n_chars", "quality", REPS))
 
 
-@query("bootstrap_stratified", with_("docs") + boot_sql("docs", "doc_id", "p, quality", "lang") + f", a AS (SELECT r, lang, {auc('quality','p')} AS v FROM (SELECT *, {mid_rank('p','r, lang')} AS rk FROM bs) GROUP BY 1,2), m AS (SELECT r, avg(v) AS v FROM a WHERE v IS NOT NULL GROUP BY 1) SELECT {ci()} FROM m")
+@query("bootstrap_stratified", with_("docs") + boot_sql("docs", "p, quality", "lang") + f", a AS (SELECT r, lang, {auc('quality','p')} AS v FROM (SELECT *, {mid_rank('p','r, lang')} AS rk FROM bs) GROUP BY 1,2), m AS (SELECT r, avg(v) AS v FROM a WHERE v IS NOT NULL GROUP BY 1) SELECT {ci()} FROM m")
 def bootstrap_stratified(spark, d):
-    return tidy(resample.within_group_bootstrap(docs(spark, d), "lang", "p", "quality", "doc_id", REPS))
+    return tidy(resample.within_group_bootstrap(docs(spark, d), "lang", "p", "quality", REPS))
 
 
 _CL = """, g AS (SELECT project, row_number() OVER (ORDER BY project) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT project FROM scored)),
@@ -263,9 +281,9 @@ def jackknife_f1(spark, d):
     return tidy(resample.jackknife_f1_difference(tk.scored(spark, d), "project", "label_delay", "pred", "pred_b"))
 
 
-@query("roc_bootstrap_band", with_("docs") + boot_sql("docs", "doc_id", "p, quality") + grid_sql("bs", "r", "p", "quality") + "SELECT step, fpr, round(avg(tpr),6) AS tpr_mean, round(quantile_cont(tpr,0.025),6) AS tpr_lo, round(quantile_cont(tpr,0.975),6) AS tpr_hi FROM grid GROUP BY 1,2")
+@query("roc_bootstrap_band", with_("docs") + boot_sql("docs", "p, quality") + grid_sql("bs", "r", "p", "quality") + "SELECT step, fpr, round(avg(tpr),6) AS tpr_mean, round(quantile_cont(tpr,0.025),6) AS tpr_lo, round(quantile_cont(tpr,0.975),6) AS tpr_hi FROM grid GROUP BY 1,2")
 def roc_bootstrap_band(spark, d):
-    return tidy(resample.roc_bootstrap_band(docs(spark, d), "p", "quality", "doc_id", REPS))
+    return tidy(resample.roc_bootstrap_band(docs(spark, d), "p", "quality", REPS))
 
 
 # ------------------------------------------------------------------ agreement
@@ -384,9 +402,9 @@ def winning_band(spark, d):
 
 
 @query("cost_bootstrap", with_("study") + _W + """, cw AS (SELECT a.sprint_id, a.project, a.late, a.weight, a.w0 AS m0, a.w5 AS m5, b.w0 AS g0, b.w5 AS g5 FROM w a JOIN w b ON a.sprint_id=b.sprint_id AND a.arm='M' AND b.arm='G')
-""" + boot_sql("cw", "sprint_id", "late, weight, m0, m5, g0, g5", "project", 20, "'2027'") + f", x AS (SELECT r, ratio, sum(weight*{_COST('ratio','0.5::DOUBLE','0.25::DOUBLE').replace('w0','m0').replace('w5','m5')})/sum(weight)-sum(weight*{_COST('ratio','0.5::DOUBLE','0.25::DOUBLE').replace('w0','g0').replace('w5','g5')})/sum(weight) AS v FROM bs, (VALUES (0.02::DOUBLE),(0.05),(0.1),(0.2),(0.3),(0.5)) q(ratio) GROUP BY 1,2) SELECT ratio, {ci()} FROM x GROUP BY 1")
+""" + boot_sql("cw", "late, weight, m0, m5, g0, g5", "project", REPS, "'2027'") + f", x AS (SELECT r, ratio, sum(weight*{_COST('ratio','0.5::DOUBLE','0.25::DOUBLE').replace('w0','m0').replace('w5','m5')})/sum(weight)-sum(weight*{_COST('ratio','0.5::DOUBLE','0.25::DOUBLE').replace('w0','g0').replace('w5','g5')})/sum(weight) AS v FROM bs, (VALUES (0.02::DOUBLE),(0.05),(0.1),(0.2),(0.3),(0.5)) q(ratio) GROUP BY 1,2) SELECT ratio, {ci()} FROM x GROUP BY 1")
 def cost_bootstrap(spark, d):
-    return tidy(cost.cost_bootstrap(calls(spark, d, fixed=False), "sprint_id", "project", 20))
+    return tidy(cost.cost_bootstrap(calls(spark, d, fixed=False), "sprint_id", "project", REPS))
 
 
 @query("optimal_thresholds", with_("study") + f""", t AS (SELECT a.sprint_id, a.late, a.m_score AS s0, b.m_score AS s5 FROM study a JOIN study b ON a.sprint_id=b.sprint_id AND a.checkpoint=0 AND b.checkpoint=0.5),

@@ -13,9 +13,9 @@ from tidemark.session import materialize
 
 
 def tables(spark, d):
-    """Boxes, items and change log; the derived item and change tables are written once."""
-    i = materialize(tk.items(spark, d))
-    return tk.closed_boxes(spark, d), i, materialize(tk.changes(i))
+    """Boxes, items and change log."""
+    i = tk.items(spark, d)
+    return tk.closed_boxes(spark, d), i, tk.changes(i)
 
 
 @query("state_asof", """

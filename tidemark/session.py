@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,26 @@ def local_session(cpus: int | str = 8, memory: str = "16g", name: str = "tidemar
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that do not share the driver's path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    made = tempfile.mkdtemp(prefix="tidemark-code-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    with zipfile.ZipFile(f"{made}/tidemark_package.zip", "w") as z:
+        for d, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(root)))
+    sc.addPyFile(f"{made}/tidemark_package.zip")
+    _shipped.add(sc.applicationId)
+
+
 _local_dirs: dict[str, str] = {}  # application id -> temporary folder of a local session
 
 
@@ -51,6 +73,14 @@ def utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared store, removed when the application ends."""
+    path = f"{shared_dir(spark)}/tidemark-{kind}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: one pass, no lineage, columns prunable.
 
