@@ -1,11 +1,12 @@
-"""Benchmark decontamination by latent semantic retrieval and word-order checks.
+"""Benchmark decontamination by exact TF-IDF retrieval and word-order checks.
 
 Documents are cut into passages of PASSAGE words, half overlapping. A passage is a TF-IDF vector over the words of the
-benchmark, with document frequencies counted over all passages. A randomised SVD runs on Spark: every task multiplies its
-passages with a random matrix and sends back its share of A'A times that matrix, a row per benchmark word. The basis
-joins the span of the items with the leading directions of what is left of the corpus. The items lie in the basis as a
-whole, so that the cosine of a passage with an item is never under-estimated by leaving directions out. Texts are
-split once, into a table of the numbers of their benchmark words, which all passes read.
+benchmark, with document frequencies counted over all passages. Texts are split once, into a table of the numbers of
+their benchmark words, which both passes read.
+
+The space is that of the words themselves, not a reduced one. A randomised SVD of the passages was tried and given up, since
+leading directions of a corpus say little about which item a passage holds: figures are in the README. In the whole
+space a cosine is exact, and an inverted index finds all pairs over the threshold.
 
 An item longer than a passage is searched by its pieces of PASSAGE words, the last one shifted back to be whole; a hit on any
 piece makes the item a candidate. A passage hits a piece by its cosine, or by COVER: the share of the piece's squared weights
@@ -13,23 +14,24 @@ that the passage has too, whatever else is in it, since the cosine of a copy of
 
 Passages need not meet all items. The most frequent words are set aside as long as they alone cannot bring any item to
 the threshold; a pair over it then shares another word, which an index of the items lists. Pairs from the index
-whose shared words and an upper bound for the rest stay under the threshold are skipped, the others are projected.
+whose shared words and an upper bound for the rest stay under the threshold are skipped, the others are worked out.
 
 A candidate is checked on the words around the passage: the longest common subsequence with the whole item, as a share of
 the item's words (pieces between white space, in lower case, without signs at their ends). From SAME on it is a leak; from PARAPHRASE on it is one if the answer (the item's last sentence) is
 there too, by ANSWER of its words in order.
 
-Benchmarks of more than BLOCK pieces are worked off in blocks of about that size, so that what is sent to the tasks is bounded
-by BLOCK and the longest item.
+Benchmarks of more than BLOCK pieces are worked off in blocks of about that size, read from the table one after the other, so
+that what the driver holds and sends to the tasks is bounded by BLOCK and the longest item. A block costs two passes.
 
 Defined cases: null or empty texts leak nothing; items without words are ignored; rows that repeat are judged alike, each
-on its own; an empty benchmark finds nothing. Items that repeat each report. Other columns pass through.
+on its own; an empty benchmark finds nothing. Items that repeat each report. Other columns pass through, whatever their
+names. An empty table of documents gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,13 +41,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, fixed, known_id, ship
+from tidemark.llm.common import Ids, by_bytes, fixed, forget, free_names, ship
 from tidemark.llm.shingles import plain
 
 PASSAGE = 64
 HALF = PASSAGE // 2
-BLOCK = 256  # pieces of items in one latent space
-EXTRA = 48  # directions of the corpus beside those of the items
+BLOCK = 8192  # pieces of items that are searched at a time
 COSINE = 0.35
 COVER = 0.35
 SAME = 0.8
@@ -144,18 +145,16 @@ def passages(term: np.ndarray, n: np.ndarray, vocabulary: int, overlap: bool) ->
 
 def coded_words(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFrame:
     """A row per row of ``docs`` with words: ``i``, ``r`` (id and text hash) and ``w``, its words' terms, compressed."""
-    own = docs.select(F.col(text).alias("t"), known_id(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r")).where(F.length("t") > 0)
+    own = docs.select(F.col(text).alias("t"), Ids(docs, doc_id).inner(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r")).where(F.length("t") > 0)
     kind = items.kind
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                term, n = items.codes(part.column(0))
-                end = np.cumsum(n)
-                raw = term.astype(kind)
-                yield pa.RecordBatch.from_pydict({"i": part.column(1), "r": part.column(2), "w": [press.compress(raw[x:y].tobytes()) for x, y in zip(end - n, end)]})
+        for part in by_bytes(batches, "t"):
+            term, n = items.codes(part.column(0))
+            end = np.cumsum(n)
+            raw = term.astype(kind)
+            yield pa.RecordBatch.from_pydict({"i": part.column(1), "r": part.column(2), "w": [press.compress(raw[x:y].tobytes()) for x, y in zip(end - n, end)]})
 
     return own.mapInArrow(code, "i long, r long, w binary")
 
@@ -163,7 +162,7 @@ def coded_words(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFr
 def _coded(batches: Iterator[pa.RecordBatch], kind: np.dtype, rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, terms of all their words, words per row)."""
     grow = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in by_bytes(batches, "w", most=256 << 10):
         for lo in range(0, b.num_rows, rows):
             part = b.slice(lo, rows)
             words = [np.frombuffer(grow.decompress(x), kind) for x in part.column("w").to_pylist()]
@@ -194,58 +193,17 @@ def weights(count: np.ndarray, term: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (1 + np.log(count)) * idf[term]
 
 
-def _times(row: np.ndarray, term: np.ndarray, val: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have terms, and sparse times dense for them."""
-    first = np.flatnonzero(np.diff(row, prepend=-1))
-    return row[first], np.add.reduceat(m[term] * val[:, None], first, axis=0)
-
-
-def corpus_sketch(coded: DataFrame, items: Items, idf: np.ndarray, columns: int = EXTRA) -> np.ndarray:
-    """A'A R for the passages A of the whole corpus and a random matrix R; a row per term."""
-    size, kind = len(items.terms), items.kind
-    start = np.random.default_rng(7).standard_normal((size, columns)).astype(np.float32)
-
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, columns))
-        for _, words, n in _coded(batches, kind):
-            row, term, count, _, _ = passages(words, n, size, overlap=False)
-            if not len(row):
-                continue
-            val = weights(count, term, idf).astype(np.float32)
-            which, y = _times(row, term, val, start)
-            y = y[np.searchsorted(which, row)]
-            order = np.argsort(term, kind="stable")
-            k, part = _times(term[order], np.arange(len(order)), np.ones(len(order), np.float32), (y * val[:, None])[order])
-            total[k] += part
-        used = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_pydict({"k": used, **{f"c{j}": total[used, j] for j in range(columns)}})
-
-    names = [f"c{j}" for j in range(columns)]
-    parts = coded.mapInArrow(share, "k long, " + ", ".join(f"{c} double" for c in names))
-    got = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-    out = np.zeros((size, columns))
-    out[got["k"].to_numpy(int)] = got[names].to_numpy()
-    return out
-
-
-def item_vectors(items: Items, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors, a row per piece of the items, and their lengths before."""
-    pieces = items.pieces
-    out = np.zeros((len(pieces), len(idf)))
-    for k, (_, w) in enumerate(pieces):
-        term, count = np.unique(w, return_counts=True)
-        out[k, term] = weights(count, term, idf)
-    length = np.linalg.norm(out, axis=1)
-    return out / length[:, None], length
-
-
-def latent_basis(items: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Orthonormal columns: the span of the items, then the leading left singular vectors of the rest of the sketch."""
-    u, s, _ = np.linalg.svd(items.T, full_matrices=False)
-    span = u[:, s > 1e-9 * s[0]]
-    rest = sketch - span @ (span.T @ sketch)
-    u, s, _ = np.linalg.svd(rest, full_matrices=False)
-    return np.hstack([span, u[:, s > 1e-9 * max(s[0], 1e-300)]])
+def item_vectors(items: Items, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of unit vectors of the items' pieces (piece, term, weight), by piece and term, and the lengths before."""
+    piece, term, weight = [], [], []
+    for k, (_, w) in enumerate(items.pieces):
+        t, count = np.unique(w, return_counts=True)
+        piece.append(np.full(len(t), k))
+        term.append(t)
+        weight.append(weights(count, t, idf))
+    piece, term, weight = map(np.concatenate, (piece, term, weight))
+    length = np.sqrt(np.bincount(piece, weight * weight))
+    return piece, term, weight / length[piece], length
 
 
 def common_subsequence(a: Sequence[int], b: Sequence[int]) -> int:
@@ -266,24 +224,31 @@ def common_subsequence(a: Sequence[int], b: Sequence[int]) -> int:
 class Search:
     """What a task needs to find the leaks of a block of items."""
 
-    def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray):
-        self.items, self.idf, self.basis = items, idf, basis.astype(np.float32)
-        vectors, self.length = item_vectors(items, idf)
+    def __init__(self, items: Items, idf: np.ndarray):
+        self.items, self.idf = items, idf
+        piece, term, weight, self.length = item_vectors(items, idf)
+        many = len(self.length)
         self.owner = np.array([k for k, _ in items.pieces])
-        self.latent = (vectors @ basis).astype(np.float32)
+        self.key, self.value = piece * len(idf) + term, weight  # entries by piece and term
         # Frequent words first; those are common that together stay under the threshold with every item.
         order = np.argsort(idf, kind="stable")
-        reach = np.sqrt(np.cumsum(vectors[:, order] ** 2, axis=1).max(0))
-        self.common = np.zeros(len(idf), bool)
-        self.common[order[: np.searchsorted(reach, 0.95 * COSINE)]] = True
-        self.rest = np.sqrt((vectors[:, self.common] ** 2).sum(1))  # of each piece, in common words
-        indexed = np.where(self.common, 0, vectors)
-        term, item = np.nonzero(indexed.T)
-        self.entry = np.searchsorted(term, np.arange(len(idf) + 1))  # pieces of term t: entry[t] to entry[t + 1]
-        self.item, self.weight = item, indexed[item, term]
+        rank = np.empty(len(idf), np.int64)
+        rank[order] = np.arange(len(idf))
+        reach = lambda m: np.sqrt(np.bincount(piece, np.where(rank[term] < m, weight * weight, 0.0), many).max())
+        lo, hi = 0, len(idf)
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if reach(mid) < 0.95 * COSINE else (lo, mid - 1)
+        self.common = rank < lo
+        usual = self.common[term]
+        self.rest = np.sqrt(np.bincount(piece[usual], weight[usual] ** 2, many))  # of each piece, in common words
+        at = np.flatnonzero(~usual)
+        at = at[np.argsort(term[at], kind="stable")]
+        self.entry = np.searchsorted(term[at], np.arange(len(idf) + 1))  # pieces of term t: entry[t] to entry[t + 1]
+        self.item, self.weight = piece[at], weight[at]
 
     def candidates(self, term: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(document, first word, item, best cosine) of the passages near a piece of an item in the latent space, or that cover one."""
+        """(document, first word, item, best cosine) of the passages near a piece of an item, or that cover one."""
         row, t, count, owner, first = passages(term, n, len(self.idf), overlap=True)
         val = weights(count, t, self.idf)
         norm = np.sqrt(np.bincount(row, val * val, len(owner)))
@@ -298,14 +263,17 @@ class Search:
         both = np.minimum(np.repeat(val[k], size) / self.length[self.item[at]], self.weight[at])
         covers = np.bincount(back, both * self.weight[at], len(pair)) + self.rest[item] ** 2 >= COVER
         near = covers | (shared + common[p] * self.rest[item] >= COSINE * norm[p])
-        p, item, covers = p[near], item[near], covers[near]
+        p, item, covers, shared = p[near], item[near], covers[near], shared[near]
         if not len(p):
             return
-        keep = np.zeros(len(owner), bool)
-        keep[p] = True
-        keep = keep[row]
-        which, z = _times(row[keep], t[keep], val[keep].astype(np.float32), self.basis)
-        cosine = np.einsum("ij,ij->i", z[np.searchsorted(which, p)], self.latent[item]) / norm[p]
+        # The common words of the passage add the rest of the cosine.
+        low, r = np.flatnonzero(usual), row[usual]
+        begin, size = np.searchsorted(r, p), np.searchsorted(r, p, "right") - np.searchsorted(r, p)
+        of = np.repeat(np.arange(len(p)), size)
+        at = low[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        want = item[of] * len(self.idf) + t[at]
+        found = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        cosine = (shared + np.bincount(of, np.where(self.key[found] == want, self.value[found], 0.0) * val[at], len(p))) / norm[p]
         hit = covers | (cosine >= COSINE)
         pair, back = np.unique(p[hit] * len(self.items.ids) + self.owner[item[hit]], return_inverse=True)
         best = np.full(len(pair), -np.inf)
@@ -332,11 +300,10 @@ class Search:
 
 def fit(coded: DataFrame, items: Items) -> Search:
     df, total = term_frequencies(coded, items)
-    idf = np.log((1 + total) / (1 + df)) + 0.1
-    return Search(items, idf, latent_basis(item_vectors(items, idf)[0], corpus_sketch(coded, items, idf)))
+    return Search(items, np.log((1 + total) / (1 + df)) + 0.1)
 
 
-def blocks(rows: Sequence[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+def blocks(rows: Iterable[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most BLOCK pieces; an item of more is a block of its own."""
     block, size = [], 0
     for row in rows:
@@ -354,9 +321,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """A row per row of ``docs`` and item that it leaks: ``i``, ``r`` (id and text hash), item_id, cosine, lcs, answer, word."""
     spark = docs.sparkSession
     ship(spark)
-    rows = [(r.item_id, r.text) for r in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator()]
+    known = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     out = spark.createDataFrame([], LEAK)
-    for block in blocks(rows):
+    for block in blocks((r.item_id, r.text) for r in known.orderBy("item_id", "text").toLocalIterator()):
         items = Items.of(block)
         if not items.ids:
             continue
@@ -370,18 +337,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                     at = np.array([doc for doc, _ in found])
                     yield pa.RecordBatch.from_pydict({"i": part.column("i").to_numpy()[at], "r": part.column("r").to_numpy()[at], **{k: [x[k] for _, x in found] for k in found[0][1]}})
 
-        out = out.unionAll(coded.mapInArrow(find, LEAK))
+        out = out.unionAll(fixed(coded.mapInArrow(find, LEAK)))
+        forget(coded)
     return out
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and leaked item: doc_id, item_id, cosine, lcs, answer, word."""
     found = find_leaks(docs, benchmark)
-    return found.select(F.when(F.col("i") != LAST_ID, F.col("i")).alias("doc_id"), "item_id", "cosine", "lcs", "answer", "word")
+    return found.select(Ids(docs, "doc_id").outer("i").alias("doc_id"), "item_id", "cosine", "lcs", "answer", "word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that leak no item."""
-    gone = find_leaks(docs, benchmark, doc_id, text).select(F.col("i").alias("__i"), F.col("r").alias("__r")).distinct()
-    own = docs.withColumns({"__k": known_id(doc_id), "__t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    return own.join(gone, (F.col("__k") == F.col("__i")) & (F.col("__t") == F.col("__r")), "left_anti").drop("__k", "__t")
+    key, row, i, r = free_names(docs, "key", "row", "leak_key", "leak_row")
+    gone = find_leaks(docs, benchmark, doc_id, text).select(F.col("i").alias(i), F.col("r").alias(r)).distinct()
+    own = docs.withColumns({key: Ids(docs, doc_id).inner(doc_id), row: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    return own.join(gone, (F.col(key) == F.col(i)) & (F.col(row) == F.col(r)), "left_anti").drop(key, row)
