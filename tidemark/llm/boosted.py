@@ -144,5 +144,10 @@ def classify(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, doc_id:
     return out.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
 
+def accept(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with a score of at least ``cutoff``, with their own columns alone, whatever their names."""
+    return docs.where(quality_score(F.col(text), train(docs, labels, doc_id, text)) >= cutoff)
+
+
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, ascii_lower, fixed, known_id
+from tidemark.llm.common import SPACE, Ids, ascii_lower, fixed, free_names
 
 HOT_KEYS = 1000  # entries of the sketch, and so the bound of the broadcast table
 HOT_TRACKED = 10_000
@@ -37,13 +37,14 @@ def _row_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, ids: Ids | None = None) -> DataFrame:
     """One row per (id, row hash) that loses lines: ``words``, the non-empty 64-bit words of its drop bitmap by number.
 
     A bit that is set (or a word that is missing: none is) marks a line to drop, so the keep bitmap is the complement;
     words without a dropped line are left out, which is the compression.
     """
-    lines = docs.select(known_id(doc_id).alias("i"), _row_key(text).alias("r"), F.posexplode(split_lines(F.col(text))).alias("p", "line"))
+    ids = ids or Ids(docs, doc_id)
+    lines = docs.select(ids.inner(doc_id).alias("i"), _row_key(text).alias("r"), F.posexplode(split_lines(F.col(text))).alias("p", "line"))
     lines = lines.select("i", "r", "p", line_key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
     lines = fixed(lines.select("i", "r", "p", F.xxhash64("k").alias("h"), F.hash("k").alias("g")))
     sketch = lines.agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {HOT_TRACKED})").alias("t")).select(F.explode("t").alias("t"))
@@ -64,18 +65,21 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     A line's key is the line stripped of white space at both ends, A-Z lower-cased. Keys of at least ``min_chars`` code
     points that two or more documents hold lose all their lines but those of the smallest id.
     """
-    maps = keep_bitmaps(docs, doc_id, text, min_chars).withColumnsRenamed({"i": "__i", "r": "__r", "words": "__words"})
-    keyed = docs.withColumns({"__k": known_id(doc_id), "__t": _row_key(text)})
-    both = keyed.join(maps, (F.col("__k") == F.col("__i")) & (F.col("__t") == F.col("__r")), "left")
+    base = docs.drop("n_lines", "n_dropped", "kept_text")
+    ids = Ids(docs, doc_id)
+    k, t, i, r, words = free_names(base, "key", "row", "own_key", "own_row", "words")
+    maps = keep_bitmaps(docs, doc_id, text, min_chars, ids).withColumnsRenamed({"i": i, "r": r}).withColumnRenamed("words", words)
+    keyed = base.withColumns({k: ids.inner(doc_id), t: _row_key(text)})
+    both = keyed.join(maps, (F.col(k) == F.col(i)) & (F.col(t) == F.col(r)), "left")
     lines = split_lines(F.col(text))
-    kept = F.filter(lines, lambda x, n: F.coalesce(F.getbit(F.element_at("__words", F.floor(n / _WORD).cast("int")), F.pmod(n, F.lit(_WORD))), F.lit(0)) == 0)
-    n_dropped = F.aggregate(F.map_values("__words"), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x))
+    kept = F.filter(lines, lambda x, n: F.coalesce(F.getbit(F.element_at(words, F.floor(n / _WORD).cast("int")), F.pmod(n, F.lit(_WORD))), F.lit(0)) == 0)
+    n_dropped = F.aggregate(F.map_values(words), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x))
     out = both.withColumns({
         "n_lines": F.size(lines).cast("long"),
         "n_dropped": F.coalesce(n_dropped, F.lit(0).cast("long")),
-        "kept_text": F.when(F.col("__words").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
+        "kept_text": F.when(F.col(words).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
     })
-    return out.drop("__k", "__t", "__i", "__r", "__words")
+    return out.drop(k, t, i, r, words)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

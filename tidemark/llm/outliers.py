@@ -10,12 +10,13 @@ All steps are aggregates with map-side combining over a narrow table of statisti
 fixed-width bin, moments from sums of integers (statistics are multiples of 1/SCALE), so that results do not depend on
 the order of rows, and no task receives a whole group. Per group only a few hundred numbers exist.
 
-Groups of fewer than ``LEAST`` rows are pooled by language, and those pools, if still small, into one. If that is small
+Groups of fewer than ``LEAST`` rows that pass the base rules are pooled by language, and those pools, if still small, into one. If that is small
 too, nothing is rejected by distance. Each scatter has a floor on its diagonal (``FLOOR``), since clean
 documents often share one value (no symbols at all) and any other would be infinitely far.
 
 Defined cases: a null or empty text has no words and so fails the base rules. Null languages and sources are groups of
-their own. Each row is judged on its own, so repeated rows and ids are fine. An empty table gives no rows.
+their own. Each row is judged on its own, so repeated rows and ids are fine. An empty table gives no rows. Other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +34,7 @@ from tidemark.llm.stats import COUNTS, text_counts
 
 DIMS = 5
 SCALE = 256
-HALF = 0.5  # share of the rows that the report's scatter covers
-COVERED = 0.75  # of a scatter with a fixed number of steps
-STEPS = 4
+HALF = 0.5  # share of the rows that the scatter covers
 LEAST = 50
 CUTOFF = 60.0
 FLOOR = [0.06, 0.10, 0.10, 0.10, 0.12]  # standard deviations at least
@@ -90,20 +89,20 @@ def _distance(mean: str = "mean", inv: str = "inv") -> Column:
 
 
 def grouped(stats: DataFrame, lang: str = "lang", source: str = "source", least: int = LEAST) -> DataFrame:
-    """Adds ``g``: language and source, or the pool that small groups fall into."""
+    """Adds ``g``: language and source, or the pool that small groups fall into; only rows that pass the base rules count."""
     own = F.to_json(F.struct(F.lit(1).alias("level"), F.col(lang).alias("lang"), F.col(source).alias("source")))
     pool = F.to_json(F.struct(F.lit(2).alias("level"), F.col(lang).alias("lang")))
-    sizes = stats.groupBy(own.alias("__own"), pool.alias("__pool")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = stats.groupBy(own.alias("__own"), pool.alias("__pool")).agg(F.count_if(~F.col("base_failed")).alias("__n"))
     small = F.sum(F.when(F.col("__n") < least, F.col("__n")).otherwise(0)).over(Window.partitionBy("__pool"))
     g = F.when(F.col("__n") >= least, F.col("__own")).when(small >= least, F.col("__pool")).otherwise("rest")
     names = sizes.select("__own", g.alias("g"))
     return stats.withColumn("__own", own).join(names, "__own").drop("__own")
 
 
-def scatter(rows: DataFrame, steps: int | None = STEPS, covered: float = COVERED) -> DataFrame:
+def scatter(rows: DataFrame, covered: float = HALF) -> DataFrame:
     """Per group ``g``: ``mean``, ``inv`` (inverse scatter, row by row) and ``unit``, which scales distances so that their median is that of a normal sample.
 
-    Without ``steps`` a group takes steps until its subset's moments are some that it had before; later steps leave it out.
+    A group takes steps until its subset's moments are some that it had before; later steps leave it out.
     """
     xs = [f"x{k}" for k in range(DIMS)]
     each = rows.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(x).alias("v")) for k, x in enumerate(xs)])).alias("e"))
@@ -121,8 +120,8 @@ def scatter(rows: DataFrame, steps: int | None = STEPS, covered: float = COVERED
         far = rows.join(params, "g").withColumn("d2", _distance()).withColumn("b", share)
         return far, _quantiles(far.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")), ["g"], "b", [quantile])
 
-    done, step = [], 0
-    while step != steps:
+    done = []
+    while True:
         far, cut = measured(moving, covered)
         core = far.join(cut, "g").where(F.col("b") <= F.col("q0"))
         sums = core.groupBy("g").agg(
@@ -130,13 +129,11 @@ def scatter(rows: DataFrame, steps: int | None = STEPS, covered: float = COVERED
             F.array(*[F.sum(F.col(xs[a]) * F.col(xs[b])) for a, b in zip(i, j)]).alias("prods")).withColumn("h", F.xxhash64("n", "sums", "prods"))
         new = sums.mapInPandas(_inverse, "g string, mean array<double>, inv array<double>, h long").join(moving.select("g", "seen"), "g")
         moving = fixed(new.select("g", "mean", "inv", F.array_append("seen", F.col("h")).alias("seen"), F.array_contains("seen", F.col("h")).alias("met")))
-        step += 1
-        if steps is None:
-            done.append(moving.where("met"))
-            moving = moving.where("not met")
-            if moving.isEmpty():
-                break
-    params = fixed(reduce(DataFrame.unionAll, [x.select("g", "mean", "inv") for x in [*done, moving]]))
+        done.append(moving.where("met"))
+        moving = moving.where("not met")
+        if moving.isEmpty():
+            break
+    params = fixed(reduce(DataFrame.unionAll, [x.select("g", "mean", "inv") for x in done]))
     _, mid = measured(params, 0.5)
     normal = DIMS * (1 - 2 / (9 * DIMS)) ** 3  # median of chi-square
     unit = F.least(F.lit(1.0), normal / F.pow(F.lit(2.0), (F.col("q0") + 1) / _BIN))
@@ -152,8 +149,8 @@ def outlier_report(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST)
     failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEATED * n)
     own = own.withColumns({"base_failed": failed, **{f"x{k}": x for k, x in enumerate(vector())}})
     rows = fixed(grouped(fixed(own), least=least))
-    fit = scatter(rows.where(~F.col("base_failed")).select("g", *[f"x{k}" for k in range(DIMS)]), None, HALF)
-    enough = rows.groupBy("g").agg((F.count(F.lit(1)) >= least).alias("judged"))
+    fit = scatter(rows.where(~F.col("base_failed")).select("g", *[f"x{k}" for k in range(DIMS)]))
+    enough = rows.groupBy("g").agg((F.count_if(~F.col("base_failed")) >= least).alias("judged"))
     out = rows.join(fit, "g", "left").join(enough, "g")
     d2 = F.when(F.col("judged"), _distance() * F.col("unit"))
     out = out.withColumn("distance", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = r"[#*$%&|<>]"
 GRAM = 5
+PART = 2_000_000
 
 #: Counted inside Python, then by patterns over the whole batch.
 COUNTS = ["n_chars", "n_words", "word_chars", "n_repeat_words", "n_distinct", "longest_word", "adjacent", "n_lines", "n_dup_lines", "n_symbols", "n_upper", "n_digits", "n_marks", "n_bars"]
@@ -35,8 +36,15 @@ def _repeated(words: list[str]) -> int:
 
 
 def text_counts(texts: pd.Series) -> pd.DataFrame:
-    """A row of COUNTS per text; a null text counts as empty."""
-    texts = texts.fillna("").tolist()
+    """A row of COUNTS per text, worked out some PART characters at a time; a null text counts as empty."""
+    texts = texts.fillna("")
+    size = texts.str.len().to_numpy(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size + 1) // PART, prepend=-1)).tolist()
+    parts = [_counts(texts.iloc[lo:hi].tolist()) for lo, hi in zip(cuts, [*cuts[1:], len(texts)])]
+    return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64), columns=COUNTS)
+
+
+def _counts(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), len(COUNTS)), np.int64)
     for k, t in enumerate(texts):
         words, lines = WORD.findall(t), t.split("\n")
@@ -46,4 +54,4 @@ def text_counts(texts: pd.Series) -> pd.DataFrame:
     column = pa.array(texts, pa.large_string())
     for name, pattern in _PATTERNS.items():
         out[:, COUNTS.index(name)] = pc.count_substring_regex(column, pattern).to_numpy(zero_copy_only=False)
-    return pd.DataFrame(out, columns=COUNTS)
+    return out

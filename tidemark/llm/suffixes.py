@@ -18,7 +18,7 @@ task once from each other task, not once from each document.
 
 Defined cases: a null text is empty. Texts shorter than DEPTH bytes lose nothing. Rows that share an id are one document for
 the comparison, so they do not remove each other's bytes. Rows with a null id come after all others, as one document. An
-empty table gives no rows. Long texts are worked on in pieces of PIECE bytes that overlap by a window.
+empty table gives no rows. Other columns play no part, whatever their names. Long texts are worked on in pieces of PIECE bytes that overlap by a window.
 """
 
 from __future__ import annotations
@@ -33,12 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, fixed, forget, known_id, release, ship
+from tidemark.llm.common import Ids, fixed, forget, release, ship
 from tidemark.llm.shingles import mix64
 
 DEPTH = 50
 GRAM = 24
 PIECE = 1 << 20
+BUCKET_BYTES = 32 << 20  # of texts per bucket of grams
 FLUSH = 2_000_000  # anchors that a task combines before it sends them on
 LARGE = 100_000  # open runs with one gram that a task compares in memory
 MEET_ROWS = 50_000  # runs compared at a time, more only where one gram has more
@@ -419,13 +420,20 @@ def _with_first(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(shared, keys, "left")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def buckets_for(own: DataFrame) -> int:
+    """Buckets of grams: a task holds the grams of one, so their number follows the bytes of the texts (a third of which come as grams)."""
+    total = own.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    return max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ids: Ids | None = None) -> DataFrame:
     """A row per (``i``, ``r``: id and text hash) that loses bytes: ``starts`` and ``sizes`` of overlapping runs of removed bytes."""
     ship(docs.sparkSession)
-    own = docs.select(known_id(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r"), F.col(text).alias("t")).where(F.octet_length("t") >= DEPTH)
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = own.mapInArrow(_grams(buckets), "b int, i long, g array<int>, blob binary").repartition("b").sortWithinPartitions("b")
-    pairs = sent.mapInArrow(_answers(buckets), "d int, pairs binary").repartition("d").sortWithinPartitions("d")
+    ids = ids or Ids(docs, doc_id)
+    own = docs.select(ids.inner(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r"), F.col(text).alias("t")).where(F.octet_length("t") >= DEPTH)
+    buckets = buckets_for(own)
+    sent = own.mapInArrow(_grams(buckets), "b int, i long, g array<int>, blob binary").repartition(buckets, "b").sortWithinPartitions("b")
+    pairs = sent.mapInArrow(_answers(buckets), "d int, pairs binary").repartition(buckets, "d").sortWithinPartitions("d")
     lists = fixed(pairs.mapInArrow(_lists, "i long, g array<int>"))
     release(lists)
     runs = own.join(lists, "i").mapInArrow(_runs, "whole boolean, u1 long, u2 int, h long, i long, r long, s long, n int")
@@ -455,8 +463,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept: bool = True) -> DataFrame:
     """A row per row of ``docs``: its id, ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs: start, size), the
     SHA-256 of the remaining bytes and, if ``kept``, those bytes (which need not be valid UTF-8)."""
-    spans = repeated_spans(docs, doc_id, text)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), known_id(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("r", F.xxhash64("t"))
+    ids = Ids(docs, doc_id)
+    spans = repeated_spans(docs, doc_id, text, ids)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), ids.inner(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("r", F.xxhash64("t"))
     both = own.join(spans.withColumnsRenamed({"i": "k2", "r": "r2"}), (F.col("k") == F.col("k2")) & (F.col("r") == F.col("r2")), "left").select("doc_id", "t", "starts", "sizes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,14 @@
 """URL filter: a list of host and path rules, then association rules mined from labelled URLs.
 
 Stated rules go first; the longest that fits wins. For the other URLs, FP-growth finds combinations of URL tokens that
-come with the label "block" often enough (support) and almost only with it (confidence). A rule that contains a more
-general rule of no smaller confidence is pruned. Rules are matched by an inverted index: each rule is filed under its
+come with the label "block" often enough (support) and almost only with it (confidence), of any number of tokens. A rule
+that contains a more general rule of no smaller confidence is pruned. Rules are matched by an inverted index: each rule is filed under its
 rarest token, URLs meet the rules filed under any of their tokens, and the rest of the rule is then checked.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no tokens, and is allowed. Without
 labelled rows, or without rules that pass, everything that no stated rule blocks is allowed. Rows that repeat are judged
-alike, each on its own; null labels do not take part in mining.
+alike, each on its own; null labels do not take part in mining. Columns of the input called like the added ones are
+replaced; all others pass through, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ascii_lower, fixed
+from tidemark.llm.common import ascii_lower, fixed, free_names
 
 BLOCK = "=block"
 MIN_SUPPORT = 0.001  # share of the labelled URLs
 MIN_CONFIDENCE = 0.8
-MAX_RULE = 3  # tokens of a rule
 #: (verdict, host, path): fits the host and its subdomains where the path starts alike.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -59,7 +59,7 @@ def url_tokens(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
-def mine_rules(labelled: DataFrame, tokens: str, block: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rule: int = MAX_RULE) -> DataFrame:
+def mine_rules(labelled: DataFrame, tokens: str, block: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``items`` (sorted tokens), ``confidence``, ``support`` that predict the label, without redundant ones.
 
     The cost of mining follows the distinct token combinations above the support, which is a share of the rows, so that
@@ -72,18 +72,17 @@ def mine_rules(labelled: DataFrame, tokens: str, block: str, min_support: float
     if rows.isEmpty():
         return empty
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    sets = model.freqItemsets.where(F.size("items") <= max_rule + 1)
     n = rows.count()
-    sets = fixed(sets.select(F.array_sort("items").alias("items"), "freq"))
+    sets = fixed(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
     with_block = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("hits"))
     rules = with_block.join(sets, "items").select("items", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / n).alias("support")).where(F.col("confidence") >= min_confidence)
     rules = fixed(rules)
-    # Redundant: a rule with one token less, or a single token, of no smaller confidence. Subsets of at most max_rule tokens.
-    subsets = rules
-    parts = subsets.select("items", "confidence", F.explode("items").alias("one")).select("items", "confidence", F.explode(F.array(F.array("one"), F.array_remove("items", F.col("one")))).alias("sub")).where((F.size("sub") > 0) & (F.size("sub") < F.size("items")))
-    wider = rules.select(F.col("items").alias("sub"), F.col("confidence").alias("c"))
-    redundant = parts.join(wider, "sub").where(F.col("c") >= F.col("confidence")).select("items").distinct()
-    return rules.join(redundant, "items", "left_anti")
+    # Redundant: some rule of fewer tokens, all of them among these, has no smaller confidence. Filed under its first token, as
+    # rules are matched to URLs, each rule meets only those that share a token with it.
+    filed = rules.select(F.element_at("items", 1).alias("token"), F.col("items").alias("sub"), F.col("confidence").alias("c"))
+    each = rules.select("items", "confidence", F.explode("items").alias("token")).join(filed, "token")
+    inside = (F.size("sub") < F.size("items")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("sub", "items")) == 0)
+    return rules.join(each.where(inside).select("items").distinct(), "items", "left_anti")
 
 
 def index_rules(rules: DataFrame, labelled: DataFrame, tokens: str) -> DataFrame:
@@ -95,20 +94,20 @@ def index_rules(rules: DataFrame, labelled: DataFrame, tokens: str) -> DataFrame
 
 def judge(pages: DataFrame, labels: DataFrame, url: str = "url", page_id: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES, **mining) -> DataFrame:
     """The pages with ``host``, ``path``, ``rule`` and ``verdict``; ``labels``: (page_id, block boolean)."""
-    marks = labels.select(F.col(page_id).alias("__id"), F.col("block").alias("__b"))
     own = pages.drop("host", "path", "rule", "verdict")
-    learn = own.select(F.col(page_id).alias("__id"), url_tokens(F.col(url)).alias("__t")).join(marks, "__id")
-    learn = fixed(learn.select("__t", "__b"))
-    found = fixed(index_rules(mine_rules(learn, "__t", "__b", **mining), learn, "__t"))
+    key, mark, toks, u, bad_, hit_ = free_names(own, "key", "mark", "tokens", "distinct_url", "bad", "hit")
+    marks = labels.select(F.col(page_id).alias(key), F.col("block").alias(mark))
+    learn = own.select(F.col(page_id).alias(key), url_tokens(F.col(url)).alias(toks)).join(marks, key)
+    learn = fixed(learn.select(toks, mark))
+    found = fixed(index_rules(mine_rules(learn, toks, mark, **mining), learn, toks))
     # URLs meet the rules filed under their tokens; distinct URLs only, so that repeated ones are judged once.
-    urls = own.select(F.col(url).alias("__u")).where(F.col("__u").isNotNull()).distinct().withColumn("__t", url_tokens(F.col("__u")))
-    bad = urls.select("__u", "__t", F.explode("__t").alias("token")).join(found, "token").where(F.size(F.array_except("items", "__t")) == 0).select(F.col("__u")).distinct()
-    out = own.join(bad.withColumn("__bad", F.lit(True)), F.col(url) == F.col("__u"), "left")
+    urls = own.select(F.col(url).alias(u)).where(F.col(u).isNotNull()).distinct().withColumn(toks, url_tokens(F.col(u)))
+    bad = urls.select(u, toks, F.explode(toks).alias("token")).join(found, "token").where(F.size(F.array_except("items", toks)) == 0).select(u).distinct()
+    out = own.join(bad.withColumn(bad_, F.lit(True)), F.col(url) == F.col(u), "left")
     host, path = url_host(F.col(url)), url_path(F.col(url))
-    hit = rule_hit(F.col("host"), F.col("path"), rules)
-    out = out.withColumns({"host": host, "path": path}).withColumn("__hit", hit)
-    verdict = F.coalesce(F.col("__hit.verdict"), F.when(F.col("__bad"), "block").otherwise("allow"))
-    return out.withColumns({"rule": F.col("__hit.rule"), "verdict": verdict}).drop("__u", "__bad", "__hit")
+    out = out.withColumns({"host": host, "path": path}).withColumn(hit_, rule_hit(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col(f"{hit_}.verdict"), F.when(F.col(bad_), "block").otherwise("allow"))
+    return out.withColumns({"rule": F.col(f"{hit_}.rule"), "verdict": verdict}).drop(u, bad_, hit_)
 
 
 def label_blocks(labels: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ files that no row names.
 
 Defined cases: a null html is the empty payload; a null url leaves the target out. Every row that holds the largest page
 id of its payload is a response (rows may repeat), and so is every row where no row of the payload has an id. Rows with
-a null id revisit the largest id. Payloads of fewer than ``min_bytes`` bytes are always responses.
+a null id revisit the largest id. Payloads of fewer than ``min_bytes`` bytes are always responses. An empty table makes no archive.
+Columns other than page_id, url and html play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def parse(data: bytes) -> dict:
-    """Fields of one record; ``payload`` is None for a revisit."""
+    """Fields of one record; ``payload`` is None for a revisit. The length and digest of a response are those of its body, and raise if the header differs."""
     top, _, rest = data.partition(b"\r\n\r\n")
     lines = top.split(b"\r\n")
     if lines[0] != b"WARC/1.1":
@@ -73,13 +74,16 @@ def parse(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     kind = fields[b"WARC-Type"].decode()
     own, target = _ID.fullmatch(fields[b"WARC-Record-ID"])[1], fields.get(b"WARC-Refers-To")
+    told = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), int(re.search(rb"Content-Length: (\d+)", http)[1])
+    if kind == "response" and told != (found := (digest(payload), len(payload))):
+        raise ValueError(f"record {own.decode()}: the header tells {told}, the body is {found}")
     return {
         "page_id": None if own.startswith(b"none") else int(own),
         "record_type": kind,
         "refers_to": int(_ID.fullmatch(target)[1]) if target else None,
         "url": fields[b"WARC-Target-URI"].decode() if b"WARC-Target-URI" in fields else None,
-        "payload_digest": fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"),
-        "payload_bytes": int(re.search(rb"Content-Length: (\d+)", http)[1]),
+        "payload_digest": told[0],
+        "payload_bytes": told[1],
         "payload": None if kind == "revisit" else payload,
     }
 
@@ -102,7 +106,7 @@ def with_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write a record per row; a row per archive: ``path``, ``n_records``, ``n_bytes``."""
+    """Write a record per row; a row per archive: ``path`` (full address), ``n_records``, ``n_bytes``."""
     spark = pages.sparkSession
     ship(spark)
     chars = SAMPLE_BYTES // SAMPLE_RECORDS
@@ -118,8 +122,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
         for b in batches:
             for page_id, url, payload, refers_to in zip(*[b.column(k).to_pylist() for k in range(4)]):
                 if out is None:
-                    path, n, size = f"{root}/{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = fs.open_output_stream(path)
+                    name, n, size = f"{uuid.uuid4().hex}.warc.zst", 0, 0
+                    path = f"{folder.rstrip('/')}/{name}"  # a full address: readers need its scheme
+                    out = fs.open_output_stream(f"{root}/{name}")
                     if data:
                         out.write(struct.pack("<II", SKIPPABLE, len(sent.value)) + sent.value)
                 frame = press.compress(record(page_id, url, payload, refers_to, date))
@@ -169,7 +174,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows, size = [], 0
-                with filesystem(f"file:{path}" if path.startswith("/") else path)[0].open_input_stream(path) as f:
+                fs, at = filesystem(path)
+                with fs.open_input_stream(at) as f:
                     for data in frames(f):
                         rows.append(parse(data))
                         size += len(data)
