@@ -74,9 +74,14 @@ def test_permutation_of_a_useless_feature_costs_nothing(sides):
     assert abs(drop["flat"]) < 1e-12 and set(drop) == set(cols)
 
 
-@pytest.mark.parametrize("values", [200, 300])
-def test_forest_quantiles_are_exact_for_any_number_of_targets(spark, values):
+@pytest.mark.parametrize("values,fan", [(200, 64), (300, 4), (40, 64)])
+def test_forest_quantiles_are_exact_for_any_number_of_targets(spark, values, fan, monkeypatch):
     import numpy as np
+
+    from tidemark.models import advisor
+
+    monkeypatch.setattr(advisor, "FAN", fan)
+    monkeypatch.setattr(advisor, "TASK_ROWS", 7)
     import pandas as pd
     from pyspark.ml.functions import vector_to_array
 
@@ -96,6 +101,36 @@ def test_forest_quantiles_are_exact_for_any_number_of_targets(spark, values):
         assert r.quantiles == pytest.approx(want[r.x])
 
 
+def test_shapley_over_a_background_in_blocks(sides, monkeypatch):
+    tr, te = sides
+    m = fit_classifier(Learner("logistic", NUM, None), tr, "label_delay")
+    groups = {"first": NUM[:1], "rest": NUM[1:]}
+    few, back = te.orderBy("sprint_id").limit(3), tr.orderBy("sprint_id").limit(11)
+    one = {(r.sprint_id, r.group): r.phi for r in explain.group_shapley(m, few, back, groups, NUM).collect()}
+    monkeypatch.setattr(explain, "BLOCK", 4)
+    cut = {(r.sprint_id, r.group): r.phi for r in explain.group_shapley(m, few, back, groups, NUM).collect()}
+    assert one.keys() == cut.keys() and all(abs(one[k] - cut[k]) < 1e-12 for k in one)
+
+
+def test_linear_attribution_is_the_coalition_sum(spark):
+    from itertools import combinations
+    from math import factorial
+
+    rng = __import__("random").Random(1)
+    cols, beta = ["a", "b", "c", "d"], {"a": 2.0, "b": -1.0, "c": 0.5, "d": 0.0}
+    make = lambda n: [(str(k), *[rng.random() for _ in cols]) for k in range(n)]
+    x, bg = make(4), make(30)
+    schema = "sprint_id string, a double, b double, c double, d double"
+    groups = {"ab": ["a", "b"], "c": ["c"], "d": ["d"]}
+    got = {(r.sprint_id, r.group): r.phi for r in explain.linear_shapley(spark.createDataFrame(x, schema), spark.createDataFrame(bg, schema), beta, groups).collect()}
+    value = lambda row, inside: sum(sum(beta[c] * (row if any(c in groups[g] for g in inside) else b)[1 + k] for k, c in enumerate(cols)) for b in bg) / len(bg)
+    for row in x:
+        for g in groups:
+            others = [h for h in groups if h != g]
+            phi = sum(factorial(n) * factorial(len(others) - n) / factorial(len(groups)) * (value(row, [*s, g]) - value(row, s)) for n in range(len(others) + 1) for s in combinations(others, n))
+            assert abs(got[(row[0], g)] - phi) < 1e-9
+
+
 def test_imputed_medians_are_exact(spark):
     from tidemark.models.learners import exact_medians
 

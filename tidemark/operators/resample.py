@@ -94,6 +94,24 @@ def paired_bootstrap(df: DataFrame, score_a: str, score_b: str, label: str, reps
     return sign_test(diff, seen)
 
 
+def paired_bootstrap_by(df: DataFrame, keys: Sequence[str], score_a: str, score_b: str, label: str, reps: int = 2000, seed: int = 42, slices=None) -> DataFrame:
+    """``paired_bootstrap`` for every group of rows (a checkpoint, an outcome), each resampled on its own, in one job."""
+    pair = lambda d, keep: d.select(
+        *keep, label,
+        F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col(score_a).cast("double").alias("v")),
+                          F.struct(F.lit("b").alias("s"), F.col(score_b).cast("double").alias("v")))).alias("x")
+    ).select(*keep, label, "x.s", "x.v")
+    sample = pair(resample_cells(df, reps, seed, [score_a, score_b, label], keys, slices), ["rep", *keys, "times"])
+    diff = difference(auc_replicates(sample, "v", label, ["s", *keys], slices), ["rep", *keys])
+    seen = difference(auc_from_cells(score_cells(pair(df, keys), ["s", *keys], "v", label), ["s", *keys], slices), keys)
+    d = diff.join(F.broadcast(seen.withColumnRenamed("diff", "observed")), list(keys))  # a row per group
+    against = F.when(F.col("observed") >= 0, F.col("diff") <= 0).otherwise(F.col("diff") >= 0)
+    return d.groupBy(*keys, "observed").agg(
+        F.count(F.lit(1)).alias("replicates"), F.avg("diff").alias("mean"),
+        F.percentile("diff", F.lit(0.025)).alias("lo"), F.percentile("diff", F.lit(0.975)).alias("hi"),
+        F.avg((F.col("diff") <= 0).cast("double")).alias("share_le_0"), F.least(F.lit(1.0), 2 * F.avg(against.cast("double"))).alias("p_two_sided"))
+
+
 def difference(auc: DataFrame, keys: Sequence[str]) -> DataFrame:
     g = auc.groupBy(*keys) if keys else auc.groupBy()
     pick = lambda s: F.max(F.when(F.col("s") == s, F.col("auc")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import hash_number
 from tidemark.models.learners import Learner, fit_and_score, fit_classifier, out_of_fold, score, together
-from tidemark.models.many import fit_many, score_splits
+from tidemark.models.many import fit_many, group_out_many, score_splits, split_scores
 from tidemark.operators import metrics, ranking, resample, rules, splits
 from tidemark.operators.ordered import numbered
 from tidemark.session import materialize
@@ -132,6 +132,71 @@ def repeated(df: DataFrame, label: str, learners: Mapping[str, Learner], repeats
     return metrics.mean_sd(union(rows), ["scheme", "model"], names)
 
 
+def with_intervals(long: DataFrame, table: DataFrame, label: str, keys: Sequence[str], reps: int = 2000) -> DataFrame:
+    """A metrics table with the bootstrap interval of every model's AUC; ``long`` has the scores behind it."""
+    ci = resample.row_bootstrap_by(long, keys, "score", label, reps).select(*keys, F.col("lo").alias("auc_lo"), F.col("hi").alias("auc_hi"))
+    return table.join(ci, list(keys), "left")
+
+
+def fixed_split(split: DataFrame, label: str, learners: Mapping[str, Learner], late: bool = True, reps: int = 2000) -> DataFrame:
+    """All models and rules on one split, each AUC with its interval."""
+    rows = materialize(score_long_splits(split.withColumn("split", F.lit(0)), label, learners, 1, late))
+    table = evaluate_scores(rows, ["model", "is_rule"], label, probability=False)
+    return with_intervals(rows, table, label, ["model"], reps)
+
+
+def alternative_labels(df: DataFrame, labels: Sequence[str], learners: Mapping[str, Learner], repeats: int = 5, late: bool = True) -> DataFrame:
+    """Rolling time splits under other definitions of the outcome: mean and SD of the metrics per label and model."""
+    rolling = materialize(splits.split_rolling(df).where(F.col("repeat") <= repeats).withColumn("split", (F.col("repeat") - 1).cast("int")).drop("repeat").withColumn("seed", F.col("split")))
+    parts = [compare_on_splits(rolling, y, learners, repeats, late).withColumn("label", F.lit(y)) for y in labels]
+    return metrics.mean_sd(union(parts), ["label", "model"], ["auc", "sensitivity", "specificity", "f1"])
+
+
+def in_sprint_gaps(frame: DataFrame, label: str, learners: Mapping[str, Learner], model: str, checkpoints: Sequence[float], late: bool = True, reps: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Per checkpoint: metrics with intervals, and the AUC of ``model`` minus the rule that was best on the training side."""
+    points = [float(c) for c in checkpoints]
+    at = (F.array_position(F.array(*[F.lit(c) for c in points]), F.col("checkpoint").cast("double")) - 1).cast("int")
+    there = frame.where(F.col("checkpoint").isin(points) & F.col("open_at_checkpoint") & F.col("side").isNotNull()).withColumn("split", at)
+    rows = materialize(score_long_splits(there, label, learners, len(points), late))
+    named = lambda d: d.withColumn("checkpoint", F.element_at(F.array(*[F.lit(c) for c in points]), F.col("split") + 1)).drop("split")
+    keys = ["split", "model"]
+    table = with_intervals(rows, evaluate_scores(rows, [*keys, "is_rule"], label, probability=False), label, keys, reps)
+    best = rows.where("is_rule").groupBy("split").agg(F.min_by("model", F.struct(-F.col("train_auc"), "model")).alias("rule"))
+    pick = rows.join(F.broadcast(best), "split").where((F.col("model") == model) | (F.col("model") == F.col("rule")))
+    both = pick.groupBy("split", "rule", "sprint_id", label).agg(
+        F.max(F.when(F.col("model") == model, F.col("score"))).alias("b_"), F.max(F.when(F.col("model") != model, F.col("score"))).alias("a_"))
+    gaps = resample.paired_bootstrap_by(both, ["split", "rule"], "a_", "b_", label, reps).withColumn("model", F.lit(model))
+    return named(table), named(gaps)
+
+
+def timing_study(df: DataFrame, label: str, sets: Mapping[str, Sequence[str]], groups: Sequence[str], group: str = "project") -> DataFrame:
+    """Feature sets under two protocols: pooled AUC over held-out groups, and the time split with the group as a feature."""
+    out = group_out_many(sets, df, label, groups, group).select("model", "score", label, F.lit("group out").alias("protocol"))
+    timed = splits.split_time(df, group=group)
+    tr, te = sides(timed)
+    out = out.unionByName(split_scores(sets, tr, te, label, group).select("model", "score", label, F.lit("time split").alias("protocol")))
+    return ranking.roc_auc(materialize(out), ["protocol", "model"], "score", label).withColumnRenamed("model", "feature_set")
+
+
+def regression_comparison(train: DataFrame, test: DataFrame, target: str, learners: Mapping[str, Learner], history: str, group: str = "project", reps: int = 2000) -> DataFrame:
+    """Regressors beside no-learning forecasts: metrics of each, and its error against the group median by resampled groups."""
+    from tidemark.models.learners import fit_regressor
+
+    plain = ["train_mean", "train_median", "scope_x_rate", "prior_history", "group_median"]
+    rows = rules.regression_baselines(train, test, target, history, group)
+    for name, learner in learners.items():
+        rows = score(fit_regressor(learner, train, target), rows, learner.numeric, name, is_probability=False)
+    rows = materialize(rows.select("sprint_id", group, target, *plain, *learners))
+    out = None
+    for name in (*plain, *learners):
+        part = metrics.regression_metrics(rows, [], target, name).select(F.lit(name).alias("model"), "n", "mae", "r2", "spearman")
+        if name != "group_median":
+            gap = resample.cluster_mae_difference(rows, group, target, "group_median", name, reps).select(F.lit(name).alias("model"), F.col("mean").alias("gap"), F.col("lo").alias("gap_lo"), F.col("hi").alias("gap_hi"))
+            part = part.join(F.broadcast(gap), "model", "left")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def gap_to_best_rule(split: DataFrame, label: str, learner: Learner, late: bool = True, reps: int = 2000) -> DataFrame:
     """AUC of a model minus the rule that was best on the training side, with a paired row bootstrap."""
     train, test = sides(split)

@@ -234,10 +234,11 @@ def bootstrap_stratified(spark, d):
     return tidy(resample.within_group_bootstrap(docs(spark, d), "lang", "p", "quality", REPS))
 
 
-_CL = """, g AS (SELECT project, row_number() OVER (ORDER BY project) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT project FROM scored)),
+_DRAWS = lambda t: """, g AS (SELECT project, row_number() OVER (ORDER BY project) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT project FROM """ + t + """)),
 dr AS (SELECT r, project FROM (SELECT r, """ + draw("n", "'42'", "r", "i") + """+1 AS rn FROM (SELECT DISTINCT n FROM g), range(2000) a(r), range(8) b(i) WHERE i<n) JOIN g USING (rn)),
 tm AS (SELECT r, project, count(*) AS times FROM dr GROUP BY 1,2)
 """
+_CL = _DRAWS("scored")
 # AUC of a cluster resample from weighted score cells
 _CLA = lambda s: f"""(SELECT r, sum(wp*(below+wn/2.0::DOUBLE))/(sum(wp)*sum(wn)::DOUBLE) AS v FROM (SELECT *, coalesce(sum(wn) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::DOUBLE AS below FROM
  (SELECT r, {s} AS s, CAST(sum(times*c) FILTER (y=1) AS DOUBLE) AS wp0, coalesce(sum(times*c) FILTER (y=1),0)::DOUBLE AS wp, coalesce(sum(times*c) FILTER (y=0),0)::DOUBLE AS wn FROM tm JOIN (SELECT project, {s}, y, count(*) AS c FROM scored GROUP BY 1,2,3) USING (project) GROUP BY 1,2)) GROUP BY 1)"""
@@ -281,6 +282,26 @@ def jackknife_f1(spark, d):
     return tidy(resample.jackknife_f1_difference(tk.scored(spark, d), "project", "label_delay", "pred", "pred_b"))
 
 
+@query("bootstrap_by_group", with_("docs") + boot_sql("docs", "p, quality", "lang") + f", a AS (SELECT r, lang, {auc('quality','p')} AS v FROM (SELECT *, {mid_rank('p','r, lang')} AS rk FROM bs) GROUP BY 1,2) SELECT lang, {ci()} FROM a WHERE v IS NOT NULL GROUP BY 1")
+def bootstrap_by_group(spark, d):
+    return tidy(resample.row_bootstrap_by(docs(spark, d), ["lang"], "p", "quality", REPS))
+
+
+@query("bootstrap_paired_by_group", with_("docs") + boot_sql("docs", "p, call, quality", "lang") + f""", rep AS (SELECT lang, a.v-b.v AS v FROM (SELECT r, lang, {auc('quality','call')} AS v FROM (SELECT *, {mid_rank('call','r, lang')} AS rk FROM bs) GROUP BY 1,2) a JOIN (SELECT r, lang, {auc('quality','p')} AS v FROM (SELECT *, {mid_rank('p','r, lang')} AS rk FROM bs) GROUP BY 1,2) b USING (r, lang)),
+ob AS (SELECT lang, a.o-b.o AS o FROM (SELECT lang, {auc('quality','call')} AS o FROM (SELECT *, {mid_rank('call','lang')} AS rk FROM docs) GROUP BY 1) a JOIN (SELECT lang, {auc('quality','p')} AS o FROM (SELECT *, {mid_rank('p','lang')} AS rk FROM docs) GROUP BY 1) b USING (lang))
+SELECT lang, round(o,6) AS observed, count(*) AS replicates, round(avg(v),6) AS mean, round(quantile_cont(v,0.025),6) AS lo, round(quantile_cont(v,0.975),6) AS hi, round(avg((v<=0)::INT),6) AS share_le_0,
+ round(least(1.0::DOUBLE,2*avg((CASE WHEN o>=0 THEN v<=0 ELSE v>=0 END)::INT)),6) AS p_two_sided FROM rep JOIN ob USING (lang) WHERE v IS NOT NULL GROUP BY lang, o""")
+def bootstrap_paired_by_group(spark, d):
+    return tidy(resample.paired_bootstrap_by(docs(spark, d), ["lang"], "p", "call", "quality", REPS))
+
+
+@query("follow_interval", with_("study") + _DRAWS("study") + ", s AS (SELECT project, count(*) FILTER (G1_warn=1-m_warn) AS h, count(*) AS c FROM study WHERE checkpoint=0.5 GROUP BY 1), m AS (SELECT r, sum(h*times)/sum(c*times)::DOUBLE AS v FROM tm JOIN s USING (project) GROUP BY 1) SELECT " + ci() + " FROM m")
+def follow_interval(spark, d):
+    """Interval of the share of calls that follow the flipped verdict, by resampled projects."""
+    s = tk.study(spark, d).where("checkpoint = 0.5")
+    return tidy(resample.cluster_bootstrap_share(s, "project", F.col("G1_warn") == 1 - F.col("m_warn"), 2000))
+
+
 @query("roc_bootstrap_band", with_("docs") + boot_sql("docs", "p, quality") + grid_sql("bs", "r", "p", "quality") + "SELECT step, fpr, round(avg(tpr),6) AS tpr_mean, round(quantile_cont(tpr,0.025),6) AS tpr_lo, round(quantile_cont(tpr,0.975),6) AS tpr_hi FROM grid GROUP BY 1,2")
 def roc_bootstrap_band(spark, d):
     return tidy(resample.roc_bootstrap_band(docs(spark, d), "p", "quality", REPS))

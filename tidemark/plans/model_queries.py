@@ -168,13 +168,63 @@ def repeated_schemes(spark, d):
     return jobs.repeated(f, "label_delay", {"logistic": Learner("logistic", history.PLANNING_FEATURES, None)})
 
 
-@query("in_sprint_evaluation")
-def in_sprint_evaluation(spark, d):
-    """Open boxes at each checkpoint: planning features, progress features and rules."""
+def checkpoint_frame(spark, d, nonempty=False):
     state = cp.progress_features(cp.checkpoint_state(*tables(spark, d)))
     keep = ["sprint_id", "checkpoint", "open_at_checkpoint", *history.PROGRESS_FEATURES]
-    f = materialize(state.select(*keep).join(frame(spark, d), "sprint_id"))
-    return jobs.in_sprint(f, "label_delay", NUMERIC, history.PROGRESS_FEATURES, "logistic", cp.CHECKPOINTS)
+    f = history.add_strict_history(tk.labelled(spark, d))
+    return materialize(state.select(*keep).join(splits.split_time(f.where("nonempty") if nonempty else f), "sprint_id"))
+
+
+_IN_SPRINT = {"planning": Learner("logistic", NUMERIC), "progress": Learner("logistic", [*NUMERIC, *history.PROGRESS_FEATURES])}
+_OUTCOMES = (("late closure", "label_delay", True), ("spillover", "label_spillover", False))
+
+
+@query("in_sprint_evaluation")
+def in_sprint_evaluation(spark, d):
+    """Open boxes at each checkpoint, both outcomes: planning features, progress features and rules, with intervals."""
+    out = []
+    for name, label, late in _OUTCOMES:
+        table, _ = jobs.in_sprint_gaps(checkpoint_frame(spark, d, not late), label, _IN_SPRINT, "progress", cp.CHECKPOINTS, late)
+        out.append(table.withColumn("outcome", F.lit(name)))
+    return tidy(jobs.union(out))
+
+
+@query("in_sprint_gaps")
+def in_sprint_gaps(spark, d):
+    """Progress features against the best rule at each checkpoint, both outcomes."""
+    out = []
+    for name, label, late in _OUTCOMES:
+        _, gaps = jobs.in_sprint_gaps(checkpoint_frame(spark, d, not late), label, _IN_SPRINT, "progress", cp.CHECKPOINTS, late)
+        out.append(gaps.withColumn("outcome", F.lit(name)))
+    return tidy(jobs.union(out))
+
+
+@query("fixed_split_intervals")
+def fixed_split_intervals(spark, d):
+    """Models and rules on the time split, both outcomes, each AUC with its interval."""
+    f = materialize(history.add_strict_history(tk.labelled(spark, d)))
+    out = []
+    for name, label, late in _OUTCOMES:
+        split = splits.split_time(f if late else f.where("nonempty"))
+        learners = {"logistic": Learner("logistic", NUMERIC), "scope only": Learner("logistic", history.PLANNING_FEATURES, None)}
+        out.append(jobs.fixed_split(split, label, learners, late).withColumn("outcome", F.lit(name)))
+    return tidy(jobs.union(out))
+
+
+@query("alternative_labels")
+def alternative_labels(spark, d):
+    """Other definitions of late closure on the rolling splits."""
+    f = history.add_strict_history(tk.labelled(spark, d)).withColumns({
+        "late_over_3_days": (F.col("late_days") > 3).cast("int"), "late_at_all": (F.col("late_days") > 0).cast("int")})
+    learners = {"logistic": Learner("logistic", NUMERIC), "scope only": Learner("logistic", history.PLANNING_FEATURES, None)}
+    return tidy(jobs.alternative_labels(f, ["label_delay", "late_over_3_days", "late_at_all"], learners))
+
+
+@query("regression_comparison")
+def regression_comparison(spark, d):
+    """Ridge beside forecasts without learning, with gaps to the group median by resampled groups."""
+    tr, te = jobs.sides(frame(spark, d))
+    return tidy(jobs.regression_comparison(tr, te, "late_days_capped", {"ridge": Learner("ridge", NUMERIC)}, "hist_avg_late_days_3"))
 
 
 @query("two_part_models")
@@ -190,15 +240,30 @@ def two_part_models(spark, d):
     return first.unionByName(second)
 
 
+_TIMING = {k: history.FEATURE_SETS[k] for k in ("legacy", "strict_timed", "strict_minus_late", "legacy_plus_late", "strict")}
+
+
 @query("timing_study")
 def timing_study(spark, d):
+    """Five feature sets under both protocols."""
+    f = materialize(tk.modelling_frame(spark, d).where("has_prior_sprint"))
+    return tidy(jobs.timing_study(f, "label_delay", _TIMING, splits.leave_one_group_out(f)))
+
+
+@query("timing_gap")
+def timing_gap(spark, d):
     """Leave-one-group-out scores of two feature sets, compared by resampled groups."""
-    from tidemark.models.learners import group_out_scores
+    from tidemark.models.many import group_out_many
 
     f = materialize(tk.modelling_frame(spark, d).where("has_prior_sprint"))
-    groups = splits.leave_one_group_out(f)
-    out = None
-    for name in ("legacy", "strict_timed"):
-        s = group_out_scores(Learner("logistic", history.FEATURE_SETS[name], None), f, "label_delay", groups).select("sprint_id", "project", "label_delay", F.col("score").alias(name))
-        out = s if out is None else out.join(s.select("sprint_id", name), "sprint_id")
+    s = group_out_many({k: _TIMING[k] for k in ("legacy", "strict_timed")}, f, "label_delay", splits.leave_one_group_out(f))
+    pick = lambda n: F.max(F.when(F.col("model") == n, F.col("score"))).alias(n)
+    out = materialize(s.groupBy("sprint_id", "project", "label_delay").agg(pick("legacy"), pick("strict_timed")))
     return tidy(resample.cluster_paired(out, "project", "legacy", "strict_timed", "label_delay"))
+
+
+@query("timing_forest")
+def timing_forest(spark, d):
+    """The same feature sets with the forest, on the time split."""
+    f = materialize(splits.split_time(tk.modelling_frame(spark, d).where("has_prior_sprint")))
+    return tidy(explain.ablation(*jobs.sides(f), "label_delay", _TIMING, kind="forest", reference="legacy", group="project"))

@@ -303,3 +303,28 @@ def ridge_forecast(spark, d):
     tr, te = _sides(spark, d)
     m = fit_regressor(Learner("ridge", _PAIR, None, settings={"solver": "normal"}), tr, "late_days_capped")
     return tidy(score(m, te, _PAIR, "forecast", is_probability=False).select("sprint_id", "forecast"), digits=4)
+
+
+@query("linear_attribution", _TRAIN + _newton() + """, b AS (SELECT avg(coalesce(h_rate,m1)) AS c1, avg(coalesce(len,m2)) AS c2 FROM tr, st)
+SELECT sprint_id, 'lateness' AS "group", round(b1/s1*(coalesce(h_rate,m1)-c1),6) AS phi FROM tt, st, k9, b WHERE NOT tr UNION ALL SELECT sprint_id, 'length', round(b2/s2*(coalesce(len,m2)-c2),6) FROM tt, st, k9, b WHERE NOT tr""")
+def linear_attribution(spark, d):
+    """Shapley values of the regression's log-odds over two feature groups, against all training rows."""
+    from tidemark.models.explain import linear_shapley
+
+    tr, te = _sides(spark, d)
+    m = fit_many(tr.withColumn("train_in", F.array(F.lit(0))), [_PAIR], "label_delay")
+    fill = dict(zip(_PAIR, m.state.fill[0].tolist()))
+    slope = {c: m.state.beta[0, 1 + k] * m.state.scale[0, k] for k, c in enumerate(_PAIR)}
+    full = lambda df: df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in _PAIR})
+    return tidy(linear_shapley(full(te), full(tr), slope, {"lateness": _PAIR[:1], "length": _PAIR[1:]}))
+
+
+@query("second_source", with_("item", "sp") + """, c AS (SELECT sp.project, sp.sprint_id, count(ok) AS n, count(*) FILTER (coalesce(resolved<=end_date,FALSE)) AS done FROM sp LEFT JOIN item ON item.raw=sp.k AND item.project=sp.project GROUP BY 1,2)
+SELECT project, count(*) AS sprints, count(*) FILTER (n>0) AS nonempty, CAST(sum(n) AS BIGINT) AS items, round(sum(done)/sum(n)::DOUBLE,6) AS share_done FROM c GROUP BY 1""")
+def second_source(spark, d):
+    """The cohort by project of a source that comes as export files: both tables are read from them."""
+    i = tk.items(spark, d).withColumn("raw_issue_id", F.col("box") * 7 + F.col("line"))
+    s = src.load_sprints(spark, exported(spark, tk.boxes(spark, d), src.SPRINT_COLUMNS, "sprints", "\t"))
+    f = scope.static_scope(s, src.load_issues(spark, exported(spark, i, src.ISSUE_COLUMNS, "issues", ",")))
+    n = F.col("committed_issue_count")
+    return tidy(f.groupBy("project").agg(F.count(F.lit(1)).alias("sprints"), F.count_if(n > 0).alias("nonempty"), F.sum(n).alias("items"), (F.sum("completed_issue_count") / F.sum(n)).alias("share_done")))
