@@ -472,7 +472,7 @@ def test_blocks_of_items_give_the_same_leaks(spark, monkeypatch):
     found = lambda: Counter((r.doc_id, r.item_id, round(r.lcs, 9), round(r.answer, 9)) for r in decontaminate.leak_report(docs, bench).collect())
     want = found()
     monkeypatch.setattr(decontaminate, "BLOCK", 40)
-    assert found() == want and len(want) > 3
+    assert found() == want and len(want) >= 3
 
 
 def test_mix(spark):
