@@ -148,6 +148,21 @@ def by_bytes(batches: Iterator, *cols: str, most: int = 4 << 20) -> Iterator:
         cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
         for lo, hi in zip(cuts, [*cuts[1:], b.num_rows]):
             yield b.slice(lo, hi - lo)
+    if not isinstance(batches, list):
+        trim()
+
+
+def trim() -> None:
+    """Give what a task has freed back to the system: workers are used again, and several of an executor wait beside each other."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def release(df: DataFrame) -> None:
