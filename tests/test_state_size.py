@@ -52,3 +52,20 @@ def test_only_items_with_changes_of_points_are_probed(spark, monkeypatch):
     assert (at[0, "P__0"].sp_start, at[0, "P__0"].sp_end, at[0, "P__0"].points_from_history) == (3.0, 5.0, True)
     assert (at[3, "P__0"].sp_start, at[3, "P__0"].in_start, at[3, "P__0"].from_history) == (2.0, True, False)
     assert (4, "P__1") not in at and (at[4, "P__2"].in_start, at[4, "P__2"].in_end) == (False, True)
+
+
+def test_items_are_rebuilt_once_for_boards_and_counts(spark, monkeypatch):
+    from tidemark.operators import checkpoints as cp
+    from tidemark.plans import state_queries as q
+
+    rebuilt, seen = [], cp.item_states
+    monkeypatch.setattr(cp, "item_states", lambda *a, **k: rebuilt.append(1) or seen(*a, **k))
+    day = lambda n: dt(2020, 1, n)
+    boxes = spark.createDataFrame([(1, 101, "P__1", "S1", "P", day(1), day(11), day(12))],
+                                  "raw_sprint_id long, jira_sprint_id long, sprint_id string, sprint_name string, project string, start_date timestamp, end_date timestamp, complete_date timestamp")
+    issues = spark.createDataFrame([(i, f"P-{i}", "P", 1, dt(2019, 12, 1), None, 2.0, "Bug") for i in range(5)],
+                                   "raw_issue_id long, issue_key string, project string, raw_sprint_id long, creation_date timestamp, resolution_date timestamp, story_point double, issue_type string")
+    log = spark.createDataFrame([(1, 0, "Story Points", "3", "5", None, None, day(2))], CHANGES)
+    monkeypatch.setattr(q, "tables", lambda s, d: (boxes, issues, log))
+    assert [(r.compared, r.differing) for r in q.board_reconciliation(spark, "").collect()] == [(1, 0)]
+    assert rebuilt == [1]
