@@ -24,14 +24,12 @@ class Wanted:
 
     d: str
     in_order: bool = False  # for trees: their bags and candidate splits are drawn by the layout of the rows
-    label: str | None = None  # only what a fit of NUMERIC on this label reads; the rows of folds and splits carry no more
 
 
 def frame(spark, d):
     w = d if isinstance(d, Wanted) else Wanted(d)
     rows = history.add_strict_history(tk.labelled(spark, w.d))
-    f = materialize(splits.split_time(rows, in_order=True)) if w.in_order else splits.split_time(rows)  # reads a table and a row per project
-    return f.select("sprint_id", "project", "side", w.label, *NUMERIC) if w.label else f
+    return materialize(splits.split_time(rows, in_order=True)) if w.in_order else splits.split_time(rows)  # reads a table and a row per project
 
 
 def frame_in_order(spark, d):
@@ -39,7 +37,8 @@ def frame_in_order(spark, d):
 
 
 def slim_frame(spark, d, label="label_delay"):
-    return frame(spark, Wanted(d, label=label))
+    """Only what a fit of NUMERIC on this label reads; the rows of folds and splits carry no more."""
+    return frame(spark, d).select("sprint_id", "project", "side", label, *NUMERIC)
 
 
 def auc_of(scored, name, label="label_delay"):
