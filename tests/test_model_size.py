@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.models import learners
 from tidemark.models.learners import Learner, fit_classifier, fit_regressor
-from tidemark.operators import ordered, splits
+from tidemark.operators import ordered, ranking, splits
 
 ROWS = "project string, start_date timestamp, sprint_id string, payload string"
 
@@ -76,3 +76,16 @@ def test_fold_queries_carry_what_fits_read(spark, monkeypatch):
     for query in (q.threshold_calls, q.cross_validated, q.oof_scores):
         query(spark, "")
     assert read == [{"sprint_id", "project", "side", "label_delay", *q.NUMERIC}] * 4
+
+
+def test_seeds_share_one_preprocessing(spark, monkeypatch):
+    from tidemark.plans import jobs
+
+    d = spark.range(200).select(F.col("id").cast("string").alias("sprint_id"), (F.col("id") % 7).cast("double").alias("a"), (F.hash("id") % 2 == 0).cast("int").alias("y"), F.lit("P").alias("project")).localCheckpoint()
+    learner, seeds = Learner("forest", ["a"], settings={"numTrees": 3}), range(3)
+    alone = [ranking.roc_auc(learners.fit_and_score(Learner("forest", ["a"], seed=s, settings={"numTrees": 3}), d, d, "y"), [], "score", "y").first()["auc"] for s in seeds]
+    fitted, medians = [], learners.exact_medians
+    monkeypatch.setattr(learners, "exact_medians", lambda *a: fitted.append(1) or medians(*a))
+    got = jobs.seed_variance(d, d, "y", learner, seeds).first()
+    assert len(fitted) == 1
+    assert abs(got["auc_mean"] - sum(alone) / 3) < 1e-12
