@@ -89,3 +89,17 @@ def test_seeds_share_one_preprocessing(spark, monkeypatch):
     got = jobs.seed_variance(d, d, "y", learner, seeds).first()
     assert len(fitted) == 1
     assert abs(got["auc_mean"] - sum(alone) / 3) < 1e-12
+
+
+def test_regressors_share_one_preprocessing(spark, monkeypatch):
+    from tidemark.plans import model_queries as q
+
+    cols = [F.when(F.col("id") < 40, "train").otherwise("test").alias("side"), F.lit("P").alias("project"), (F.col("id") % 5).cast("double").alias("late_days_capped")]
+    d = spark.range(60).select(F.col("id").cast("string").alias("sprint_id"), *cols, *[(F.hash("id") % (7 + i)).cast("double").alias(c) for i, c in enumerate(q.NUMERIC)]).localCheckpoint()
+    monkeypatch.setattr(q, "frame_in_order", lambda s, path: d)
+    monkeypatch.setattr(learners, "FOREST", {"numTrees": 2})
+    monkeypatch.setattr(learners, "BOOSTED", {"maxIter": 1})
+    fitted, medians = [], learners.exact_medians
+    monkeypatch.setattr(learners, "exact_medians", lambda *a: fitted.append(1) or medians(*a))
+    assert {r["model"] for r in q.fit_regressors(spark, "").collect()} == {"ridge", "forest", "boosted", "boosted_median"}
+    assert len(fitted) == 1
